@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["neardup"]
+TOPICS = ["neardup", "docpairs"]
 
 
 def registered() -> tuple[dict, dict]:
