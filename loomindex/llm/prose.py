@@ -16,10 +16,11 @@ _INLINE_TAG = re.compile(r"\{@\w+\s*|@\w[\w-]*")
 _THING = r"(?:documentation|docs?|docstring|summary|description|explanation|comment|text|details?|content|information|name|purpose|usage)"
 _STAND_IN = re.compile(
     rf"""^\W*(?:
-      (?:TODO|FIXME|XXX|TBD|TBA|HACK|WIP)\b | (?:todo|fixme|xxx|tbd|wip)\s*(?:[:.!(\-]|$)
+      (?-i:TODO|FIXME|XXX|TBD|TBA|HACK|WIP)\b | (?:todo|fixme|xxx|tbd|wip)\s*(?:[:.!(\-]|$)
     | (?:a\s+)?place-?holder(?:\s+(?:for\s+)?(?:the\s+|this\s+)?{_THING})?\s*(?:[,.:;(\-]|$|to\s+be\b|until\b|only\b)
     | (?:no|without|missing)\s+(?:\w+\s+){{0,2}}?{_THING}\s*(?:[.!,;:]|$|yet|so\s+far|here|given|provided|available|written|found|exists?|added|is\b|was\b|has\b)
     | (?:please\s+)?(?:put|type|write|add|insert|enter|fill\s+in|provide|describe|document|place|complete)\s+(?:\w+\s+){{0,3}}?{_THING}?\s*(?:here|below|later|soon|please|before\b)
+    | (?:please\s+)?(?:put|type|write|add|insert|enter|fill\s+in|provide|place)\s+your\s+(?:\w+\s+)?{_THING}\b
     | (?:please\s+)?(?:describe|document|explain)\s+(?:this|the|what)\s+(?:this\s+)?(?:function|method|class|module|thing|code|does)\W*$
     | (?:your\s+|the\s+|a\s+|some\s+)?(?:\w+\s+)?{_THING}\s+(?:goes|go|comes?|is|will\s+be|to\s+be|to\s+follow|still|missing|needed|pending|will\s+follow|follows|here|tbd|required)\b
       (?=.*\b(?:here|later|follow\w*|added|written|missing|needed|come|pending|tbd|soon|provided|required|replaced|done)\b|.*\bsee\s+the\s+board)
@@ -27,7 +28,7 @@ _STAND_IN = re.compile(
     | (?:undocumented|not\s+(?:yet\s+)?documented|not\s+(?:yet\s+)?described)\b
     | lorem\s+ipsum
     )""",
-    re.X,
+    re.X | re.I,
 )
 #: Fixed values. Notices to tools.
 _TOOL = re.compile(
