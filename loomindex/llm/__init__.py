@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["neardup", "docpairs"]
+TOPICS = ["neardup", "docpairs", "provenance"]
 
 
 def registered() -> tuple[dict, dict]:
