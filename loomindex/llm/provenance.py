@@ -6,7 +6,8 @@ digits). Labels for training come from seeds: high-precision phrases, path parts
 training file is also shown with its giveaway header and giveaway path parts masked, so that the
 machines have to learn the other traits too. Repositories (the first two path parts) are split for
 validation. Training uses a sample of at most ``sample`` files (by hash of the path); every file is
-scored. Inside the machines' own margin (score between -1 and 1) the seeds' evidence decides.
+scored. Where a machine is not sure
+(score between -UNSURE and UNSURE) the seeds' evidence decides.
 
 Scale: one pass over the joined tables; the weights that are broadcast have a fixed size.
 """
@@ -27,6 +28,8 @@ from loomindex.llm.linear import ngrams, row_scores, sparse_rows, train
 
 KINDS = ("generated", "minified", "vendored", "data")
 BITS = 17
+#: Scores nearer to 0 than this are left to the seeds' evidence.
+UNSURE = 2.0
 
 #: Fixed values. Phrases of headers; the first group of each kind marks it, ``_HAND`` speaks against any.
 _GENERATED = re.compile(
@@ -176,7 +179,7 @@ class Machines:
         for k, kind in enumerate(KINDS):
             y = np.array([1 if m[kind] else -1 for m in marks])
             # A masked file keeps its label only where something else may show it.
-            still = np.array([m[kind] == s[kind] or kind == "vendored" and False for m, s in zip(marks, shows)], bool)
+            still = np.array([m[kind] == s[kind] for m, s in zip(marks, shows)], bool)
             use = np.concatenate([~held, ~held & still])
             labels = np.concatenate([y, y])
             w = train([rows[i] for i in np.flatnonzero(use)], labels[use], 5 << BITS, epochs)
@@ -210,7 +213,7 @@ def _score(machines):
             found = model.scores(views(d["path"], d["head"], d["size"], d["language"]), n)
             shown = [evidence(p, h) for p, h in zip(d["path"], d["head"])]
             sure = np.array([[s[k] for k in KINDS] for s in shown])
-            verdict = np.where(np.abs(found) >= 1, found > 0, sure)
+            verdict = np.where(np.abs(found) >= UNSURE, found > 0, sure)
             kinds = [[k for k, v in zip(KINDS, row) if v] for row in verdict]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d["path"], pa.string()), pa.array([k or None for k in kinds], pa.list_(pa.string())), pa.array(found.max(axis=1))],
