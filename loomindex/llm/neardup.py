@@ -4,22 +4,26 @@ Texts are sets of word runs. Exact copies of a set form one class; only one repr
 is compared. The runs of a representative are put in one global order, rare ones first, and only the
 first ``n - ceil(t n) + 1`` of ``n`` are posted: two sets with a Jaccard share of at least ``t`` have one
 of these in common. Postings are joined on the run, under length and positional filters; pairs then
-pass a positional filter over all their common prefix runs and a suffix filter (bounds from the
-number of runs in fixed parts of the run space), and each remaining pair is verified once on whole sets.
+pass a positional filter over all their common prefix runs and a suffix filter (a lower bound of the
+sets' Hamming distance from the parity of the number of runs in ``64 * SKETCH`` fixed parts of the run
+space), and each remaining pair is verified once on whole sets.
 
 Rarity comes from one count per hashed bucket over *all* texts (``2**count_bits`` counters, a fixed
 size whatever the data). It only orders the runs: any order gives the same result, a good one gives
 short posting lists.
 
-Scale: texts are read in three passes and never shuffled, but for the few that are verified; what is
-shuffled is prefixes. Copies are merged before they are posted (map-side first), so a class that holds
-a third of all rows posts once. Hot posting lists are left to AQE's skew join. Nothing but the fixed
-counters reaches the driver.
+Scale: texts are read in three passes and never shuffled; what is shuffled is prefixes, and the sets
+of the few texts that are verified. Copies are merged before they are posted (map-side first), so a
+class that holds a third of all rows posts once. Hot posting lists are left to AQE's skew join. Only
+two tables of a fixed size reach the driver: the counters, and a bit table that lets the third pass
+skip most texts that are in no candidate (a join keeps the exact ones).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,12 @@ from pyspark.sql import functions as F
 from loomindex.llm.shingles import run_hashes
 from loomindex.session import materialize
 
-#: Parts of the run space whose counts bound the overlap in the suffix filter.
-PARTS = 16
+#: 64-bit words of parities in the suffix filter.
+SKETCH = 4
 _CHUNKS = 64
+#: Bits of the hashed id in the fixed bit table of wanted ids.
+_WANTED_BITS = 23
+_SKETCHES = [f"sketch_{k}" for k in range(SKETCH)]
 
 
 def needed_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -63,40 +70,55 @@ def _sets(texts: pa.Array, width: int, least: int) -> tuple[np.ndarray, np.ndarr
     return runs, first, sizes, rows
 
 
+def _sketches(runs: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each set, whether the number of runs in each part of the run space is odd."""
+    part = (runs * np.uint64(0x9FB21C651E98DF25) >> np.uint64(48)) % np.uint64(64 * SKETCH)
+    out = []
+    for k in range(SKETCH):
+        mine = part // np.uint64(64) == k
+        bit = np.where(mine, np.uint64(1) << part % np.uint64(64), np.uint64(0))
+        out.append(np.bitwise_xor.reduceat(bit, first).view(np.int64))
+    return out
+
+
 def _count(width: int, least: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Members (id, identity, signature, n) and, at the end of the task, its counters in chunks."""
+    """Members (id, identity, signature, n, sketch) and, at the end of the task, its counters in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
-        names = ["chunk", "counts", "id", "identity", "sig_a", "sig_b", "n"]
+        counts = np.zeros(1 << bits, np.int32)
+        names = ["chunk", "counts", "id", "identity", "sig_a", "sig_b", "n", *_SKETCHES]
         for batch in batches:
             runs, first, sizes, rows = _sets(batch["text"], width, least)
             if not len(rows):
                 continue
-            counts += np.bincount((runs >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            a, b = _signatures(runs, first)
+            bucket, times = np.unique((runs >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            counts[bucket] += times.astype(np.int32)
             at = pa.array(rows)
-            none = pa.nulls(len(rows), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [none, pa.nulls(len(rows), pa.binary()), batch["id"].take(at), batch["identity"].take(at), pa.array(a), pa.array(b), pa.array(sizes.astype(np.int64))], names
-            )
+            none = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
+            new = [*_signatures(runs, first), sizes.astype(np.int64), *_sketches(runs, first)]
+            yield pa.RecordBatch.from_arrays([*none, batch["id"].take(at), batch["identity"].take(at), *map(pa.array, new)], names)
         if counts.any():
-            parts = [c.tobytes() for c in np.split(counts.astype("<i8"), _CHUNKS)]
-            rest = [pa.nulls(_CHUNKS, pa.int64()) for _ in range(5)]
+            parts = [zlib.compress(c.astype("<i4").tobytes(), 1) for c in np.split(counts, _CHUNKS)]
+            rest = [pa.nulls(_CHUNKS, pa.int64()) for _ in range(5 + SKETCH)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS), pa.int32()), pa.array(parts, pa.binary()), *rest], names)
 
     return run
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale, one byte each."""
+    return np.minimum(np.log2(counts + 1.0) * 5, 255).astype(np.uint8)
+
+
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of counters by chunk; holds no more than the fixed table."""
+    """Levels of the summed counters by chunk; holds no more than the fixed table."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"]):
-            part = np.frombuffer(counts.as_buffer(), "<i8")
+            part = np.frombuffer(zlib.decompress(counts.as_buffer()), "<i4").astype(np.int64)
             held[chunk] = held[chunk] + part if chunk in held else part
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.int32()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["chunk", "counts"]
+        [pa.array(list(held), pa.int32()), pa.array([_levels(c).tobytes() for c in held.values()], pa.binary())], ["chunk", "counts"]
     )
 
 
@@ -126,29 +148,36 @@ def _prefixes(width: int, least: int, bits: int, threshold: float, counts) -> Ca
     return run
 
 
-def _whole(width: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, runs, parts): all runs, and how many are in each part of the run space."""
+def _whole(width: int, least: int, wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, runs): all runs of the texts whose hashed id is in the bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch["slot"].to_numpy()
+            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             runs, _, sizes, rows = _sets(batch["text"], width, least)
             if not len(rows):
                 continue
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            parts = np.bincount(owner * PARTS + (runs % np.uint64(PARTS)).astype(np.int64), minlength=len(rows) * PARTS)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["id"].take(pa.array(rows)),
-                    pa.ListArray.from_arrays(ends, pa.array(runs.view(np.int64))),
-                    pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * PARTS, pa.array(parts.astype(np.int32))),
-                ],
-                ["id", "runs", "parts"],
-            )
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows)), pa.ListArray.from_arrays(ends, pa.array(runs.view(np.int64)))], ["id", "runs"])
 
     return run
 
 
+def _slot(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(1 << _WANTED_BITS)).cast("int")
+
+
+def _wanted_bits(ids: DataFrame) -> np.ndarray:
+    """Fixed bit table (2**_WANTED_BITS bits) of the hashed ids, merged in Spark range by range."""
+    slot = _slot(F.col("id")).cast("long")
+    ranges = ids.groupBy(F.shiftright(slot, 15).alias("at")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
+    table = np.zeros(1 << (_WANTED_BITS - 3), np.uint8)
+    for row in ranges.collect():  # at most 2**(_WANTED_BITS - 15) rows of 4 KB
+        table[row.at * 4096 : row.at * 4096 + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return table
+
+
 class NearDuplicates:
     """The classes of equal run sets, and the pairs of classes whose share reaches the threshold.
 
@@ -157,37 +186,39 @@ class NearDuplicates:
     comes with two different texts belongs to both classes.
     """
 
-    def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8, least: int = 1, count_bits: int = 18):
+    def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8, least: int = 1, count_bits: int = 22):
         self.threshold = threshold
         spark = texts.sparkSession
         lower = texts.filter("id is not null and text is not null").select("id", "identity", F.lower("text").alias("text"))
         counted = materialize(
             lower.mapInArrow(
-                _count(width, least, count_bits), "chunk int, counts binary, id bigint, identity bigint, sig_a bigint, sig_b bigint, n bigint"
+                _count(width, least, count_bits), "chunk int, counts binary, id bigint, identity bigint, sig_a bigint, sig_b bigint, n bigint, "
+                + ", ".join(f"{c} bigint" for c in _SKETCHES),
             ),
             "runs-counted",
         )
         chunks = counted.filter("chunk is not null").select("chunk", "counts")
         # 2**count_bits counters in _CHUNKS rows: the same size for any input.
         held = chunks.repartition(8, "chunk").mapInArrow(_add_chunks, "chunk int, counts binary").collect()
-        total = np.zeros(1 << count_bits, np.int64)
+        total = np.zeros(1 << count_bits, np.uint8)
         size = len(total) // _CHUNKS
         for row in held:
-            total[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.counts, "<i8")
+            total[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.counts, np.uint8)
         counts = spark.sparkContext.broadcast(total)
-        members = counted.filter("chunk is null").select("id", "identity", "sig_a", "sig_b", "n")
+        members = counted.filter("chunk is null")
         prefixed = lower.select("id", "text").mapInArrow(
             _prefixes(width, least, count_bits, threshold, counts), "id bigint, sig_a bigint, sig_b bigint, n int, prefix array<bigint>"
         )
         # A representative: the smallest id of a class. Copies merge before the shuffle.
         reps = prefixed.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         self._postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "run"))
-        least_id = members.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"))
-        self.members = members.distinct().join(least_id, ["sig_a", "sig_b"]).select("id", "identity", "rep", "n")
-        self._whole = lower.select("id", "text"), _whole(width, least)
+        least_id = members.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in _SKETCHES])
+        self._sketches = least_id.select("rep", *_SKETCHES)
+        self.members = members.select("id", "identity", "sig_a", "sig_b", "n").distinct().join(least_id, ["sig_a", "sig_b"]).select("id", "identity", "rep", "n")
+        self._texts, self._width, self._least = lower.select("id", "text", _slot(F.col("id")).alias("slot")), width, least
 
     def candidates(self) -> DataFrame:
-        """(rep_a, rep_b, need): pairs that the length and positional filters leave."""
+        """(rep_a, rep_b, need): pairs that the length, positional and suffix filters leave."""
         p = self._postings
         a = p.select("run", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
         b = p.select("run", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
@@ -202,21 +233,24 @@ class NearDuplicates:
             F.count("*").alias("common"), F.max("pos_a").alias("last_a"), F.max("pos_b").alias("last_b")
         )
         rest = F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
-        return pairs.filter(F.col("common") + rest >= need).select("rep_a", "rep_b", need.alias("need"))
+        near = pairs.filter(F.col("common") + rest >= need).select("rep_a", "rep_b", (F.col("n_a") + F.col("n_b")).alias("size"), need.alias("need"))
+        mine, other = (self._sketches.select(F.col("rep").alias(f"rep_{x}"), *[F.col(c).alias(f"{c}{x}") for c in _SKETCHES]) for x in "ab")
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in _SKETCHES])
+        both = near.join(mine, "rep_a").join(other, "rep_b")
+        return both.filter(F.col("size") - apart >= 2 * F.col("need")).select("rep_a", "rep_b", "need")
 
     def pairs(self) -> DataFrame:
         """(rep_a, rep_b, share) of classes, each pair verified once on whole sets."""
         found = materialize(self.candidates(), "candidates")
-        wanted = found.select(F.col("rep_a").alias("id")).union(found.select(F.col("rep_b").alias("id"))).distinct()
-        texts, whole = self._whole
-        sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(whole, "id bigint, runs array<bigint>, parts array<int>").dropDuplicates(["id"]), "sets")
-        a = sets.select(F.col("id").alias("rep_a"), F.col("runs").alias("runs_a"), F.col("parts").alias("parts_a"))
-        b = sets.select(F.col("id").alias("rep_b"), F.col("runs").alias("runs_b"), F.col("parts").alias("parts_b"))
-        bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        both = found.join(a, "rep_a").join(b, "rep_b").filter(bound >= F.col("need"))
+        ids = found.select(F.col("rep_a").alias("id")).union(found.select(F.col("rep_b").alias("id")))
+        wanted = found.sparkSession.sparkContext.broadcast(_wanted_bits(ids))
+        sets = self._texts.mapInArrow(_whole(self._width, self._least, wanted), "id bigint, runs array<bigint>").join(ids.distinct(), "id", "left_semi")
+        sets = materialize(sets.groupBy("id").agg(F.first("runs").alias("runs")), "sets")
+        a = sets.select(F.col("id").alias("rep_a"), F.col("runs").alias("runs_a"))
+        b = sets.select(F.col("id").alias("rep_b"), F.col("runs").alias("runs_b"))
         common = F.size(F.array_intersect("runs_a", "runs_b"))
+        sized = found.join(a, "rep_a").join(b, "rep_b").select("rep_a", "rep_b", "need", common.alias("common"), (F.size("runs_a") + F.size("runs_b")).alias("size"))
         share = F.col("common") / (F.col("size") - F.col("common"))
-        sized = both.select("rep_a", "rep_b", "need", common.alias("common"), (F.size("runs_a") + F.size("runs_b")).alias("size"))
         return sized.filter(F.col("common") >= F.col("need")).select("rep_a", "rep_b", share.alias("share"))
 
 
