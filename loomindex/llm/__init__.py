@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["neardup", "docpairs", "provenance"]
+TOPICS = ["neardup", "docpairs", "provenance", "neighbours"]
 
 
 def registered() -> tuple[dict, dict]:
