@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["neardup", "docpairs", "provenance", "neighbours"]
+TOPICS = ["neardup", "docpairs", "provenance", "neighbours", "packing", "mixing", "languages"]
 
 
 def registered() -> tuple[dict, dict]:

@@ -11,6 +11,7 @@ Scale: one narrow pass over the documents; what is broadcast is the machines (a
 
 from __future__ import annotations
 
+import html
 import math
 import re
 import unicodedata
@@ -40,6 +41,8 @@ _FENCE = re.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M
 _FRONT = re.compile(r"\A\s*---\n(.*?)\n---[ \t]*(?:\n|\Z)", re.S)
 _FRONT_TITLE = re.compile(r"^(?:title|summary|description)\s*:(.*)$", re.I | re.M)
 _INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,200}>|\b(?:https?|ftp|file|mailto):\S+|\bwww\.\S+|\[[ xX]\]")
+#: Quoted output or code in brackets.
+_ASIDE = re.compile(r"\([^()\n]*[`\"][^()\n]*\)")
 _INDENTED = re.compile(r"^(?: {4,}|\t)[^\n]*[;{}()=\[\]$<>|][^\n]*$", re.M)
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _TOKEN = re.compile(r"\S+")
@@ -64,14 +67,14 @@ def plain_letters(text: str) -> str:
 
 def paragraph_words(text: str) -> list[list[str]]:
     """The lower-case words of each paragraph's prose; paragraphs without words are left out."""
-    text = _LINE_END.sub("\n", text)
+    text = _LINE_END.sub("\n", html.unescape(text) if "&" in text else text)
     if _DAMAGED.search(text):
         text = _DAMAGED.sub(_repair, text)
     front = _FRONT.match(text)
     if front:
         text = "\n".join(_FRONT_TITLE.findall(front.group(1))) + "\n\n" + text[front.end() :]
     text = _FENCE.sub("\n\n", text)
-    text = _INLINE.sub(" ", text)
+    text = _INLINE.sub(" ", _ASIDE.sub(" ", text))
     text = _INDENTED.sub("", text)
     out = []
     for paragraph in _BLANK.split(text):
@@ -106,22 +109,34 @@ def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ngrams(codes, starts, ORDERS, BITS)
 
 
+def main_language(judged: list[tuple[str, float]], paragraphs: list[list[str]]) -> str | None:
+    """The language of most of the words; unsure paragraphs count for less."""
+    weight: dict[str, float] = {}
+    for (code, sure), words in zip(judged, paragraphs):
+        weight[code] = weight.get(code, 0.0) + len(words) * sure
+    return max(weight, key=lambda c: (weight[c], c)) if weight else None
+
+
 class Discriminator:
     """The family machine and the one-versus-one machines of each family."""
 
-    def __init__(self, samples: list[tuple[str, str]], labelled: list[tuple[str | None, str]] = (), per_language: int = 250, epochs: int = 10):
+    def __init__(self, samples: list[tuple[str, str]], labelled: list[tuple[str | None, str]] = (), per_language: int = 400, epochs: int = 10):
         """``samples``: (language code, text). Languages outside FAMILIES are not used.
 
-        ``labelled``: documents whose label may be wrong. Paragraphs on which the machines trained on the
-        samples agree with the label, with confidence, join the training (``per_language`` at most).
+        ``labelled``: documents whose label may be wrong. Where the machines trained on the samples agree
+        with the label, paragraphs that are not surely in another language join the training
+        (``per_language`` at most).
         """
         known = [(code, [w for p in paragraph_words(text) for w in p]) for code, text in samples]
         self._fit(known, epochs)
         more: dict[str, list] = {}
         for label, text in labelled:
             code, paragraphs = label_code(label), [p for p in paragraph_words(text) if len(p) >= 5]
-            for p, (guess, sure) in zip(paragraphs, self.judge(paragraphs)):
-                if guess == code and sure >= 0.9 and len(more.setdefault(code, [])) < per_language:
+            judged = self.judge(paragraphs)
+            if main_language(judged, paragraphs) != code:
+                continue
+            for p, (guess, sure) in zip(paragraphs, judged):
+                if (guess == code or sure < 0.8) and len(more.setdefault(code, [])) < per_language:
                     more[code].append((code, p))
         if more:
             self._fit(known + [x for part in more.values() for x in part], epochs)
@@ -213,11 +228,7 @@ def _label(model, least_words: int):
                 judged = iter(judge.judge([p for d in docs for p in d]))
                 for k, doc in enumerate(docs):
                     segments = [{"segment": i, "lang_code": code, "confidence": sure, "words": len(p)} for i, (p, (code, sure)) in enumerate(zip(doc, judged))]
-                    weight: dict[str, float] = {}
-                    for s in segments:
-                        # A short heading counts for little, an unsure segment for less.
-                        weight[s["lang_code"]] = weight.get(s["lang_code"], 0.0) + s["words"] * s["confidence"]
-                    main = max(weight, key=lambda c: (weight[c], c)) if weight else None
+                    main = main_language([(s["lang_code"], s["confidence"]) for s in segments], doc)
                     mine = [s for s in segments if s["lang_code"] == main]
                     words = sum(s["words"] for s in mine)
                     sure = sum(s["words"] * s["confidence"] for s in mine) / words if words else None
