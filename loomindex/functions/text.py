@@ -54,9 +54,14 @@ def stems(terms: Column) -> Column:
     return F.array_distinct(F.transform(terms, stem))
 
 
+def folded_text(text: Column) -> Column:
+    """Lower case, accents stripped."""
+    return F.translate(F.lower(text), *_ACCENTS)
+
+
 def search_tokens(text: Column) -> Column:
-    """Tokens of the full-text index: lower-case runs of letters and digits, accents stripped."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_ACCENTS), F.lit(r"([\p{L}\p{N}]+)"))
+    """Tokens of the full-text index: runs of letters and digits of the folded text; null has none."""
+    return F.regexp_extract_all(folded_text(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"))
 
 
 def _accent_table() -> tuple[str, str]:

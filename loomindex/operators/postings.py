@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomindex.functions.text import search_tokens
+from loomindex.functions.text import folded_text, search_tokens
+from loomindex.session import materialize
 
 FIELDS = ["path", "name", "kind", "signature", "body", "doc", "language"]
 CONTENT = ["name", "signature", "doc", "body"]
@@ -34,14 +35,23 @@ def postings(symbols: DataFrame) -> DataFrame:
     return t.select("id", fields).select(F.posexplode("f.tokens").alias("position", "term"), F.col("id").alias("symbol_id"), "f.field").select("term", "symbol_id", "field", "position")
 
 
-def occurrences(tokens: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens follow one another."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    k = len(phrase)
-    wanted = F.array(*map(F.lit, phrase))
-    starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(tokens, i, F.lit(k)) == wanted))
+#: Stands between fields, so that no phrase goes on into the next one.
+_EDGE = "\u0001"
+_LETTER = r"\p{L}\p{N}"
+
+
+def indexed_text(symbols: DataFrame) -> DataFrame:
+    """id, kind and all indexed fields as one folded text."""
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in FIELDS]
+    content = F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in CONTENT])
+    return symbols.select("id", "kind", folded_text(F.concat_ws(_EDGE, *fields, content)).alias("text"))
+
+
+def occurrences(text: Column, phrase: list[str] | tuple[str, ...]) -> Column:
+    """How often the phrase's tokens follow one another within a field of a folded text."""
+    pattern = f"(?<![{_LETTER}])" + f"[^{_LETTER}{_EDGE}]+".join(phrase) + f"(?![{_LETTER}])"
+    # Most rows do not hold the first token at all, which is cheaper to see.
+    return F.when(text.contains(phrase[0]), F.regexp_count(text, F.lit(pattern))).otherwise(0)
 
 
 def bm25(symbols: DataFrame, phrases: list[list[str]], kinds: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -49,10 +59,11 @@ def bm25(symbols: DataFrame, phrases: list[list[str]], kinds: list[str] | tuple[
 
     The statistics are those of all symbols, whatever the kinds. No phrases or no symbols give no rows.
     """
-    t = tokenised(symbols)
-    all_fields = [F.col(f"t_{c}") for c in [*FIELDS, "content"]]
-    counts = [reduce(lambda x, y: x + y, [occurrences(c, list(p)) for c in all_fields]).alias(f"f{i}") for i, p in enumerate(phrases)]
-    counted = t.select("id", "kind", reduce(lambda x, y: x + y, [F.size(c) for c in all_fields]).alias("length"), *counts)
+    text = F.col("text")
+    counts = [occurrences(text, p).alias(f"f{i}") for i, p in enumerate(phrases)]
+    counted = indexed_text(symbols).select("id", "kind", F.regexp_count(text, F.lit(f"[{_LETTER}]+")).alias("length"), *counts)
+    # A few numbers a symbol, used for the statistics and for the scores.
+    counted = materialize(counted, "term-counts")
     hits = [F.col(f"f{i}") > 0 for i in range(len(phrases))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.sum(h.cast("long")).alias(f"n{i}") for i, h in enumerate(hits)])
     rows = counted.filter(reduce(lambda x, y: x | y, hits, F.lit(False)))

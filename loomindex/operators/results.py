@@ -74,13 +74,14 @@ def quality(results: DataFrame) -> DataFrame:
         (t("similarity") >= 0.7) & (t("margin") >= 0.15) & (t("confidence") == "related") & (t("retrieval_trust") == "high") & (t("contribution") != "lexical_only")
     )
     usable = ((t("confidence") == "related") & (t("retrieval_trust") != "low")) | (t("confidence") == "strong")
+    say = lambda level, reason, nothing: F.struct(F.lit(level).alias("level"), F.lit(reason).alias("reason"), F.lit(nothing).alias("no_strong_match"))
     verdict = (
-        F.when(F.col("results") == 0, F.struct(F.lit("none").alias("level"), F.lit("no_results").alias("reason"), F.lit(True).alias("no_strong_match")))
-        .when(is_strong(t("confidence"), t("retrieval_trust")), F.struct(F.lit("strong"), F.lit("top_result_strong"), F.lit(False)))
-        .when(confirmed, F.struct(F.lit("strong"), F.lit("top_result_semantically_confirmed"), F.lit(False)))
-        .when(F.col("strong_matches") > 0, F.struct(F.lit("moderate"), F.lit("strong_match_present"), F.lit(False)))
-        .when(usable, F.struct(F.lit("moderate"), F.lit("related_but_actionable"), F.lit(True)))
-        .otherwise(F.struct(F.lit("weak"), F.lit("only_weak_matches"), F.lit(True)))
+        F.when(F.col("results") == 0, say("none", "no_results", True))
+        .when(is_strong(t("confidence"), t("retrieval_trust")), say("strong", "top_result_strong", False))
+        .when(confirmed, say("strong", "top_result_semantically_confirmed", False))
+        .when(F.col("strong_matches") > 0, say("moderate", "strong_match_present", False))
+        .when(usable, say("moderate", "related_but_actionable", True))
+        .otherwise(say("weak", "only_weak_matches", True))
     )
     return facts.select(verdict.alias("v"), "results", "strong_matches").select("v.*", "results", "strong_matches")
 

@@ -13,13 +13,14 @@ from loomindex.functions.text import body_summary, snippet
 from loomindex.operators import graph, results, scoring
 from loomindex.operators.candidates import candidates, channels_of, contribution, exact_matches, fusion_score, kind_order
 from loomindex.plans.spec import QuerySpec
+from loomindex.session import materialize
 
 PAYLOAD = ["id", "path", "language", "kind", "name", "signature", "doc", "fallback", "start_line", "start_column", "end_line", "end_column"]
 
 
 def pool(symbols: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None) -> DataFrame:
     """The best candidates of a query by text, place and kind, before the graph is looked at."""
-    found = candidates(symbols, spec, embeddings)
+    found = materialize(candidates(symbols, spec, embeddings), "candidates")
     # Bodies are read for the few candidates only.
     rows = symbols.join(F.broadcast(found), "id").filter(scoring.fits_intent(spec)).withColumn("match", scoring.match(spec))
     base = fusion_score() if spec.hybrid else F.col("raw_score")
@@ -31,7 +32,8 @@ def pool(symbols: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = Non
         classify.trust_of(extraction).alias("trust"), classify.retrieval_trust(extraction, confidence).alias("retrieval_trust"), "similarity", channels_of().alias("channels"),
         contribution().alias("contribution"), "lexical", "concept", "semantic", "raw_score", adjusted.alias("adjusted"),
     )
-    return scored.orderBy("adjusted", "raw_score", "id").limit(max(4 * spec.limit, 20))
+    # A few rows that later stages use several times.
+    return materialize(scored.orderBy("adjusted", "raw_score", "id").limit(max(4 * spec.limit, 20)), "pool")
 
 
 def search(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None, width: int | None = None) -> DataFrame:
@@ -70,7 +72,7 @@ def best_by_name(symbols: DataFrame, name: str, top: int = 1) -> DataFrame:
 
 def lookup(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None) -> DataFrame:
     """The best match of a query (role ``match``), symbols related to it, and the alternatives."""
-    found = search(symbols, relations, files, spec, embeddings).select("id", "position")
+    found = materialize(search(symbols, relations, files, spec, embeddings).select("id", "position"), "found")
     best = symbols.join(F.broadcast(found.filter("position = 1")), "id").select("id", "path", "start_line", "start_column", "end_line", "end_column")
     related = graph.traversal(symbols, relations, best, 5).select(F.col("neighbour_id").alias("id"), F.col("traversal").alias("role"), "place")
     ranked = found.select("id", F.when(F.col("position") == 1, "match").otherwise("alternative").alias("role"), F.col("position").alias("place"))
