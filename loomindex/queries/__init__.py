@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["text_queries", "search_queries", "graph_queries", "orphan_queries"]
+TOPICS = ["text_queries", "search_queries", "graph_queries", "change_queries", "extract_queries", "orphan_queries"]
 
 
 def registered() -> tuple[dict, dict]:
