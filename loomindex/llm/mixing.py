@@ -78,7 +78,7 @@ class Mix:
         self.facts = []
         for r in rows:
             share = r.target_share / whole if r.tokens else 0.0
-            rate = min(share * total / r.tokens, r.max_repeats) if r.tokens else 0.0
+            rate = float(min(share * total / r.tokens, r.max_repeats)) if r.tokens else 0.0
             mean = mean_for_rate(rate, r.max_repeats)
             below = [0.0] * r.max_repeats if math.isinf(mean) else poisson_below(mean, r.max_repeats)
             strata = max(1, math.ceil(r.records / stratum))
