@@ -87,7 +87,7 @@ def paragraph_words(text: str) -> list[list[str]]:
             # Names with an inner upper-case letter are identifiers.
             if not (word[1:].islower() or word.isupper() or len(word) == 1 or "'" in word or "’" in word or "-" in word):
                 continue
-            words += [w for w in _ELISION.split(word.lower()) if w]
+            words.append(word.lower())
         if words:
             out.append(words)
     return out
@@ -103,7 +103,7 @@ def label_code(label: str | None) -> str | None:
 
 
 def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    spaced = [f" {w} " for w in words]
+    spaced = [f" {_ELISION.sub(' ', w)} " for w in words]
     codes = np.array([ord(c) for w in spaced for c in w], np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(w) for w in spaced])]).astype(np.int64)
     return ngrams(codes, starts, ORDERS, BITS)
