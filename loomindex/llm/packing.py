@@ -78,13 +78,11 @@ def _pack(table: pa.Table) -> pa.Table:
     table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
     sizes = table["tokens"].to_numpy()
     capacity = table["capacity_tokens"][0].as_py()
-    shard = table["shard"][0].as_py()
-    container = best_fit_decreasing(sizes, capacity) + (shard << 40)
-    return pa.table({"limit_id": table["limit_id"], "capacity_tokens": table["capacity_tokens"], "container_id": container, "doc_id": table["doc_id"], "piece": table["piece"], "tokens": table["tokens"]})
+    return pa.table({"limit_id": table["limit_id"], "capacity_tokens": table["capacity_tokens"], "shard": table["shard"], "container": best_fit_decreasing(sizes, capacity), "doc_id": table["doc_id"], "piece": table["piece"], "tokens": table["tokens"]})
 
 
 def pack(sizes: DataFrame, limits: DataFrame, shard_items: int = 50_000) -> DataFrame:
-    """One row per placed piece: limit_id, capacity_tokens, container_id, doc_id, piece, tokens.
+    """One row per placed piece: limit_id, capacity_tokens, container_id (unique within a limit), doc_id, piece, tokens.
 
     ``sizes``: doc_id, tokens. ``limits``: limit_id, capacity_tokens; each limit packs all items by
     itself. Items of size 0 are placed too. Null or non-positive capacities are no limits; empty
@@ -94,7 +92,7 @@ def pack(sizes: DataFrame, limits: DataFrame, shard_items: int = 50_000) -> Data
     wanted = limits.filter("limit_id is not null and capacity_tokens > 0").groupBy("limit_id").agg(F.min("capacity_tokens").alias("capacity_tokens"))
     # A limits table has a few rows; it is made an array column, so that each item meets each limit without a join.
     found = [(r.limit_id, r.capacity_tokens) for r in wanted.collect()]
-    schema = "limit_id int, capacity_tokens int, container_id bigint, doc_id bigint, piece int, tokens bigint"
+    schema = "limit_id int, capacity_tokens int, container_id string, doc_id bigint, piece int, tokens bigint"
     if not found:
         return items.sparkSession.createDataFrame([], schema)
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(c).cast("int").alias("capacity_tokens")) for i, c in found])).alias("limit")
@@ -106,12 +104,13 @@ def pack(sizes: DataFrame, limits: DataFrame, shard_items: int = 50_000) -> Data
     whole = F.col("tokens") == F.col("capacity_tokens")
     # Full pieces need no search: each is a container of its own.
     alone = pieces.filter(whole).select(
-        "limit_id", "capacity_tokens", (-F.abs(F.xxhash64("doc_id", "piece")) - 1).alias("container_id"), "doc_id", "piece", "tokens"
+        "limit_id", "capacity_tokens", F.concat_ws(".", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "tokens"
     )
     shards = max(1, math.ceil(items.count() / shard_items))
     open_pieces = pieces.filter(~whole).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    packed = open_pieces.groupBy("limit_id", "shard").applyInArrow(_pack, schema)
-    return packed.union(alone)
+    packed = open_pieces.groupBy("limit_id", "shard").applyInArrow(_pack, schema.replace("container_id string", "shard bigint, container bigint"))
+    named = F.concat_ws(".", F.lit("shard"), "shard", "container").alias("container_id")
+    return packed.select("limit_id", "capacity_tokens", named, "doc_id", "piece", "tokens").union(alone)
 
 
 def pack_report(packed: DataFrame) -> DataFrame:
