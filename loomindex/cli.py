@@ -1,8 +1,9 @@
-"""Commands over an index folder: query, lookup, show, graph, status, report. Answers are JSON lines."""
+"""Commands over an index folder: index, query, lookup, show, graph, status, report. Answers are JSON lines."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomindex.operators import changes
 from loomindex.plans import search as plans
+from loomindex.plans.index import read, refresh
 from loomindex.plans.spec import QuerySpec
 from loomindex.sources import tables
 
@@ -17,6 +19,7 @@ from loomindex.sources import tables
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("loomindex")
     p.add_argument("--index", required=True, help="folder with the index tables")
+    p.add_argument("--versions", action="store_true", help="the folder was written by the index command")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("query", "lookup"):
         c = sub.add_parser(name)
@@ -37,16 +40,21 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--limit", type=int, default=20)
     sub.add_parser("status")
     sub.add_parser("report")
+    c = sub.add_parser("index", help="bring the index tables up to date with a source tree")
+    c.add_argument("root")
+    c.add_argument("--scope", default="", help="paths to leave out, one a line")
+    c.add_argument("--rebuild", action="store_true")
     return p
 
 
 def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    s, f = tables.symbols(spark, args.index), tables.files(spark, args.index)
+    own = read(spark, args.index) if args.versions else None
+    s, f = (own["symbols"], own["files"]) if own else (tables.symbols(spark, args.index), tables.files(spark, args.index))
     if args.command == "status":
         return plans.status(s, f)
     if args.command == "report":
         return changes.transitions(tables.table(spark, args.index, "events"), ["view", "click", "purchase"])
-    r = tables.relations(spark, args.index)
+    r = own["relations"] if own else tables.relations(spark, args.index)
     if args.command in ("query", "lookup"):
         spec = QuerySpec(
             args.text, args.limit, tuple(args.kind), args.docs_only, args.code_only, args.exclude_tests, args.prefer_implementation, tuple(args.path), tuple(args.exclude_path)
@@ -59,6 +67,9 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("loomindex").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.command == "index":
+        print(json.dumps(refresh(spark, args.root, args.index, args.scope, args.rebuild)))
+        return 0
     for line in answer(spark, args).select(F.to_json(F.struct("*"))).toLocalIterator():
         print(line[0])
     return 0

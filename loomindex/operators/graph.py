@@ -54,9 +54,9 @@ def graph_support(candidates: DataFrame, relations: DataFrame, roots: DataFrame
     """
     code = candidates.filter("language <> 'markdown'").select("id", "path", "kind")
     same = code.groupBy("path").agg(F.count("*").alias("same"))
-    total = code.agg(F.count("*").alias("all_code"))
+    enough = code.limit(2).count() >= 2
     counts = edge_counts(neighbourhood(relations, code))
-    rows = code.join(same, "path").join(counts, "path", "left").join(F.broadcast(total), F.lit(True)).filter("all_code >= 2")
+    rows = code.join(same, "path").join(counts, "path", "left").filter(F.lit(enough))
     if roots is not None:
         rows = rows.join(roots.select("path").distinct().withColumn("root", F.lit(True)), "path", "left")
     else:

@@ -8,6 +8,7 @@ same index as a table (term, symbol, field, position), for callers that keep it.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,16 +66,15 @@ def bm25(symbols: DataFrame, phrases: list[list[str]], kinds: list[str] | tuple[
     # A few numbers a symbol, used for the statistics and for the scores.
     counted = materialize(counted, "term-counts")
     hits = [F.col(f"f{i}") > 0 for i in range(len(phrases))]
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.sum(h.cast("long")).alias(f"n{i}") for i, h in enumerate(hits)])
+    # One row of statistics; as literals they need no join.
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.sum(h.cast("long")).alias(f"n{i}") for i, h in enumerate(hits)]).first()
     rows = counted.filter(reduce(lambda x, y: x | y, hits, F.lit(False)))
     if kinds:
         rows = rows.filter(F.col("kind").isin(*kinds))
-    # One row of statistics meets every hit.
-    joined = rows.join(F.broadcast(stats), F.lit(True))
     score = F.lit(0.0)
     for i in range(len(phrases)):
-        f = F.col(f"f{i}").cast("double")
-        weight = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        weight = F.when(weight <= 0, F.lit(LEAST_WEIGHT)).otherwise(weight)
-        score = score - weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return joined.select("id", F.round(score, 9).alias("raw_score"))
+        f, have = F.col(f"f{i}").cast("double"), float(stats[f"n{i}"] or 0)
+        weight = math.log((stats.n - have + 0.5) / (have + 0.5))
+        weight = LEAST_WEIGHT if weight <= 0 else weight
+        score = score - F.lit(weight) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(float(stats.mean_length or 1.0))))
+    return rows.select("id", F.round(score, 9).alias("raw_score"))

@@ -67,7 +67,7 @@ def symbol_constants(spark, folder):
 def symbol_uses(spark, folder):
     """Calls in all bodies whose root is a symbol of the same file or an import."""
     s = tables.symbols(spark, folder)
-    bodies = s.filter("kind not in ('import', 'file')").select("path", "language", F.col("body").alias("text"))
+    bodies = s.filter("kind not in ('import', 'file')").select("id", "path", "language", F.col("body").alias("text"))
     return relations.use_relations(bodies, symbol_imports(spark, folder), s)
 
 

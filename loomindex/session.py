@@ -50,14 +50,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts the lineage for plans that use an expensive frame several times. A lost executor costs
-    nothing, since the files are in shared storage.
+    nothing, since the files are in shared storage. The table is removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomindex/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:  # a remote session has none; its folder is cleaned by whoever owns it
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 @atexit.register
 def _clear_own_folders() -> None:
     for folder in _own_folders:

@@ -108,11 +108,17 @@ def constant_relations(texts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def use_relations(texts: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls whose root is an imported name (target: that file) or a symbol of the same file (target: itself)."""
-    rows = texts.filter("path is not null and text is not null")
-    calls = rows.select("path", _all("text", r"(?<![\w.])([A-Za-z_]\w*(?:\.\w+)*)\s*\(").alias("call")).withColumn("root", F.regexp_extract("call", r"^(\w+)", 1))
+    """Calls whose root is an imported name (target: that file) or a symbol of the same file (target: itself).
+
+    Where the texts have an ``id`` (a symbol's body), the relation has it as source_symbol_id, else null.
+    """
+    owner = F.col("id") if "id" in texts.columns else F.lit(None)
+    rows = texts.filter("path is not null and text is not null").select("path", "text", owner.cast("long").alias("owner"))
+    calls = rows.select("path", "owner", _all("text", r"(?<![\w.])([A-Za-z_]\w*(?:\.\w+)*)\s*\(").alias("call")).withColumn("root", F.regexp_extract("call", r"^(\w+)", 1))
     names = imports.filter("target_path is not null").select(F.col("source_path").alias("path"), "target_path", F.regexp_extract("target_label", r"(\w+)(?:\.\w+)?$", 1).alias("root")).distinct()
-    outside = calls.join(names, ["path", "root"]).select("path", "target_path", "call")
+    members = imports.filter("target_path is not null").select(F.col("source_path").alias("path"), "target_path", F.regexp_extract("target_label", r"(\w+)$", 1).alias("root")).distinct()
+    outside = calls.join(names.union(members).distinct(), ["path", "root"]).select("path", "owner", "target_path", "call")
     own = symbols.filter(~F.col("kind").isin("import", "file")).select("path", F.col("name").alias("root")).distinct()
-    inside = calls.join(own, ["path", "root"], "left_semi").select("path", F.col("path").alias("target_path"), "call")
-    return outside.union(inside).distinct().select(F.col("path").alias("source_path"), F.lit("uses").alias("relation_kind"), "target_path", F.col("call").alias("target_label"))
+    inside = calls.join(own, ["path", "root"], "left_semi").select("path", "owner", F.col("path").alias("target_path"), "call")
+    found = outside.union(inside).distinct()
+    return found.select(F.col("owner").alias("source_symbol_id"), F.col("path").alias("source_path"), F.lit("uses").alias("relation_kind"), "target_path", F.col("call").alias("target_label"))

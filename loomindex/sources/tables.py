@@ -24,14 +24,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def once(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows delivered twice count once: one row per key, the same one whatever the order of delivery.
+    """Rows delivered twice count once: one row per key.
 
-    Only the given keys are shuffled together with the row; map-side aggregation merges repeated rows
-    before the exchange, so a row delivered many times does not make a hot task.
+    An aggregate per column, so that columns that a query does not use are pruned down to the scan.
+    Map-side aggregation merges repeated rows before the exchange, so a row delivered many times
+    makes no hot task. (Rows of one key are the same row; were they not, each column would take its least value.)
     """
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else df.distinct()
-    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]) if rest else picked
+    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest]) if rest else df.distinct()
 
 
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
