@@ -149,17 +149,18 @@ def _prefixes(width: int, least: int, bits: int, threshold: float, counts) -> Ca
 
 
 def _whole(width: int, least: int, wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, runs): all runs of the texts whose hashed id is in the bit table."""
+    """(id, sig_a, sig_b, runs): all runs of the texts whose hashed id is in the bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch["slot"].to_numpy()
             batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            runs, _, sizes, rows = _sets(batch["text"], width, least)
+            runs, first, sizes, rows = _sets(batch["text"], width, least)
             if not len(rows):
                 continue
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows)), pa.ListArray.from_arrays(ends, pa.array(runs.view(np.int64)))], ["id", "runs"])
+            lists = pa.ListArray.from_arrays(ends, pa.array(runs.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows)), *map(pa.array, _signatures(runs, first)), lists], ["id", "sig_a", "sig_b", "runs"])
 
     return run
 
@@ -182,8 +183,8 @@ class NearDuplicates:
     """The classes of equal run sets, and the pairs of classes whose share reaches the threshold.
 
     ``texts`` has columns id, identity, text; other columns are ignored. Null, empty and short texts
-    (fewer than ``least`` distinct runs) take no part. Repeated rows (same id) count once. An id that
-    comes with two different texts belongs to both classes.
+    (fewer than ``least`` distinct runs) take no part. Repeated rows (same id) count once. Of different
+    texts of one id, the one with the least signature counts.
     """
 
     def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8, least: int = 1, count_bits: int = 22):
@@ -206,9 +207,15 @@ class NearDuplicates:
             total[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.counts, np.uint8)
         counts = spark.sparkContext.broadcast(total)
         members = counted.filter("chunk is null")
+        # Ids with several texts are rare; only where there are any does dropping them cost a join.
+        kept = members.groupBy("id").agg(F.min(F.struct("sig_a", "sig_b")).alias("kept"), F.max(F.struct("sig_a", "sig_b")).alias("other"))
+        several = kept.filter("kept <> other").select("id", "kept")
+        self._several = None if several.limit(1).isEmpty() else materialize(several, "several")
+        members = self._of_one_text(members)
         prefixed = lower.select("id", "text").mapInArrow(
             _prefixes(width, least, count_bits, threshold, counts), "id bigint, sig_a bigint, sig_b bigint, n int, prefix array<bigint>"
         )
+        prefixed = self._of_one_text(prefixed)
         # A representative: the smallest id of a class. Copies merge before the shuffle.
         reps = prefixed.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         self._postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "run"))
@@ -217,6 +224,12 @@ class NearDuplicates:
         self.members = members.select("id", "identity", "sig_a", "sig_b", "n").distinct().join(least_id, ["sig_a", "sig_b"]).select("id", "identity", "rep", "n")
         self._texts, self._width, self._least = lower.select("id", "text", _slot(F.col("id")).alias("slot")), width, least
 
+    def _of_one_text(self, rows: DataFrame) -> DataFrame:
+        if self._several is None:
+            return rows
+        mine = F.col("kept.sig_a").isNull() | ((F.col("kept.sig_a") == F.col("sig_a")) & (F.col("kept.sig_b") == F.col("sig_b")))
+        return rows.join(self._several, "id", "left").filter(mine).drop("kept")
+
     def candidates(self) -> DataFrame:
         """(rep_a, rep_b, need): pairs that the length, positional and suffix filters leave."""
         p = self._postings
@@ -244,7 +257,8 @@ class NearDuplicates:
         found = materialize(self.candidates(), "candidates")
         ids = found.select(F.col("rep_a").alias("id")).union(found.select(F.col("rep_b").alias("id")))
         wanted = found.sparkSession.sparkContext.broadcast(_wanted_bits(ids))
-        sets = self._texts.mapInArrow(_whole(self._width, self._least, wanted), "id bigint, runs array<bigint>").join(ids.distinct(), "id", "left_semi")
+        sets = self._texts.mapInArrow(_whole(self._width, self._least, wanted), "id bigint, sig_a bigint, sig_b bigint, runs array<bigint>").join(ids.distinct(), "id", "left_semi")
+        sets = self._of_one_text(sets)
         sets = materialize(sets.groupBy("id").agg(F.first("runs").alias("runs")), "sets")
         a = sets.select(F.col("id").alias("rep_a"), F.col("runs").alias("runs_a"))
         b = sets.select(F.col("id").alias("rep_b"), F.col("runs").alias("runs_b"))

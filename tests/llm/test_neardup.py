@@ -85,3 +85,10 @@ def test_identity_tells_nulls(spark):
     df = spark.createDataFrame([("a", None), (None, "a"), ("a", None)], "x string, y string").select(identity_of("x", "y").alias("i"))
     ids = [r.i for r in df.collect()]
     assert ids[0] == ids[2] != ids[1]
+
+
+def test_an_id_with_two_texts_counts_once(spark):
+    rows = [(1, 1, "a b c d e f g"), (1, 1, "p q r s t u v"), (2, 2, "a b c d e f g"), (3, 3, "p q r s t u v")]
+    near = NearDuplicates(spark.createDataFrame(rows, "id bigint, identity bigint, text string"))
+    assert sorted(r.id for r in near.members.collect()) == [1, 2, 3]
+    assert len(found(near)) == 1
