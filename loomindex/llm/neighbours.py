@@ -217,14 +217,20 @@ class Neighbours:
         self.k, self.floor, self.m, self.limit, self.load = k, floor, m, chi_square_quantile(p, m), load
         spark = vectors.sparkSession
         rows = materialize(usable_vectors(vectors), "vectors")
-        # A few numbers a model reach the driver, and a bounded sample of each model.
+        # A few numbers a model reach the driver, and a sample of about ``sample`` vectors of each.
         counts = {(r.model, r.dimensions): r.n for r in rows.groupBy("model", "dimensions").agg(F.count("*").alias("n")).collect()}
+        parts = [(model, dimensions, int(min(1.0, sample / n) * (1 << 20)) + 1) for (model, dimensions), n in counts.items()]
+        seen: dict = {}
+        if parts:
+            shares = F.broadcast(spark.createDataFrame(parts, "model string, dimensions int, share int"))  # one row a model
+            taken = rows.join(shares, ["model", "dimensions"]).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share")).select("model", "dimensions", "vector").toArrow()
+            for i, key in enumerate(zip(taken["model"].to_pylist(), taken["dimensions"].to_pylist())):
+                seen.setdefault(key, []).append(i)
         trees = {}
-        for (model, dimensions), n in counts.items():
-            of_model = rows.filter((F.col("model") == model) & (F.col("dimensions") == dimensions))
-            share = min(1.0, sample / n)
-            taken = of_model.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vector").limit(sample).toArrow()
-            trees[model, dimensions] = Tree(_unit_rows(_matrix(taken["vector"])) @ directions(dimensions, m), math.ceil(n / unit_size)) if len(taken) else Tree(np.zeros((0, m)), 1)
+        for key, n in counts.items():
+            at = pa.array(seen.get(key, []), pa.int64())
+            points = _unit_rows(_matrix(taken["vector"].take(at))) @ directions(key[1], m) if len(at) else np.zeros((0, m))
+            trees[key] = Tree(points, math.ceil(n / unit_size))
         held = spark.sparkContext.broadcast(trees)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
