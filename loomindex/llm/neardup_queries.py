@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomindex.llm.components import components
 from loomindex.llm.neardup import NearDuplicates, identity_of
 from loomindex.sources.tables import table
 
@@ -46,5 +47,15 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per symbol that is an edited copy of others: its group, by chains of links (five words, 0.8)."""
+    near = NearDuplicates(_symbols(spark, folder))
+    groups = components(near.pairs().select("rep_a", "rep_b"))
+    joined = near.members.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    grouped = joined.select(F.col("id").alias("symbol_id"), F.coalesce("component", "rep").alias("group_id"))
+    several = grouped.groupBy("group_id").agg(F.count("*").alias("symbols")).filter("symbols > 1")
+    return grouped.join(several, "group_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_groups": p1_groups}
 SQL: dict[str, str] = {}
