@@ -139,17 +139,15 @@ class Discriminator:
                 if (guess == code or sure < 0.8) and len(more.setdefault(code, [])) < per_language:
                     more[code].append((code, p))
         if more:
-            self._fit(known + [x for part in more.values() for x in part], epochs)
+            self._fit(known + [x for part in more.values() for x in part], max(2, epochs // 2))
 
     def _fit(self, known: list[tuple[str, list[str]]], epochs: int) -> None:
+        """Each text is also shown in halves, and all of these without their accents."""
         texts, codes = [], []
-        for code, words in known:
-            half = len(words) // 2
-            for part in (words, words[:half], words[half:]):
-                for shown in (part, [plain_letters(w) for w in part]):
-                    if shown:
-                        texts.append(shown)
-                        codes.append(code)
+        for code, part in [(code, part) for code, w in known for part in (w, w[: len(w) // 2], w[len(w) // 2 :])]:
+            if part:
+                texts += [part, [plain_letters(w) for w in part]]
+                codes += [code, code]
         flat = [w for t in texts for w in t]
         features, rows = _word_features(flat)
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
