@@ -138,6 +138,7 @@ def root_reasons(path: Column, language: Column, names: Column) -> Column:
     lowered = F.transform(names, lambda n: F.lower(n))
     style = in_folder(path, "static/css") | in_folder(path, "styles") | folded(path).contains("/assets/css/")
     front = in_folder(path, "dashboard_frontend") | in_folder(path, "frontend") | in_folder(path, "web")
+    # The reasons as they are reported, in their order.
     rules = [
         (name == "__main__.py", "python __main__ entrypoint"),
         (name.isin(ENTRY_NAMES), "common startup or entrypoint filename"),
