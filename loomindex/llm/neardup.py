@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomindex.llm.shingles import run_hashes
+from loomindex.llm.shingles import by_bytes, run_hashes
 from loomindex.session import materialize
 
 #: 64-bit words of parities in the suffix filter.
@@ -87,7 +87,7 @@ def _count(width: int, least: int, bits: int) -> Callable[[Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int32)
         names = ["chunk", "counts", "id", "identity", "sig_a", "sig_b", "n", *_SKETCHES]
-        for batch in batches:
+        for batch in by_bytes(batches):
             runs, first, sizes, rows = _sets(batch["text"], width, least)
             if not len(rows):
                 continue
@@ -126,7 +126,7 @@ def _prefixes(width: int, least: int, bits: int, threshold: float, counts) -> Ca
     """(id, sig_a, sig_b, n, prefix) with the prefix in rare-first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             runs, first, sizes, rows = _sets(batch["text"], width, least)
             if not len(rows):
                 continue
@@ -152,7 +152,7 @@ def _whole(width: int, least: int, wanted) -> Callable[[Iterator[pa.RecordBatch]
     """(id, sig_a, sig_b, runs): all runs of the texts whose hashed id is in the bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             at = batch["slot"].to_numpy()
             batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             runs, first, sizes, rows = _sets(batch["text"], width, least)

@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+BATCH_BYTES = 16 << 20
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that hold about ``limit`` bytes of text, so that memory does not grow with the texts' length."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // limit
+        starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
+        for at, end in zip(starts, [*starts[1:], len(sizes)]):
+            yield batch.slice(at, end - at)
+
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)

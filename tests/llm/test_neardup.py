@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomindex.llm.neardup import NearDuplicates, identity_of
-from loomindex.llm.shingles import run_hashes, word_hashes
+from loomindex.llm.shingles import by_bytes, run_hashes, word_hashes
 
 
 def runs(text, width):
@@ -92,3 +92,11 @@ def test_an_id_with_two_texts_counts_once(spark):
     near = NearDuplicates(spark.createDataFrame(rows, "id bigint, identity bigint, text string"))
     assert sorted(r.id for r in near.members.collect()) == [1, 2, 3]
     assert len(found(near)) == 1
+
+
+def test_batches_by_bytes_keep_all_rows():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 5, None, "b" * 30, "", "c", "d" * 12], "id": list(range(6))})
+    parts = list(by_bytes(iter([batch, batch.slice(0, 0)]), limit=10))
+    assert [i for p in parts for i in p["id"].to_pylist()] == list(range(6)) and len(parts) >= 3
+    a, b = run_hashes(batch["text"].slice(2), 1), run_hashes(pa.array(["b" * 30, "", "c", "d" * 12]), 1)
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
