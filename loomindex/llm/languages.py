@@ -120,7 +120,7 @@ def main_language(judged: list[tuple[str, float]], paragraphs: list[list[str]])
 class Discriminator:
     """The family machine and the one-versus-one machines of each family."""
 
-    def __init__(self, samples: list[tuple[str, str]], labelled: list[tuple[str | None, str]] = (), per_language: int = 400, epochs: int = 10):
+    def __init__(self, samples: list[tuple[str, str]], labelled: list[tuple[str | None, str]] = (), per_language: int = 200, epochs: int = 10):
         """``samples``: (language code, text). Languages outside FAMILIES are not used.
 
         ``labelled``: documents whose label may be wrong. Where the machines trained on the samples agree
@@ -148,10 +148,12 @@ class Discriminator:
             if part:
                 texts += [part, [plain_letters(w) for w in part]]
                 codes += [code, code]
-        flat = [w for t in texts for w in t]
-        features, rows = _word_features(flat)
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        data = sparse_rows(features, owner[rows] if len(rows) else rows, len(texts))
+        data = []
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
+            features, rows = _word_features([w for t in part for w in t])
+            owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
+            data += sparse_rows(features, owner[rows] if len(rows) else rows, len(part))
         codes = np.array(codes)
         first, second = FAMILIES.values()
         self.machines: list[tuple[tuple[str, ...], tuple[str, ...]]] = [(first, second)]

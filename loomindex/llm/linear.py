@@ -57,7 +57,7 @@ def sparse_rows(features: np.ndarray, rows: np.ndarray, n_rows: int) -> list[tup
     out = []
     for part in parts:
         index, times = np.unique(part, return_counts=True)
-        out.append((index, times / np.sqrt(max(len(part), 1))))
+        out.append((index.astype(np.int32), (times / np.sqrt(max(len(part), 1))).astype(np.float32)))
     return out
 
 

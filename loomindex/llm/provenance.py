@@ -171,9 +171,8 @@ class Machines:
 
         held = np.array([zlib.crc32(repository(p).encode()) % 5 == 0 for p in paths], bool)
         sizes, languages = files["size"].tolist(), files["language"].tolist()
-        plain = views(paths, heads, sizes, languages)
-        hidden = views([p for p, _ in without], [h for _, h in without], sizes, languages)
-        rows = self._rows(plain, len(paths)) + self._rows(hidden, len(paths))
+        plain = self._rows(paths, heads, sizes, languages)
+        rows = plain + self._rows([p for p, _ in without], [h for _, h in without], sizes, languages)
         self.weights, self.bias, self.validation = np.zeros((len(KINDS), 5 << BITS), np.float32), np.zeros(len(KINDS)), {}
         shows = [evidence(p, h) for p, h in without]
         for k, kind in enumerate(KINDS):
@@ -184,16 +183,21 @@ class Machines:
             labels = np.concatenate([y, y])
             w = train([rows[i] for i in np.flatnonzero(use)], labels[use], 5 << BITS, epochs)
             self.weights[k], self.bias[k] = w[:-1], w[-1]
-        if len(paths):
-            guess = self.scores(plain, len(paths)) > 0
-            for k, kind in enumerate(KINDS):
-                truth = np.array([m[kind] for m in marks])
-                self.validation[kind] = float((guess[held, k] == truth[held]).mean()) if held.any() else float("nan")
+        for k, kind in enumerate(KINDS):
+            guess = [float(self.weights[k][index] @ value + self.bias[k]) > 0 for (index, value), out in zip(plain, held) if out]
+            truth = [m[kind] for m, out in zip(marks, held) if out]
+            self.validation[kind] = float(np.mean(np.equal(guess, truth))) if truth else float("nan")
 
     @staticmethod
-    def _rows(parts: list, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        each = [sparse_rows(f, r, n) for f, r in parts]
-        return [(np.concatenate([e[i][0] + (v << BITS) for v, e in enumerate(each)]), np.concatenate([e[i][1] for e in each])) for i in range(n)]
+    def _rows(paths: list, heads: list, sizes: list, languages: list, chunk: int = 500) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sparse rows over all views, a few files at a time."""
+        out = []
+        for at in range(0, len(paths), chunk):
+            part = slice(at, at + chunk)
+            n = len(paths[part])
+            each = [sparse_rows(f, r, n) for f, r in views(paths[part], heads[part], sizes[part], languages[part])]
+            out += [(np.concatenate([e[i][0] + (v << BITS) for v, e in enumerate(each)]), np.concatenate([e[i][1] for e in each])) for i in range(n)]
+        return out
 
     def scores(self, parts: list, n: int) -> np.ndarray:
         total = np.tile(self.bias, (n, 1))
@@ -205,7 +209,7 @@ class Machines:
 def _score(machines):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = machines.value
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, len(whole), 1000)):
             d = batch.to_pydict()
             n = len(d["path"])
             if not n:
