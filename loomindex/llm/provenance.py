@@ -3,9 +3,9 @@
 One linear support-vector machine per kind, on hashed character n-grams of the header comments, of
 the code and of the path, on path components, and on a few shape facts (size, line length, share of
 digits). Labels for training come from seeds: high-precision phrases, path parts and shapes. Each
-training file is also shown with its giveaway header and giveaway path parts masked, so that the
-machines have to learn the other traits too. Repositories (the first two path parts) are split for
-validation. Training uses a sample of at most ``sample`` files (by hash of the path); every file is
+training file is also shown with its giveaway header and giveaway path parts masked and, unless
+nothing is left of it, under its own label, so that the machines have to learn the other traits too.
+Repositories (the first two path parts) are split for validation, on the files as they are and masked. Training uses a sample of at most ``sample`` files (by hash of the path); every file is
 scored. Where a machine is not sure
 (score between -UNSURE and UNSURE) the seeds' evidence decides.
 
@@ -174,12 +174,12 @@ class Machines:
         plain = self._rows(paths, heads, sizes, languages)
         rows = plain + self._rows([p for p, _ in without], [h for _, h in without], sizes, languages)
         self.weights, self.bias, self.validation = np.zeros((len(KINDS), 5 << BITS), np.float32), np.zeros(len(KINDS)), {}
-        shows = [evidence(p, h) for p, h in without]
+        self.masked_recall = {}
+        # A masked file keeps its label unless nothing is left that could show it.
+        left = np.array([bool(p.strip("/") or h.strip()) for p, h in without], bool)
         for k, kind in enumerate(KINDS):
             y = np.array([1 if m[kind] else -1 for m in marks])
-            # A masked file keeps its label only where something else may show it.
-            still = np.array([m[kind] == s[kind] for m, s in zip(marks, shows)], bool)
-            use = np.concatenate([~held, ~held & still])
+            use = np.concatenate([~held, ~held & (left | (y < 0))])
             labels = np.concatenate([y, y])
             w = train([rows[i] for i in np.flatnonzero(use)], labels[use], 5 << BITS, epochs)
             self.weights[k], self.bias[k] = w[:-1], w[-1]
@@ -187,6 +187,9 @@ class Machines:
             guess = [float(self.weights[k][index] @ value + self.bias[k]) > 0 for (index, value), out in zip(plain, held) if out]
             truth = [m[kind] for m, out in zip(marks, held) if out]
             self.validation[kind] = float(np.mean(np.equal(guess, truth))) if truth else float("nan")
+            hidden = [rows[len(plain) + i] for i, (m, out) in enumerate(zip(marks, held)) if out and m[kind]]
+            hits = [float(self.weights[k][index] @ value + self.bias[k]) > 0 for index, value in hidden]
+            self.masked_recall[kind] = float(np.mean(hits)) if hits else float("nan")
 
     @staticmethod
     def _rows(paths: list, heads: list, sizes: list, languages: list, chunk: int = 500) -> list[tuple[np.ndarray, np.ndarray]]:

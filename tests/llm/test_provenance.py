@@ -64,6 +64,23 @@ def test_held_out_repositories_and_edge_cases(spark):
     assert file_provenance(files.limit(0), head).count() == 0
 
 
+def test_masked_positives_are_learned():
+    rng = random.Random(4)
+    words, paths, heads = ["alpha", "gamma", "omega", "delta"], [], []
+    for i in range(300):
+        made = i % 3 == 0
+        lines = [f"{rng.choice(words)} = {rng.choice(words)}({rng.randrange(99)})\n" for _ in range(12)]
+        code = "".join([*lines, "yystate(3)\n" if made else "", *lines])
+        paths.append(f"packages/r{i % 40}/src/n{i}.py")
+        heads.append(("# @generated by tool, do not edit\n" if made else "") + code)
+    sample = pd.DataFrame({"path": paths, "head": heads, "size": 100.0, "language": "python"})
+    without = [masked(p, h) for p, h in zip(paths, heads)]
+    machines = Machines(sample)
+    score = machines.scores(views([p for p, _ in without], [h for _, h in without], [100.0] * 300, ["python"] * 300), 300)[:, 0]
+    assert np.mean((score > 0) == (np.arange(300) % 3 == 0)) >= 0.9
+    assert machines.masked_recall["generated"] >= 0.9
+
+
 def test_views_of_empty_texts():
     parts = views(["a", ""], [None, ""], [None, 3.0], [None, "x"])
     assert len(parts) == 5 and all(len(f) == len(r) for f, r in parts)
