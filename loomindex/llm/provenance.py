@@ -5,9 +5,13 @@ the code and of the path, on path components, and on a few shape facts (size, li
 digits). Labels for training come from seeds: high-precision phrases, path parts and shapes. Each
 training file is also shown with its giveaway header and giveaway path parts masked and, unless
 nothing is left of it, under its own label, so that the machines have to learn the other traits too.
-Repositories (the first two path parts) are split for validation, on the files as they are and masked. Training uses a sample of at most ``sample`` files (by hash of the path); every file is
-scored. Where a machine is not sure
-(score between -UNSURE and UNSURE) the seeds' evidence decides.
+Repositories (the first two path parts) are held out in turn, for validation on the files as they are
+and masked, and for two thresholds per kind; the machines that are used are then trained on all.
+Training uses a sample of at most ``sample`` files (by hash of the path); every file is scored.
+
+A machine's hit is a score of at least ``low``, which every held-out positive reaches. Hits are then
+checked exactly: the seeds' evidence confirms them, and without it one stands only where it scores above
+``high``, which no held-out file without evidence reaches, and nothing in its header speaks against it.
 
 Scale: one pass over the joined tables; the weights that are broadcast have a fixed size.
 """
@@ -27,9 +31,11 @@ from pyspark.sql import functions as F
 from loomindex.llm.linear import ngrams, row_scores, sparse_rows, train
 
 KINDS = ("generated", "minified", "vendored", "data")
+#: Kinds that a header can speak against.
+_DENIABLE = ("generated", "vendored")
 BITS = 17
-#: Scores nearer to 0 than this are left to the seeds' evidence.
-UNSURE = 2.0
+#: Parts into which repositories are split; each is held out once.
+FOLDS = 3
 
 #: Fixed values. Phrases of headers; the first group of each kind marks it, ``_HAND`` speaks against any.
 _GENERATED = re.compile(
@@ -99,6 +105,13 @@ def evidence(path: str, head: str | None) -> dict[str, bool]:
     }
 
 
+def spoken_against(head: str | None) -> bool:
+    """Whether the header says that the file is written by hand or under the own licence."""
+    m = _COMMENT.match(head or "")
+    header = m.group() if m else ""
+    return bool(_HAND.search(header) or _OWN_LICENCE.search(header))
+
+
 def masked(path: str, head: str | None) -> tuple[str, str]:
     """The file without its giveaways: marking phrases, marking path parts."""
     header, code = split_head(head)
@@ -166,30 +179,44 @@ class Machines:
         paths, heads = files["path"].tolist(), [h if isinstance(h, str) else None for h in files["head"]]
         marks = [evidence(p, h) for p, h in zip(paths, heads)]
         without = [masked(p, h) for p, h in zip(paths, heads)]
-        # Validation by repository: a fifth of them is held out.
         import zlib
 
-        held = np.array([zlib.crc32(repository(p).encode()) % 5 == 0 for p in paths], bool)
+        fold = np.array([zlib.crc32(repository(p).encode()) % FOLDS for p in paths], np.int64)
         sizes, languages = files["size"].tolist(), files["language"].tolist()
         plain = self._rows(paths, heads, sizes, languages)
-        rows = plain + self._rows([p for p, _ in without], [h for _, h in without], sizes, languages)
+        n, rows = len(plain), plain + self._rows([p for p, _ in without], [h for _, h in without], sizes, languages)
         self.weights, self.bias, self.validation = np.zeros((len(KINDS), 5 << BITS), np.float32), np.zeros(len(KINDS)), {}
         self.masked_recall = {}
+        self.low, self.high = np.zeros(len(KINDS)), np.zeros(len(KINDS))
+        against = np.array([spoken_against(h) for h in heads], bool)
         # A masked file keeps its label unless nothing is left that could show it.
         left = np.array([bool(p.strip("/") or h.strip()) for p, h in without], bool)
         for k, kind in enumerate(KINDS):
-            y = np.array([1 if m[kind] else -1 for m in marks])
-            use = np.concatenate([~held, ~held & (left | (y < 0))])
+            y = np.array([1 if m[kind] else -1 for m in marks], np.int64)
             labels = np.concatenate([y, y])
-            w = train([rows[i] for i in np.flatnonzero(use)], labels[use], 5 << BITS, epochs)
+
+            def fit(part: np.ndarray) -> np.ndarray:
+                use = np.concatenate([part, part & (left | (y < 0))])
+                return train([rows[i] for i in np.flatnonzero(use)], labels[use], 5 << BITS, epochs)
+
+            score = np.zeros(2 * n)
+            for f in range(FOLDS if n else 0):
+                w = fit(fold != f)
+                for i in np.flatnonzero(np.tile(fold == f, 2)):
+                    score[i] = w[:-1][rows[i][0]] @ rows[i][1] + w[-1]
+            positive = y > 0
+            bare = score[:n][~positive & ~(against if kind in _DENIABLE else np.zeros(n, bool))]
+            self.low[k] = min(score[:n][positive].min(initial=0.0), 0.0)
+            self.high[k] = max(bare.max(initial=0.0), 0.0)
+            self.validation[kind] = float(np.mean((score[:n] > 0) == positive)) if n else float("nan")
+            self.masked_recall[kind] = float(np.mean(score[n:][positive] > 0)) if positive.any() else float("nan")
+            w = fit(np.ones(n, bool))
             self.weights[k], self.bias[k] = w[:-1], w[-1]
-        for k, kind in enumerate(KINDS):
-            guess = [float(self.weights[k][index] @ value + self.bias[k]) > 0 for (index, value), out in zip(plain, held) if out]
-            truth = [m[kind] for m, out in zip(marks, held) if out]
-            self.validation[kind] = float(np.mean(np.equal(guess, truth))) if truth else float("nan")
-            hidden = [rows[len(plain) + i] for i, (m, out) in enumerate(zip(marks, held)) if out and m[kind]]
-            hits = [float(self.weights[k][index] @ value + self.bias[k]) > 0 for index, value in hidden]
-            self.masked_recall[kind] = float(np.mean(hits)) if hits else float("nan")
+
+    def verdict(self, found: np.ndarray, shown: np.ndarray, against: np.ndarray) -> np.ndarray:
+        """Kinds (columns) of files (rows) from scores, the seeds' evidence and ``spoken_against``."""
+        denied = against[:, None] & np.array([kind in _DENIABLE for kind in KINDS])
+        return (found >= self.low) & (shown | (found > self.high) & ~denied)
 
     @staticmethod
     def _rows(paths: list, heads: list, sizes: list, languages: list, chunk: int = 500) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -220,7 +247,7 @@ def _score(machines):
             found = model.scores(views(d["path"], d["head"], d["size"], d["language"]), n)
             shown = [evidence(p, h) for p, h in zip(d["path"], d["head"])]
             sure = np.array([[s[k] for k in KINDS] for s in shown])
-            verdict = np.where(np.abs(found) >= UNSURE, found > 0, sure)
+            verdict = model.verdict(found, sure, np.array([spoken_against(h) for h in d["head"]]))
             kinds = [[k for k, v in zip(KINDS, row) if v] for row in verdict]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d["path"], pa.string()), pa.array([k or None for k in kinds], pa.list_(pa.string())), pa.array(found.max(axis=1))],

@@ -81,6 +81,21 @@ def test_masked_positives_are_learned():
     assert machines.masked_recall["generated"] >= 0.9
 
 
+def test_thresholds_are_held_out_and_seeds_only_check_hits():
+    rng = random.Random(5)
+    names = ["alpha", "gamma", "omega", "delta"]
+    paths = [f"packages/r{i % 40}/src/n{i}.py" for i in range(300)]
+    heads = [("# @generated by tool, do not edit\n" if i % 3 == 0 else "") + "".join(f"{rng.choice(names)} = {rng.randrange(99)}\n" for _ in range(12)) for i in range(300)]
+    machines = Machines(pd.DataFrame({"path": paths, "head": heads, "size": 100.0, "language": "python"}))
+    low, high = machines.low[0], machines.high[0]
+    assert -2 < low <= 0 <= high < 2
+    found = np.array([[low - 0.01], [low + 0.01], [high + 0.01], [high - 0.01], [high + 0.01]]) * np.array([[1, 0, 0, 0]])
+    shown, against = np.zeros((5, 4), bool), np.array([False, False, False, False, True])
+    shown[:2, 0] = True
+    # Rejected in spite of a seed, confirmed, alone, neither, denied by its header.
+    assert machines.verdict(found, shown, against)[:, 0].tolist() == [False, True, True, False, False]
+
+
 def test_views_of_empty_texts():
     parts = views(["a", ""], [None, ""], [None, 3.0], [None, "x"])
     assert len(parts) == 5 and all(len(f) == len(r) for f, r in parts)
