@@ -51,12 +51,14 @@ PATTERNS = {
     "yaml": [("key", r"^\s*(?P<name>[A-Za-z0-9_.-]+)\s*:(?:\s|$)")],
     "shell": [("function", r"^\s*(?:function\s+)?(?P<name>[A-Za-z_][\w-]*)\s*\(\)\s*\{?"), ("function", r"^\s*function\s+(?P<name>[A-Za-z_][\w-]*)\s*\{?")],
     "dockerfile": [("stage", r"^FROM\s+\S+\s+[Aa][Ss]\s+(?P<name>\S+)"), ("instruction", r"^(?P<kind>[A-Z]+)\s+(?P<name>\S+(?:\s+\S+){0,3})")],
-    "css": [("selector", r"^\s*(?P<name>[^{}@/\s][^{}]*?)\s*\{"), ("at_rule", r"^\s*(?P<name>@[^{};]+?)\s*\{")],
 }
 _COMPILED = {lang: [(k, re.compile(p)) for k, p in rules] for lang, rules in PATTERNS.items()}
 _QUOTED = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`")
 _RUBY_OPEN = re.compile(r"^\s*(?:class|module|def|if|unless|case|while|until|for|begin)\b|\bdo\b\s*(?:\|[^|]*\|)?\s*$")
-_ONE_LINE = {"import", "constant", "key", "stage", "selector", "at_rule"}
+_ONE_LINE = {"import", "constant", "key", "stage"}
+#: What stands before a block of a style sheet, and what is blanked beforehand: comments and quoted texts, which may hold braces.
+_CSS_HEAD = re.compile(r"([^{}]*)(?:(\{)|\}|\Z)")
+_CSS_OPAQUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 
 
 def _indent(line: str) -> int:
@@ -148,10 +150,49 @@ def _html(text: str) -> list[tuple]:
     return out
 
 
+def _parts(bare: str) -> list[tuple[int, int]]:
+    """Bounds of the parts of a list between its outer commas."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(bare):
+        depth = max(depth + (c in "([") - (c in ")]"), 0)
+        if c == "," and not depth:
+            out.append((at, i))
+            at = i + 1
+    return [*out, (at, len(bare))]
+
+
+def _css(text: str) -> list[tuple]:
+    """Selectors and at-rules before each block, over the whole text."""
+    text = text.replace("\r\n", "\n")
+    # Blanks of the same length keep all places; a comment is blank in both, a quoted text only for the search.
+    blank = re.compile(r"[^\n]")
+    shown = _CSS_OPAQUE.sub(lambda m: blank.sub(" ", m.group()) if m.group().startswith("/*") else m.group(), text)
+    bare = _CSS_OPAQUE.sub(lambda m: blank.sub(" " if m.group().startswith("/*") else "_", m.group()), text)
+    out, line, counted = [], 1, 0
+    for m in _CSS_HEAD.finditer(bare):
+        # What ends in a semicolon (imports, declarations around a nested rule) is no part of the head.
+        if not m.group(2):
+            continue
+        begin = m.start() + m.group(1).rfind(";") + 1
+        head = bare[begin : m.end(1)]
+        rule = head.lstrip().startswith("@")
+        for a, b in [(0, len(head))] if rule else _parts(head):
+            name = " ".join(shown[begin + a : begin + b].split())
+            if not name:
+                continue
+            first = begin + a + len(head[a:b]) - len(head[a:b].lstrip())
+            line, counted = line + text.count("\n", counted, first), first
+            end = line + head[a:b].strip().count("\n")
+            out.append(("at_rule" if rule else "selector", name, name, name, line, end))
+    return out
+
+
 def symbols_of(text: str, language: str) -> list[tuple]:
     """(kind, name, signature, body, start_line, end_line) of a text; lines count from 1."""
     if language == "html":
         return _html(text) if len(text) <= OVERSIZE_CHARS else []
+    if language == "css":
+        return _css(text)
     rules = _COMPILED.get(language, [])
     lines = text.replace("\r\n", "\n").split("\n")
     exact = _python_ends(text) if language == "python" and len(text) <= OVERSIZE_CHARS else {}
@@ -177,9 +218,9 @@ def symbols_of(text: str, language: str) -> list[tuple]:
                 end = _end_by_keyword(lines, i)
             else:
                 end = _end_by_braces(lines, i)
-            names = [n.strip() for n in name.split(",")] if kind == "selector" else [name]
             body = "\n".join(lines[i : end + 1]).strip()
-            out += [(kind, n, line.strip().rstrip("{:").strip(), n if kind == "selector" else body, i + 1, end + 1) for n in names if n]
+            if name:
+                out.append((kind, name, line.strip().rstrip("{:").strip(), body, i + 1, end + 1))
             if kind != "stage":
                 break
     return out

@@ -32,6 +32,14 @@ def test_other_languages():
     assert [(k, n) for k, n, *_ in found(page, "html")] == [("title", "Hi"), ("element", "x")]
 
 
+def test_css_over_the_whole_text():
+    assert found(".a{x:1}.b,.c{y:2}@media print{.d{z:3}}", "css") == [("selector", ".a", 1, 1), ("selector", ".b", 1, 1), ("selector", ".c", 1, 1), ("at_rule", "@media print", 1, 1), ("selector", ".d", 1, 1)]
+    spread = "/* .no { } */\n@import 'x.css';\n.a,\n.b\n  > p,\n:is(h1, h2)\n{\n}\n[title=\"a,{b\"] { }\n"
+    assert found(spread, "css") == [("selector", ".a", 3, 3), ("selector", ".b > p", 4, 5), ("selector", ":is(h1, h2)", 6, 6), ("selector", '[title="a,{b"]', 9, 9)]
+    assert found("a { color: red; &:hover { } }", "css") == [("selector", "a", 1, 1), ("selector", "&:hover", 1, 1)]
+    assert found("/* open", "css") == []
+
+
 def test_extraction_rows(spark):
     texts = spark.createDataFrame([("a.py", "python", "def f(): pass"), ("b", None, None), ("c.rb", "ruby", "x" * 40000), (None, "python", "def g(): pass")], "path string, language string, text string")
     got = rows(extract.with_ids(extract.extract_symbols(texts)), "path", "kind", "extraction", "fallback")
