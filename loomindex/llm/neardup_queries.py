@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomindex.llm.components import components
 from loomindex.llm.neardup import NearDuplicates, identity_of
+from loomindex.session import materialize
 from loomindex.sources.tables import table
 
 
@@ -14,6 +15,19 @@ def _symbols(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "symbols").select("id", identity_of("path", "kind", "name", "signature").alias("identity"), F.col("body").alias("text"))
 
 
+def _members(symbols: DataFrame, near: NearDuplicates) -> DataFrame:
+    """(id, rep) of every id: those in ``near``, and those without runs by their whole normalised text.
+
+    Null and blank texts are each their own class. Of different texts without runs of one id, the one with the least hash counts.
+    """
+    normal = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    keyed = symbols.filter("id is not null").select("id", F.when(normal != "", F.sha2(normal, 256)).alias("key"))
+    rest = keyed.groupBy("id").agg(F.min("key").alias("key")).join(near.members.select("id"), "id", "left_anti")
+    rest = materialize(rest, "without-runs")
+    reps = rest.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
+    return near.members.select("id", "rep").unionByName(rest.join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep")))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of symbols whose bodies share 0.6 of their three-word runs, as TESTDATA.md defines them.
 
@@ -34,24 +48,27 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     """One row per symbol: its class of equal bodies, the class's size and number of linked classes.
 
-    Five words and 0.8; copies are not expanded into pairs, so its size is that of the input.
+    Five words and 0.8, shorter texts by equality alone; copies are not expanded into pairs, so its size is that of the input.
     """
-    near = NearDuplicates(_symbols(spark, folder))
+    symbols = _symbols(spark, folder)
+    near = NearDuplicates(symbols)
     pairs = near.pairs()
     links = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select(F.col("rep_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    sizes = near.members.groupBy("rep").agg(F.count("*").alias("copies"))
+    members = _members(symbols, near)
+    sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
     return (
-        near.members.join(sizes, "rep")
+        members.join(sizes, "rep")
         .join(links, "rep", "left")
         .select(F.col("id").alias("symbol_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     )
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per symbol that is an edited copy of others: its group, by chains of links (five words, 0.8)."""
-    near = NearDuplicates(_symbols(spark, folder))
+    """One row per symbol that is an exact or edited copy of others: its group, by chains of links (five words, 0.8)."""
+    symbols = _symbols(spark, folder)
+    near = NearDuplicates(symbols)
     groups = components(near.pairs().select("rep_a", "rep_b"))
-    joined = near.members.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    joined = _members(symbols, near).join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     grouped = joined.select(F.col("id").alias("symbol_id"), F.coalesce("component", "rep").alias("group_id"))
     several = grouped.groupBy("group_id").agg(F.count("*").alias("symbols")).filter("symbols > 1")
     return grouped.join(several, "group_id")

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomindex.llm import neardup_queries
 from loomindex.llm.neardup import NearDuplicates, identity_of
 from loomindex.llm.shingles import by_bytes, run_hashes, word_hashes
 
@@ -94,6 +95,16 @@ def test_an_id_with_two_texts_counts_once(spark):
     assert len(found(near)) == 1
 
 
+def test_texts_without_runs_have_classes(spark, monkeypatch):
+    long = "one two three four five six"
+    texts = [(1, long), (2, long), (3, "Import  os"), (4, "import os"), (5, ".a"), (6, None), (7, None), (8, " "), (9, ".b"), (4, "import os"), (1, "x")]
+    rows = spark.createDataFrame([(i, i, t) for i, t in texts], "id bigint, identity bigint, text string")
+    monkeypatch.setattr(neardup_queries, "_symbols", lambda spark, folder: rows)
+    got = sorted(tuple(r) for r in neardup_queries.p1_classes(spark, "").collect())
+    assert got == [(1, 1, 2, 0), (2, 1, 2, 0), (3, 3, 2, 0), (4, 3, 2, 0), *[(i, i, 1, 0) for i in (5, 6, 7, 8, 9)]]
+    assert {(r.symbol_id, r.group_id) for r in neardup_queries.p1_groups(spark, "").collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+
+
 def test_batches_by_bytes_keep_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 5, None, "b" * 30, "", "c", "d" * 12], "id": list(range(6))})
     parts = list(by_bytes(iter([batch, batch.slice(0, 0)]), limit=10))
