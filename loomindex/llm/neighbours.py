@@ -1,17 +1,21 @@
 """Most similar vectors for every vector, by stable projections, a kd-tree and a chi-square stopping test.
 
-Unit vectors are projected to ``m`` dimensions by fixed Gaussian directions, so that the squared
-projected distance of two vectors is their squared distance times a chi-square variable with ``m``
-degrees of freedom. A kd-tree splits the projected space. A query visits its parts in order of their
-projected distance and verifies the true cosines there; it stops when a vector closer than its current
-k-th neighbour would, with probability ``p`` or more, have been in a part visited before: when
-``part distance**2 >= chi2_m(p) * (k-th distance)**2``.
-
-On Spark the upper levels of the tree are units of at most about ``unit_size`` rows. They are fitted
-on a bounded sample (``sample`` rows a model), but every row is put into its unit. A unit with more
-rows than that, such as one that holds many copies of a vector, is split by hash of the id. Round one
-searches each query's own unit; its k-th distance there bounds which other units can matter, and only
-to these the query is sent (round two). Groups are bounded by ``unit_size`` rows and ``load`` queries.
+Unit vectors are projected by fixed Gaussian directions, so that the squared projected distance of two
+vectors is their squared distance times a chi-square variable with as many degrees of freedom as there
+are directions. A kd-tree splits the space of the first ``m`` directions. Each query goes through the
+leaves in order of its own projected distance to them and verifies the true cosines of the rows whose
+distance over all ``TESTED`` directions is small enough; it stops at the first leaf for which a vector
+closer than its current k-th neighbour would, with probability ``p`` or more, have been met before:
+``leaf distance**2 > chi2_m(p) * (k-th distance)**2``.
+
+On Spark the tree has two levels above the leaves. Level one has at most ``cells`` cells a model and is
+fitted on a bounded sample (``sample`` rows a model); it is the only part of the tree that is broadcast,
+and its size does not depend on the data. Level two splits a cell of more rows than fit into a unit; it
+is fitted per cell on a bounded sample inside Spark, and kept and joined as a table. Every row is put
+into its unit. A unit that is still too large, such as one that holds many copies of a vector, is split
+by hash of the id. Round one searches each query's own unit; its k-th distance there bounds which other
+units can matter, and only to these the query is sent (round two). A unit is sent once for every
+``load`` queries that really come to it, so what is copied of the index is bounded by the queries sent.
 
 Cost: for a fixed floor of similarity a query verifies a fixed share of its model's rows, so all
 queries together grow with the square of a model's rows, by a small factor. No method whose index
@@ -21,19 +25,23 @@ has a linear size avoids that for vectors without structure; see the README for
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomindex.session import materialize
 
-_LEAF = 256
-_BLOCK = 512
-
+#: Rows of a leaf inside a unit, and queries that go through the leaves together.
+_LEAF, _BLOCK = 512, 32768
+#: Directions of the test of single rows, and its probability.
+TESTED, TESTED_P = 24, 0.98
+#: Bytes of vectors in a unit at most.
+UNIT_BYTES = 32 << 20
 
 def chi_square_quantile(p: float, m: int) -> float:
     """Psi_m^-1(p) for even m, by bisection on the closed form."""
@@ -73,20 +81,36 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("model", "dimensions", "id").agg(F.min("vector").alias("vector"))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _matrix(column: pa.Array) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 1))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    width = x.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    parts = [np.frombuffer(c.buffers()[2], np.float64, (o[-1] - o[0]) // 8, o[0]) for c, o in _chunks(column)]
+    return np.concatenate(parts).reshape(len(column), -1) if parts else np.zeros((0, 1))
+
+
+def _chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(chunk):
+            yield chunk, np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+
+
 def _unit_rows(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 class Tree:
-    """Upper levels of a kd-tree: ``split`` nodes as (dimension, threshold, left, right), leaves as numbers."""
+    """Some levels of a kd-tree: nodes as (dimension, cut, left, right), leaves as numbers below zero."""
 
     def __init__(self, points: np.ndarray, leaves: int):
         self.nodes: list[tuple[int, float, int, int]] = []
@@ -119,6 +143,30 @@ class Tree:
             stack += [(a, rows[left]), (b, rows[~left])]
         return out
 
+    def within(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for all leaves whose squared distance to the row's point is at most its ``reach``; parts of the tree out of reach are not entered."""
+        rows, leaves = [], []
+        stack = [(self.root, np.arange(len(points)), np.zeros(points.shape))]
+        while stack:
+            node, at, apart = stack.pop()
+            if not len(at):
+                continue
+            if node < 0:
+                rows.append(at)
+                leaves.append(np.full(len(at), -node - 1))
+                continue
+            wide, cut, a, b = self.nodes[node]
+            beyond = np.square(points[at, wide] - cut)
+            left = points[at, wide] <= cut
+            for child, inside in ((a, left), (b, ~left)):
+                there = apart.copy()
+                there[:, wide] = np.where(inside, there[:, wide], np.maximum(there[:, wide], beyond))
+                near = there.sum(axis=1) <= reach[at]
+                stack.append((child, at[near], there[near]))
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(rows), np.concatenate(leaves)
+
 
 def local_leaves(points: np.ndarray) -> list[np.ndarray]:
     """Row numbers of the kd-tree leaves of a unit, at most _LEAF rows each."""
@@ -136,61 +184,89 @@ def local_leaves(points: np.ndarray) -> list[np.ndarray]:
 
 def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distances of points (n, m) to boxes (b, m): (n, b)."""
-    out = np.zeros((len(points), len(low)))
+    out = np.zeros((len(points), len(low)), points.dtype)
     for j in range(points.shape[1]):
         x = points[:, j : j + 1]
         out += np.square(np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0))
     return out
 
 
-def search(
-    query: np.ndarray, query_ids: np.ndarray, known: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, floor: float, limit: float, m: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the few true values; eight are looked at together."""
+    flat, width = found.ravel(), found.shape[1]
+    if len(flat) % 8:
+        at = np.flatnonzero(flat)
+    else:
+        some = np.flatnonzero(flat.view(np.uint64))
+        eight = (some[:, None] * 8 + np.arange(8)).ravel()
+        at = eight[flat[eight]]
+    return at // width, at % width
+
+
+def _reach(limit: float, known: np.ndarray) -> np.ndarray:
+    """Squared projected distance up to which a vector with at least the cosine ``known`` is to be expected."""
+    return limit * (2 - 2 * np.minimum(known, 1)) + 1e-4
+
+
+def search(query: np.ndarray, query_ids: np.ndarray, known: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, limit: float, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, data row, cosine) that may be among the k best of each query.
 
-    ``known`` is the k-th best cosine so far (or ``floor``). ``limit`` is chi2_m(p). Only cosines of at
+    ``known`` is the k-th best cosine so far (or the floor). ``limit`` is chi2_m(p). Only cosines of at
     least what is known are given. All vectors are unit vectors.
     """
-    a = directions(data.shape[1], m) if len(data) else None
     if not len(data) or not len(query):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    near, far = query @ a, data @ a
-    leaves = local_leaves(far)
-    low, high = np.stack([far[x].min(axis=0) for x in leaves]), np.stack([far[x].max(axis=0) for x in leaves])
-    data32 = [np.ascontiguousarray(data[x].T.astype(np.float32)) for x in leaves]
-    query32 = query.astype(np.float32)
+    a = directions(data.shape[1], TESTED)
+    near, far = (query @ a).astype(np.float32), (data @ a).astype(np.float32)
+    leaves = local_leaves(far[:, :m])
+    low, high = np.stack([far[x, :m].min(axis=0) for x in leaves]), np.stack([far[x, :m].max(axis=0) for x in leaves])
+    # Two more columns, so that one product gives (reach - squared distance) / 2.
+    near_norm = np.square(near).sum(axis=1)
+    near = np.column_stack([near, np.ones(len(near), np.float32), np.zeros(len(near), np.float32)])
+    turned = [np.ascontiguousarray(np.column_stack([far[x], -np.square(far[x]).sum(axis=1) / 2, np.ones(len(x))]).T.astype(np.float32)) for x in leaves]
+    sharp = chi_square_quantile(TESTED_P, TESTED)
     rows, columns, values = [], [], []
     for start in range(0, len(query), _BLOCK):
-        block = np.arange(start, min(start + _BLOCK, len(query)))
-        distance = box_distance(near[block], low, high)
-        least = known[block].copy()
-        best = np.full((len(block), k), -2.0)
-        for leaf in np.argsort(distance.mean(axis=0), kind="stable"):
-            # The stopping test of each query, for this part of the tree.
-            going = np.flatnonzero(distance[:, leaf] <= limit * (2 - 2 * np.minimum(least, 1)) + 1e-9)
+        block = slice(start, start + _BLOCK)
+        distance = box_distance(near[block, :m], low, high)
+        order = np.argsort(distance, axis=1)
+        least, norm = known[block].copy(), near_norm[block]
+        best = np.full((len(least), k), -2.0)
+        going = np.arange(len(least))
+        for turn in range(len(leaves)):
+            # The stopping test: no later leaf of a query is nearer than this one.
+            going = going[distance[going, order[going, turn]] <= _reach(limit, least[going])]
             if not len(going):
-                continue
-            cosine = query32[block[going]] @ data32[leaf]
-            # Floats are good to 1e-5 here; what is near the bound is decided on doubles.
-            q, d = np.nonzero(cosine >= (least[going] - 1e-5)[:, None].astype(np.float32))
-            if not len(q):
-                continue
-            q, d = going[q], leaves[leaf][d]
-            exact = np.round(np.einsum("ij,ij->i", query[block[q]], data[d]), 6)
-            keep = (query_ids[block[q]] != ids[d]) & (exact >= least[q])
-            q, d, exact = q[keep], d[keep], exact[keep]
-            rows.append(block[q])
-            columns.append(d)
-            values.append(exact)
-            touched = np.unique(q)
-            if len(touched):
-                order = np.lexsort((-exact, q))
-                q_sorted, e_sorted = q[order], exact[order]
-                rank = np.arange(len(q_sorted)) - np.searchsorted(q_sorted, q_sorted)
+                break
+            going = going[np.argsort(order[going, turn], kind="stable")]
+            now = order[going, turn]
+            ends = np.flatnonzero(np.diff(now, append=-1)) + 1
+            for at, end in zip([0, *ends[:-1]], ends):
+                leaf, mine = now[at], going[at:end]
+                # The rows whose squared distance over all directions is at most the reach.
+                spot = near[start + mine]
+                spot[:, -1] = (_reach(sharp, least[mine]) - norm[mine]) / 2
+                i, j = _places(spot @ turned[leaf] >= 0)
+                if not len(i):
+                    continue
+                q, d = mine[i], leaves[leaf][j]
+                exact = np.concatenate([np.einsum("ij,ij->i", query[start + q[x : x + _BLOCK]], data[d[x : x + _BLOCK]]) for x in range(0, len(q), _BLOCK)])
+                exact = np.round(exact, 6)
+                keep = (exact >= least[q]) & (query_ids[start + q] != ids[d])
+                q, d, exact = q[keep], d[keep], exact[keep]
+                if not len(q):
+                    continue
+                rows.append(start + q)
+                columns.append(d)
+                values.append(exact)
+                sort = np.lexsort((-exact, q))
+                q, exact = q[sort], exact[sort]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                touched = np.unique(q)
+                fresh = np.full((len(touched), k), -2.0)
                 top = rank < k
-                fresh = np.full((len(block), k), -2.0)
-                fresh[q_sorted[top], rank[top]] = e_sorted[top]
-                both = -np.sort(-np.concatenate([best[touched], fresh[touched]], axis=1), axis=1)[:, :k]
+                fresh[np.searchsorted(touched, q[top]), rank[top]] = exact[top]
+                both = -np.sort(-np.concatenate([best[touched], fresh], axis=1), axis=1)[:, :k]
                 best[touched] = both
                 least[touched] = np.maximum(least[touched], both[:, -1])
     if not rows:
@@ -206,6 +282,29 @@ def _best(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
+_FOUND = "model string, dimensions int, query_id bigint, id bigint, cosine double"
+
+
+def _found(model: str, dimensions: int, query_ids: np.ndarray, ids: np.ndarray, found: tuple, k: int) -> pa.Table:
+    q, d, value = found
+    take = _best(q, ids[d], value, k)
+    q, d, value = q[take], d[take], value[take]
+    return pa.table({"model": pa.array([model] * len(q), pa.string()), "dimensions": pa.array([dimensions] * len(q), pa.int32()), "query_id": query_ids[q].astype(np.int64), "id": ids[d].astype(np.int64), "cosine": value})
+
+
+def _same(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The rows of each distinct combination of a few columns."""
+    groups: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(batch[c].to_pylist() for c in names))):
+        groups.setdefault(key, []).append(i)
+    for key, at in groups.items():
+        yield key, np.array(at)
+
+
+_MODEL = ["model", "dimensions"]
+_UNIT = [*_MODEL, "cell", "sub", "part"]
+
+
 class Neighbours:
     """The k most similar vectors of the same model and length.
 
@@ -213,123 +312,142 @@ class Neighbours:
     gives no row; a model with one vector gives none either. ``floor``: least cosine that is wanted.
     """
 
-    def __init__(self, vectors: DataFrame, k: int = 5, floor: float = -1.0, m: int = 8, p: float = 0.95, unit_size: int = 8192, sample: int = 20000, load: int = 65536):
+    def __init__(self, vectors: DataFrame, k: int = 5, floor: float = -1.0, m: int = 8, p: float = 0.95, unit_size: int = 32768, sample: int = 20000, cells: int = 256, load: int = 32768):
         self.k, self.floor, self.m, self.limit, self.load = k, floor, m, chi_square_quantile(p, m), load
-        spark = vectors.sparkSession
         rows = materialize(usable_vectors(vectors), "vectors")
-        # A few numbers a model reach the driver, and a sample of about ``sample`` vectors of each.
-        counts = {(r.model, r.dimensions): r.n for r in rows.groupBy("model", "dimensions").agg(F.count("*").alias("n")).collect()}
-        parts = [(model, dimensions, int(min(1.0, sample / n) * (1 << 20)) + 1) for (model, dimensions), n in counts.items()]
-        seen: dict = {}
-        if parts:
-            shares = F.broadcast(spark.createDataFrame(parts, "model string, dimensions int, share int"))  # one row a model
-            taken = rows.join(shares, ["model", "dimensions"]).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share")).select("model", "dimensions", "vector").toArrow()
-            for i, key in enumerate(zip(taken["model"].to_pylist(), taken["dimensions"].to_pylist())):
-                seen.setdefault(key, []).append(i)
-        trees = {}
-        for key, n in counts.items():
-            at = pa.array(seen.get(key, []), pa.int64())
-            points = _unit_rows(_matrix(taken["vector"].take(at))) @ directions(key[1], m) if len(at) else np.zeros((0, m))
-            trees[key] = Tree(points, math.ceil(n / unit_size))
-        held = spark.sparkContext.broadcast(trees)
+        fitting = F.least(F.lit(unit_size), F.greatest(F.lit(256), F.lit(UNIT_BYTES // 8) / F.col("dimensions"))).cast("int")
+        self._trees = rows.sparkSession.sparkContext.broadcast(self._level_one(rows, unit_size, sample, cells))
+        trees = self._trees
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                groups = list(zip(batch["model"].to_pylist(), batch["dimensions"].to_pylist()))
-                cell = np.zeros(len(groups), np.int64)
-                spot = np.zeros((len(groups), m))
-                for key in set(groups):
-                    at = np.array([i for i, g in enumerate(groups) if g == key])
-                    spot[at] = _unit_rows(_matrix(batch["vector"].take(pa.array(at)))) @ directions(key[1], m)
-                    cell[at] = held.value[key].assign(spot[at])
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell), *[pa.array(spot[:, j]) for j in range(m)]], [*batch.schema.names, "cell", *[f"s{j}" for j in range(m)]]
-                )
-
-        schema = "model string, dimensions int, id bigint, vector array<double>, cell bigint, " + ", ".join(f"s{j} double" for j in range(m))
-        placed = materialize(rows.select("model", "dimensions", "id", "vector").mapInArrow(place, schema), "placed")
-        group = ["model", "dimensions", "cell"]
-        sizes = placed.groupBy(*group).agg(F.count("*").alias("rows"), *[F.min(f"s{j}").alias(f"low{j}") for j in range(m)], *[F.max(f"s{j}").alias(f"high{j}") for j in range(m)])
-        # One row per unit: about rows / unit_size of them.
-        boxes = sizes.withColumn("parts", F.ceil(F.col("rows") / F.lit(float(unit_size))).cast("long")).collect()
-        self._boxes: dict = {}
-        number, parts = 0, []
-        for r in sorted(boxes, key=lambda r: (r.model, r.dimensions, r.cell)):
-            parts.append((r.model, r.dimensions, r.cell, int(r.parts), number))
-            for part in range(r.parts):
-                self._boxes.setdefault((r.model, r.dimensions), []).append((number + part, [r[f"low{j}"] for j in range(m)], [r[f"high{j}"] for j in range(m)]))
-            number += r.parts
-        self._salts = max(1, math.ceil(max(counts.values(), default=0) / load))
-        if parts:
-            first = spark.createDataFrame(parts, "model string, dimensions int, cell bigint, parts int, first bigint")
-            unit = F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))
-            self._index = placed.join(first, group).withColumn("unit", unit).select("unit", "model", "dimensions", "id", "vector")
+                for key, at in _same(batch, *_MODEL):
+                    part = batch.take(pa.array(at))
+                    x = _unit_rows(_matrix(part["vector"]))
+                    spot = x @ directions(key[1], TESTED)[:, :m]
+                    yield pa.RecordBatch.from_arrays(
+                        [part["model"], part["dimensions"], part["id"], _packed(x), pa.array(trees.value[key].assign(spot)), _packed(spot)], [*_MODEL, "id", "vector", "cell", "spot"]
+                    )
+
+        schema = "model string, dimensions int, id bigint, vector binary, cell bigint, spot binary"
+        placed = materialize(rows.select(*_MODEL, "id", "vector").mapInArrow(place, schema), "placed")
+        self._subtrees, index = self._level_two(placed, fitting, sample)
+        # Of a unit whose rows no cut separates, parts by hash.
+        sizes = index.groupBy(*_MODEL, "cell", "sub").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / fitting).cast("int"))
+        self._parts = materialize(sizes.select(*_MODEL, "cell", "sub", "parts"), "units")
+        split = self._parts.filter("parts > 1")
+        parts = F.coalesce("parts", F.lit(1))
+        self._index = index.join(split, [*_MODEL, "cell", "sub"], "left").select(*_MODEL, "cell", "sub", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "vector")
+
+    def _level_one(self, rows: DataFrame, unit_size: int, sample: int, cells: int) -> dict[tuple, Tree]:
+        """A tree of at most ``cells`` leaves for each model, from a bounded sample."""
+        counts = {(r.model, r.dimensions): r.n for r in rows.groupBy(*_MODEL).agg(F.count("*").alias("n")).collect()}  # one row a model
+        shares = [(model, dimensions, int(min(1.0, sample / n) * (1 << 20)) + 1) for (model, dimensions), n in counts.items()]
+        if not shares:
+            return {}
+        few = F.broadcast(rows.sparkSession.createDataFrame(shares, "model string, dimensions int, share int"))  # one row a model
+        taken = rows.join(few, _MODEL).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share")).select(*_MODEL, "vector").toArrow()
+        points = {key: np.zeros((0, self.m)) for key in counts}
+        for batch in taken.combine_chunks().to_batches():
+            for key, at in _same(batch, *_MODEL):
+                points[key] = np.concatenate([points[key], _unit_rows(_matrix(batch["vector"].take(pa.array(at)))) @ directions(key[1], TESTED)[:, : self.m]])
+        return {key: Tree(points[key], min(cells, math.ceil(n / min(unit_size, max(256, UNIT_BYTES // 8 // key[1]))))) for key, n in counts.items()}
+
+    def _level_two(self, placed: DataFrame, fitting: Column, sample: int) -> tuple[DataFrame, DataFrame]:
+        """(model, dimensions, cell, tree) of cells that are split further, and the rows with their place ``sub`` in their cell."""
+        group = [*_MODEL, "cell"]
+        large = placed.groupBy(*group).agg(F.count("*").alias("rows")).withColumn("leaves", F.ceil(F.col("rows") / fitting).cast("int")).filter("leaves > 1")
+
+        def fit(table: pa.Table) -> pa.Table:
+            tree = Tree(_unpacked(table["spot"]), table["leaves"][0].as_py())
+            return pa.table({"model": table["model"][:1], "dimensions": table["dimensions"][:1], "cell": table["cell"][:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+        share = F.pmod(F.xxhash64("id"), F.col("rows")) < F.lit(sample)
+        seen = placed.join(large, group).filter(share).select(*group, "spot", "leaves")
+        trees = materialize(seen.groupBy(*group).applyInArrow(fit, "model string, dimensions int, cell bigint, tree binary"), "subtrees")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for (model, dimensions, cell), at in _same(batch, *group):
+                    part = batch.take(pa.array(at))
+                    tree = part["tree"][0].as_py()
+                    sub = pickle.loads(tree).assign(_unpacked(part["spot"])) if tree else np.zeros(len(at), np.int64)
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in (*group, "id", "vector")), pa.array(sub)], [*group, "id", "vector", "sub"])
+
+        if trees.limit(1).isEmpty():
+            return trees, placed.select(*group, "id", "vector", F.lit(0).cast("bigint").alias("sub"))
+        within = placed.join(trees, group, "left").select(*group, "id", "vector", "spot", "tree")
+        return trees, materialize(within.mapInArrow(assign, "model string, dimensions int, cell bigint, id bigint, vector binary, sub bigint"), "assigned")
+
+    def _routed(self, asked: DataFrame) -> DataFrame:
+        """Each query once for every other unit that its stopping test does not rule out."""
+        limit, m, trees = self.limit, self.m, self._trees
+        own = ["own_cell", "own_sub", "own_part"]
+        sent = ["id", "vector", "kth", *own]
+
+        def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, at in _same(batch, *_MODEL):
+                    part = batch.take(pa.array(at))
+                    spot = _unpacked(part["vector"]) @ directions(key[1], TESTED)[:, :m]
+                    q, cell = trees.value[key].within(spot, _reach(limit, part["kth"].to_numpy()))
+                    for x in range(0, len(q), 20000):
+                        rows = part.take(pa.array(q[x : x + 20000]))
+                        yield pa.RecordBatch.from_arrays([*(rows[c] for c in _MODEL), pa.array(cell[x : x + 20000]), *(rows[c] for c in sent)], [*_MODEL, "cell", *sent])
+
+        def to_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for (model, dimensions, cell), at in _same(batch, *_MODEL, "cell"):
+                    part = batch.take(pa.array(at))
+                    tree, q, sub = part["tree"][0].as_py(), np.arange(len(at)), np.zeros(len(at), np.int64)
+                    if tree:
+                        spot = _unpacked(part["vector"]) @ directions(dimensions, TESTED)[:, :m]
+                        q, sub = pickle.loads(tree).within(spot, _reach(limit, part["kth"].to_numpy()))
+                    for x in range(0, len(q), 20000):
+                        rows = part.take(pa.array(q[x : x + 20000]))
+                        yield pa.RecordBatch.from_arrays([*(rows[c] for c in (*_MODEL, "cell")), pa.array(sub[x : x + 20000]), *(rows[c] for c in sent)], [*_MODEL, "cell", "sub", *sent])
+
+        kinds = "id bigint, vector binary, kth double, own_cell bigint, own_sub bigint, own_part int"
+        mine = asked.select(*_MODEL, "id", "vector", "kth", *[F.col(c.removeprefix("own_")).alias(c) for c in own])
+        cells = mine.mapInArrow(to_cells, f"model string, dimensions int, cell bigint, {kinds}")
+        if self._subtrees.limit(1).isEmpty():
+            units = cells.withColumn("sub", F.lit(0).cast("bigint"))
         else:
-            self._index = placed.select(F.col("cell").alias("unit"), "model", "dimensions", "id", "vector")
+            units = cells.join(self._subtrees, [*_MODEL, "cell"], "left").mapInArrow(to_units, f"model string, dimensions int, cell bigint, sub bigint, {kinds}")
+        split = self._parts.filter("parts > 1")
+        parts = units.join(split, [*_MODEL, "cell", "sub"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        return parts.filter("cell <> own_cell or sub <> own_sub or part <> own_part").select(*_UNIT, "id", "vector", "kth")
 
-    def search(self, queries=None) -> DataFrame:
+    def search(self, queries: Column | None = None) -> DataFrame:
         """(model, query_id, id, cosine, rank) of the k best, for all rows or those that ``queries`` (a Column on id) selects."""
         k, floor, limit, m = self.k, self.floor, self.limit, self.m
-        boxes = self._index.sparkSession.sparkContext.broadcast(
-            {g: (np.array([u for u, _, _ in b]), np.array([x for _, x, _ in b]), np.array([x for _, _, x in b])) for g, b in self._boxes.items()}
-        )
         wanted = queries if queries is not None else F.lit(True)
         marked = self._index.withColumn("asked", F.coalesce(wanted, F.lit(False)))
 
         def own(table: pa.Table) -> pa.Table:
-            x, ids = _unit_rows(_matrix(table["vector"])), table["id"].to_numpy()
-            asked = np.flatnonzero(table["asked"].to_numpy(zero_copy_only=False))
-            q, d, value = search(x[asked], ids[asked], np.full(len(asked), floor), x, ids, k, floor, limit, m)
-            take = _best(q, ids[d], value, k)
-            q, d, value = q[take], d[take], value[take]
-            n = len(q)
-            model, length = table["model"][0].as_py(), table["dimensions"][0].as_py()
-            return pa.table({"model": pa.array([model] * n, pa.string()), "dimensions": pa.array([length] * n, pa.int32()), "query_id": ids[asked][q], "id": ids[d], "cosine": value})
-
-        found = "model string, dimensions int, query_id bigint, id bigint, cosine double"
-        first = materialize(marked.groupBy("unit").applyInArrow(own, found), "own-unit")
-        bound = first.groupBy("model", "dimensions", "query_id").agg(F.count("*").alias("n"), F.min("cosine").alias("kth"))
-        bound = bound.select("model", "dimensions", F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
-        asked = marked.filter("asked").join(bound, ["model", "dimensions", "id"], "left").select("unit", "model", "dimensions", "id", "vector", F.coalesce("kth", F.lit(floor)).alias("kth"))
-        salts = self._salts
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Each query once for every other unit that its stopping test does not rule out."""
-            for batch in batches:
-                groups = list(zip(batch["model"].to_pylist(), batch["dimensions"].to_pylist()))
-                own_unit, kth = batch["unit"].to_numpy(), batch["kth"].to_numpy()
-                for key in set(groups):
-                    at = np.array([i for i, g in enumerate(groups) if g == key])
-                    units, low, high = boxes.value[key]
-                    spot = _unit_rows(_matrix(batch["vector"].take(pa.array(at)))) @ directions(key[1], m)
-                    may = box_distance(spot, low, high) <= limit * (2 - 2 * np.minimum(kth[at], 1))[:, None] + 1e-9
-                    may &= units[None, :] != own_unit[at][:, None]
-                    q, u = np.nonzero(may)
-                    for part in range(0, len(q), 20000):
-                        rows = batch.take(pa.array(at[q[part : part + 20000]]))
-                        target = units[u[part : part + 20000]]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(target), rows["model"], rows["dimensions"], rows["id"], rows["vector"], rows["kth"]], ["unit", "model", "dimensions", "id", "vector", "kth"]
-                        )
-
-        routed = asked.mapInArrow(route, "unit bigint, model string, dimensions int, id bigint, vector array<double>, kth double")
-        routed = routed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        spread = self._index.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+            x, ids = _unpacked(table["vector"]), table["id"].to_numpy()
+            asked = np.flatnonzero(table["asked"].to_numpy())
+            found = search(x[asked], ids[asked], np.full(len(asked), floor), x, ids, k, limit, m)
+            return _found(table["model"][0].as_py(), table["dimensions"][0].as_py(), ids[asked], ids, found, k)
+
+        first = materialize(marked.groupBy(*_UNIT).applyInArrow(own, _FOUND), "own-unit")
+        bound = first.groupBy(*_MODEL, "query_id").agg(F.count("*").alias("n"), F.min("cosine").alias("kth"))
+        bound = bound.select(*_MODEL, F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
+        asked = marked.filter("asked").join(bound, [*_MODEL, "id"], "left").withColumn("kth", F.coalesce("kth", F.lit(floor)))
+        routed = materialize(self._routed(asked), "routed")
+        loads = routed.groupBy(*_UNIT).agg(F.ceil(F.count("*") / F.lit(self.load)).cast("int").alias("loads"))
+        salted = routed.join(loads.filter("loads > 1"), _UNIT, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("loads", F.lit(1))).cast("int"))
+        sent = self._index.join(loads, _UNIT).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)))
 
         def other(left: pa.Table, right: pa.Table) -> pa.Table:
-            query, data = _matrix(left["vector"]), _matrix(right["vector"])
-            n_query, n_data = len(left), len(right)
-            if not n_query or not n_data:
-                return pa.table({"model": pa.array([], pa.string()), "dimensions": pa.array([], pa.int32()), "query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+            if not len(left) or not len(right):
+                return pa.table({f.name: pa.array([], f.type) for f in _found("", 0, np.zeros(0), np.zeros(0), (np.zeros(0, np.int64),) * 3, k).schema})
             query_ids, ids = left["id"].to_numpy(), right["id"].to_numpy()
-            q, d, value = search(_unit_rows(query), query_ids, left["kth"].to_numpy(), _unit_rows(data), ids, k, floor, limit, m)
-            take = _best(q, ids[d], value, k)
-            q, d, value = q[take], d[take], value[take]
-            n = len(q)
-            model, length = left["model"][0].as_py(), left["dimensions"][0].as_py()
-            return pa.table({"model": pa.array([model] * n, pa.string()), "dimensions": pa.array([length] * n, pa.int32()), "query_id": query_ids[q], "id": ids[d], "cosine": value})
-
-        second = routed.groupBy("unit", "salt").cogroup(spread.groupBy("unit", "salt")).applyInArrow(other, found)
-        order = Window.partitionBy("model", "dimensions", "query_id").orderBy(F.desc("cosine"), "id")
-        ranked = first.union(second).distinct().withColumn("rank", F.row_number().over(order))
+            found = search(_unpacked(left["vector"]), query_ids, left["kth"].to_numpy(), _unpacked(right["vector"]), ids, k, limit, m)
+            return _found(left["model"][0].as_py(), left["dimensions"][0].as_py(), query_ids, ids, found, k)
+
+        groups = [*_UNIT, "salt"]
+        second = salted.select(*groups, "id", "vector", "kth").groupBy(*groups).cogroup(sent.select(*groups, "id", "vector").groupBy(*groups)).applyInArrow(other, _FOUND)
+        order = Window.partitionBy(*_MODEL, "query_id").orderBy(F.desc("cosine"), "id")
+        ranked = first.union(second).withColumn("rank", F.row_number().over(order))
         return ranked.filter(F.col("rank") <= k).select("model", "query_id", "id", "cosine", "rank")

@@ -32,6 +32,12 @@ def test_recall_and_order_against_brute_force(spark):
     got = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append(r.id)
+    two_levels = Neighbours(df, 5, 0.85, unit_size=32, cells=2, load=20)
+    assert not two_levels._subtrees.isEmpty() and two_levels._parts.filter("parts > 1").count() > 0
+    again = {}
+    for r in sorted(two_levels.search().collect(), key=lambda r: r["rank"]):
+        again.setdefault(r.query_id, []).append(r.id)
+    assert sum(len(set(truth[i]) & set(again.get(i, []))) for i in truth) / sum(map(len, truth.values())) >= 0.95
     hits = sum(len(set(truth[i]) & set(got.get(i, []))) for i in truth)
     assert hits / sum(map(len, truth.values())) >= 0.95
     exact = [i for i in got if got[i] == truth[i]]
@@ -68,5 +74,10 @@ def test_chi_square_and_tree():
     cells = tree.assign(points)
     assert set(cells) == set(range(8)) and np.bincount(cells).max() < 500
     assert Tree(np.ones((10, 4)), 8).leaves == 1 and Tree(np.zeros((0, 4)), 3).leaves == 1
+    reach = np.full(2000, 0.3)
+    rows, leaves = tree.within(points, reach)
+    low, high = (np.stack([f(points[cells == c], axis=0) for c in range(8)]) for f in (np.min, np.max))
+    near = {(i, c) for i, c in zip(*np.nonzero(box_distance(points, low, high) <= 0.3))}
+    assert near <= set(zip(rows.tolist(), leaves.tolist()))
     assert sorted(np.concatenate(local_leaves(points)).tolist()) == list(range(2000))
     assert box_distance(np.array([[0.0, 3.0]]), np.array([[1.0, 1.0]]), np.array([[2.0, 2.0]]))[0, 0] == 2.0
