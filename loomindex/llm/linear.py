@@ -61,15 +61,18 @@ def sparse_rows(features: np.ndarray, rows: np.ndarray, n_rows: int) -> list[tup
     return out
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, epochs: int = 12, penalty: float = 1e-4, seed: int = 1) -> np.ndarray:
+def train(
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, epochs: int = 12, penalty: float = 1e-4, seed: int = 1, most: float = 5.0, importance: np.ndarray | None = None
+) -> np.ndarray:
     """A linear support-vector machine (hinge loss, L2 penalty) by averaged stochastic subgradient steps.
 
-    ``labels`` are +1 and -1. Steps of the rarer class are larger, up to fivefold. The last place of
-    the result is the bias, which is not penalised.
+    ``labels`` are +1 and -1. Steps of the rarer class are larger, up to ``most`` times; a row's step is
+    also multiplied by its ``importance``. The last place of the result is the bias, which is not penalised.
     """
     rng = np.random.default_rng(seed)
     positive = max((labels > 0).mean(), 1e-9) if len(labels) else 0.5
-    factor = {1: min(5.0, max(1.0, (1 - positive) / positive)), -1: min(5.0, max(1.0, positive / max(1 - positive, 1e-9)))}
+    factor = {1: min(most, max(1.0, (1 - positive) / positive)), -1: min(most, max(1.0, positive / max(1 - positive, 1e-9)))}
+    importance = np.ones(len(rows)) if importance is None else importance
     v, scale, bias = np.zeros(size), 1.0, 0.0
     mean, mean_bias, taken = np.zeros(size), 0.0, 0
     step = 0
@@ -82,8 +85,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: i
             margin = y * (scale * (v[index] @ value) + bias)
             scale *= 1 - rate * penalty
             if margin < 1:
-                v[index] += (rate * y * factor[y] / scale) * value
-                bias += 0.05 * rate * y * factor[y]
+                pull = rate * y * factor[y] * importance[i]
+                v[index] += (pull / scale) * value
+                bias += 0.05 * pull
         if epoch >= epochs // 2:
             mean += v * scale
             mean_bias += bias

@@ -2,40 +2,51 @@
 
 One linear support-vector machine per kind, on hashed character n-grams of the header comments, of
 the code and of the path, on path components, and on a few shape facts (size, line length, share of
-digits). Labels for training come from seeds: high-precision phrases, path parts and shapes. Each
-training file is also shown with its giveaway header and giveaway path parts masked and, unless
-nothing is left of it, under its own label, so that the machines have to learn the other traits too.
-Repositories (the first two path parts) are held out in turn, for validation on the files as they are
-and masked, and for two thresholds per kind; the machines that are used are then trained on all.
-Training uses a sample of at most ``sample`` files (by hash of the path); every file is scored.
-
-A machine's hit is a score of at least ``low``, which every held-out positive reaches. Hits are then
-checked exactly: the seeds' evidence confirms them, and without it one stands only where it scores above
-``high``, which no held-out file without evidence reaches, and nothing in its header speaks against it.
-
-Scale: one pass over the joined tables; the weights that are broadcast have a fixed size.
+digits). The machines alone decide: a file is of a kind if that machine's score is above its threshold.
+
+Training uses a bounded sample of files: by hash of the path, at most ``marked`` files of each kind and
+``unmarked`` others (see ``file_provenance``). Their labels come from seeds: high-precision phrases, path
+parts and shapes, which are used for nothing else. Files with giveaways are also shown with the giveaway
+header masked, with the giveaway path parts masked, and with both masked. A masked copy keeps its label;
+where nothing that a seed knows is left in it, it counts for ``DIM`` of a file, since much of what a tool
+makes then looks like any other code. Repositories (the first two path parts) are split: a third of them
+is held out, and each machine's threshold is the one with the best F1 there. Figures of the held-out
+repositories, masked and as they are, come with the machines (``validation``).
+
+Scale: each machine is trained in a task of its own on the broadcast sample; then one pass over the
+joined tables scores every file. The weights that are broadcast have a fixed size.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomindex.llm.linear import ngrams, row_scores, sparse_rows, train
 
 KINDS = ("generated", "minified", "vendored", "data")
-#: Kinds that a header can speak against.
-_DENIABLE = ("generated", "vendored")
 BITS = 17
-#: Parts into which repositories are split; each is held out once.
-FOLDS = 3
+#: One of so many parts of the repositories is held out.
+PARTS = 3
+#: Weight of a masked copy in which nothing is left that a seed knows.
+DIM = 0.02
+#: How much each view (header, code, path, path components, shape facts) counts in each machine.
+EMPHASIS = {
+    "generated": (1.2, 0.2, 0.8, 2.0, 0.5),
+    "minified": (0.3, 1.0, 0.5, 1.5, 1.5),
+    "vendored": (1.2, 0.2, 0.8, 2.0, 0.5),
+    "data": (0.3, 1.0, 0.3, 1.0, 1.5),
+}
 
 #: Fixed values. Phrases of headers; the first group of each kind marks it, ``_HAND`` speaks against any.
 _GENERATED = re.compile(
@@ -57,9 +68,8 @@ _HAND = re.compile(
     re.I | re.X | re.M,
 )
 _VENDOR_PATH = re.compile(r"(?:^|/)(?:_?vendor(?:ed)?|third[-_]?party|externals?|node_modules|bower_components|site-packages|deps|Pods|contrib|extern)/|(?:^|/)[A-Za-z][\w]*-v?\d+\.\d+(?:\.\d+)+(?:[/.]|$)")
-_GENERATED_PATH = re.compile(r"(?:^|/)(?:__generated__|_?generated|autogen|gen|\.generated)/|\.(?:g|gen|generated|pb|designer|auto)\.\w+$|_pb2?(?:_grpc)?\.\w+$|(?:^|/)[\w-]*\.lock\.\w+$|(?:^|/)[\w-]+-lock\.\w+$|(?:^|/)zz_generated")
+_GENERATED_PATH = re.compile(r"(?:^|/)(?:__generated__|_?generated|auto-?generated|autogen|gen|\.generated|dist)/|[._-]generated\.\w+$|\.(?:g|gen|generated|pb|designer|auto)\.\w+$|_pb2?(?:_grpc)?\.\w+$|(?:^|/)[\w-]*\.lock\.\w+$|(?:^|/)[\w-]+-lock\.\w+$|(?:^|/)zz_generated")
 _MINIFIED_PATH = re.compile(r"[.-]min\.\w+$|\.(?:bundle|chunk|packed|prod)\.(?:[0-9a-f]+\.)?\w+$|[.-][0-9a-f]{8,}\.\w+$")
-_OWN_LICENCE = re.compile(r"^.*\b(?:workspace\s+maintainers|house\s+licen[cs]e)\b.*$", re.I | re.M)
 _COMMENT = re.compile(r"\A(?:\s*(?:(?:\#(?!\w+\s*\{)|//|--|;)[^\n]*|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z))[ \t]*(?:\n|\Z))+", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DATA_LINE = re.compile(r"^\s*(?:-\s*)?[\[{(]?[\s\d.,xXa-fA-F+\-\[\]{}()]+[\]})]?,?\s*$|^\s*[\[{(]\s*[\"'\d].*[\]})],?\s*$|^\s*[\"'][^\"']*[\"'],?\s*$")
@@ -67,12 +77,12 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/]{80,}")
 
 
 def split_head(head: str | None) -> tuple[str, str]:
-    """(header comments without the own licence, code) of a head; a null head is empty."""
+    """(header comments, code) of a head; a null head is empty."""
     if not head:
         return "", ""
     m = _COMMENT.match(head)
     header = m.group() if m else ""
-    return _OWN_LICENCE.sub("", header), head[len(header) :]
+    return header, head[len(header) :]
 
 
 def shape(code: str) -> dict[str, float]:
@@ -83,8 +93,8 @@ def shape(code: str) -> dict[str, float]:
     return {
         "line": n / max(len(lines), 1),
         "longest": max(map(len, lines)),
-        "space": sum(c.isspace() for c in code) / n,
-        "digit": sum(c.isdigit() for c in code) / n,
+        "space": 1 - len("".join(code.split())) / n if code else 0.0,
+        "digit": sum(map(code.count, "0123456789")) / n,
         "data": sum(1 for x in whole if _DATA_LINE.match(x)) / max(len(whole), 1),
         "base64": sum(len(x) for x in _BASE64.findall(code)) / n,
     }
@@ -105,20 +115,15 @@ def evidence(path: str, head: str | None) -> dict[str, bool]:
     }
 
 
-def spoken_against(head: str | None) -> bool:
-    """Whether the header says that the file is written by hand or under the own licence."""
-    m = _COMMENT.match(head or "")
-    header = m.group() if m else ""
-    return bool(_HAND.search(header) or _OWN_LICENCE.search(header))
-
-
-def masked(path: str, head: str | None) -> tuple[str, str]:
-    """The file without its giveaways: marking phrases, marking path parts."""
+def masked(path: str, head: str | None, header_too: bool = True, path_too: bool = True) -> tuple[str, str]:
+    """The file without its giveaways: marking phrases of the header, marking path parts."""
     header, code = split_head(head)
-    for pattern in (_GENERATED, _VENDORED):
-        header = "\n".join(x for x in header.split("\n") if not pattern.search(x))
-    for pattern in (_VENDOR_PATH, _GENERATED_PATH, _MINIFIED_PATH):
-        path = pattern.sub("/", path)
+    if header_too:
+        for pattern in (_GENERATED, _VENDORED):
+            header = "\n".join(x for x in header.split("\n") if not pattern.search(x))
+    if path_too:
+        for pattern in (_VENDOR_PATH, _GENERATED_PATH, _MINIFIED_PATH):
+            path = pattern.sub("/", path)
     return path, header + code
 
 
@@ -138,15 +143,16 @@ def _facts(path: str, size: float | None, language: str | None, code: str) -> li
 def _components(path: str) -> list[str]:
     parts = path.split("/")
     name = parts[-1]
+    form = [re.sub(r"\d+", "0", re.sub(r"[A-Za-z]+", "a", p)) for p in parts]
     out = [f"dir:{p.lower()}" for p in parts[:-1]] + [f"word:{w.lower()}" for w in _WORDS.findall(name)]
+    out += [f"form:{f}" for f in form] + [f"pair:{a.lower()}/{b.lower()}" for a, b in zip(parts[2:-2], parts[3:-1])]
     dots = name.split(".")
+    out.append(f"last:{(_WORDS.findall(dots[0]) or [''])[-1].lower()}")
     return out + [f"ext:{'.'.join(dots[-2:]) if len(dots) > 2 else dots[-1]}", f"mark:{'.'.join(dots[1:-1])}", f"parts:{len(dots)}"]
 
 
 def _tokens_as_codes(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Whole tokens as single symbols, hashed from their bytes."""
-    import zlib
-
     flat = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for x in lists for t in x], np.uint64)
     return flat, np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
 
@@ -171,66 +177,103 @@ def repository(path: str) -> str:
     return "/".join(path.split("/")[:2])
 
 
+def _rows(paths: list, heads: list, sizes: list, languages: list, chunk: int = 500) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sparse rows over all views, a few files at a time."""
+    out = []
+    for at in range(0, len(paths), chunk):
+        part = slice(at, at + chunk)
+        n = len(paths[part])
+        each = [sparse_rows(f, r, n) for f, r in views(paths[part], heads[part], sizes[part], languages[part])]
+        out += [(np.concatenate([e[i][0] + (v << BITS) for v, e in enumerate(each)]), np.concatenate([e[i][1] for e in each])) for i in range(n)]
+    return out
+
+
+def best_threshold(scores: np.ndarray, positive: np.ndarray) -> float:
+    """The score above which F1 is best, in the middle of the gap there; 0 without positives."""
+    if not positive.any():
+        return 0.0
+    order = np.argsort(-scores, kind="stable")
+    hits = np.cumsum(positive[order])
+    f1 = 2 * hits / (np.arange(1, len(order) + 1) + positive.sum())
+    at = int(np.argmax(f1))
+    below = scores[order[at + 1]] if at + 1 < len(order) else scores[order[at]] - 1.0
+    return float((scores[order[at]] + below) / 2)
+
+
+def train_machine(files: pd.DataFrame, kind: str, held_out: bool, epochs: int = 8) -> tuple[np.ndarray, dict]:
+    """(weights with the bias last, figures of the held-out repositories) of one kind's machine.
+
+    ``files``: path, head, size, language of the sample. With ``held_out``, a third of the repositories
+    takes no part in the training and gives the figures: threshold, precision, recall, masked_recall.
+    """
+    paths, heads = files["path"].tolist(), [h if isinstance(h, str) else None for h in files["head"]]
+    positive = np.array([evidence(p, h)[kind] for p, h in zip(paths, heads)], bool)
+    out = np.array([zlib.crc32(repository(p).encode()) % PARTS == 0 for p in paths], bool) & held_out
+    shown, view = [(i, p, h) for i, (p, h) in enumerate(zip(paths, heads))], [0] * len(paths)
+    for v, (header_too, path_too) in enumerate([(True, False), (False, True), (True, True)], 1):
+        for i, (p, h) in enumerate(zip(paths, heads)):
+            less = masked(p, h, header_too, path_too)
+            # What was masked to nothing can show nothing.
+            if less != (p, h or "") and (less[0].strip("/") or less[1].strip()):
+                shown.append((i, *less))
+                view.append(v)
+    owner, view = np.array([i for i, _, _ in shown], np.int64), np.array(view, np.int64)
+    sizes, languages = files["size"].tolist(), files["language"].tolist()
+    rows = _rows([p for _, p, _ in shown], [h for _, _, h in shown], [sizes[i] for i in owner], [languages[i] for i in owner])
+    emphasis = np.array(EMPHASIS[kind], np.float32)
+    rows = [(index, value * emphasis[index >> BITS]) for index, value in rows]
+    labels = np.where(positive[owner], 1, -1)
+    known = np.array([evidence(p, h)[kind] for _, p, h in shown], bool)
+    importance = np.where((view > 0) & (labels > 0) & ~known, DIM, 1.0)
+    use = np.flatnonzero(~out[owner])
+    w = train([rows[i] for i in use], labels[use], 5 << BITS, epochs, most=2.0, importance=importance[use])
+    w[:-1] *= np.repeat(emphasis, 1 << BITS)
+    figures = {"threshold": 0.0}
+    if held_out:
+        plain = [(index, value / emphasis[index >> BITS]) for index, value in rows]
+        score = np.array([w[:-1][index] @ value + w[-1] for index, value in plain])
+        mine = (view == 0) & out[owner]
+        figures["threshold"] = best_threshold(score[mine], labels[mine] > 0)
+        hit = score > figures["threshold"]
+        bare = (view > 0) & out[owner] & (labels > 0)
+        figures |= {
+            "precision": float((labels[mine & hit] > 0).mean()) if (mine & hit).any() else None,
+            "recall": float(hit[mine & (labels > 0)].mean()) if (mine & (labels > 0)).any() else None,
+            "masked_recall": float(hit[bare].mean()) if bare.any() else None,
+        }
+    return w.astype(np.float32), figures
+
+
 class Machines:
     """The trained machines; ``weights`` has a fixed size (kinds x views x 2**BITS)."""
 
-    def __init__(self, files: pd.DataFrame, epochs: int = 8):
-        """``files``: path, head, size, language of the bounded training sample; may be empty."""
-        paths, heads = files["path"].tolist(), [h if isinstance(h, str) else None for h in files["head"]]
-        marks = [evidence(p, h) for p, h in zip(paths, heads)]
-        without = [masked(p, h) for p, h in zip(paths, heads)]
-        import zlib
-
-        fold = np.array([zlib.crc32(repository(p).encode()) % FOLDS for p in paths], np.int64)
-        sizes, languages = files["size"].tolist(), files["language"].tolist()
-        plain = self._rows(paths, heads, sizes, languages)
-        n, rows = len(plain), plain + self._rows([p for p, _ in without], [h for _, h in without], sizes, languages)
-        self.weights, self.bias, self.validation = np.zeros((len(KINDS), 5 << BITS), np.float32), np.zeros(len(KINDS)), {}
-        self.masked_recall = {}
-        self.low, self.high = np.zeros(len(KINDS)), np.zeros(len(KINDS))
-        against = np.array([spoken_against(h) for h in heads], bool)
-        # A masked file keeps its label unless nothing is left that could show it.
-        left = np.array([bool(p.strip("/") or h.strip()) for p, h in without], bool)
-        for k, kind in enumerate(KINDS):
-            y = np.array([1 if m[kind] else -1 for m in marks], np.int64)
-            labels = np.concatenate([y, y])
-
-            def fit(part: np.ndarray) -> np.ndarray:
-                use = np.concatenate([part, part & (left | (y < 0))])
-                return train([rows[i] for i in np.flatnonzero(use)], labels[use], 5 << BITS, epochs)
-
-            score = np.zeros(2 * n)
-            for f in range(FOLDS if n else 0):
-                w = fit(fold != f)
-                for i in np.flatnonzero(np.tile(fold == f, 2)):
-                    score[i] = w[:-1][rows[i][0]] @ rows[i][1] + w[-1]
-            positive = y > 0
-            bare = score[:n][~positive & ~(against if kind in _DENIABLE else np.zeros(n, bool))]
-            self.low[k] = min(score[:n][positive].min(initial=0.0), 0.0)
-            self.high[k] = max(bare.max(initial=0.0), 0.0)
-            self.validation[kind] = float(np.mean((score[:n] > 0) == positive)) if n else float("nan")
-            self.masked_recall[kind] = float(np.mean(score[n:][positive] > 0)) if positive.any() else float("nan")
-            w = fit(np.ones(n, bool))
-            self.weights[k], self.bias[k] = w[:-1], w[-1]
-
-    def verdict(self, found: np.ndarray, shown: np.ndarray, against: np.ndarray) -> np.ndarray:
-        """Kinds (columns) of files (rows) from scores, the seeds' evidence and ``spoken_against``."""
-        denied = against[:, None] & np.array([kind in _DENIABLE for kind in KINDS])
-        return (found >= self.low) & (shown | (found > self.high) & ~denied)
-
-    @staticmethod
-    def _rows(paths: list, heads: list, sizes: list, languages: list, chunk: int = 500) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sparse rows over all views, a few files at a time."""
-        out = []
-        for at in range(0, len(paths), chunk):
-            part = slice(at, at + chunk)
-            n = len(paths[part])
-            each = [sparse_rows(f, r, n) for f, r in views(paths[part], heads[part], sizes[part], languages[part])]
-            out += [(np.concatenate([e[i][0] + (v << BITS) for v, e in enumerate(each)]), np.concatenate([e[i][1] for e in each])) for i in range(n)]
-        return out
-
-    def scores(self, parts: list, n: int) -> np.ndarray:
-        total = np.tile(self.bias, (n, 1))
+    def __init__(self, spark: SparkSession, files: pd.DataFrame):
+        """``files``: the bounded training sample; may be empty. Each training is a task of its own."""
+        sample = spark.sparkContext.broadcast(files)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for kind, held_out in zip(batch["kind"].to_pylist(), batch["held_out"].to_pylist()):
+                    w, figures = train_machine(sample.value, kind, held_out)
+                    packed = None if held_out else zlib.compress(w.tobytes(), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([json.dumps(figures)]), pa.array([packed], pa.binary())], ["kind", "figures", "weights"])
+
+        jobs = spark.createDataFrame([(k, h) for k in KINDS for h in (True, False)], "kind string, held_out boolean")
+        jobs = jobs.repartitionByRange(2 * len(KINDS), "kind", "held_out")
+        self.weights, self.bias, self.threshold = np.zeros((len(KINDS), 5 << BITS), np.float32), np.zeros(len(KINDS)), np.zeros(len(KINDS))
+        self.validation: dict[str, dict] = {}
+        for row in jobs.mapInArrow(run, "kind string, figures string, weights binary").collect():  # two rows a kind, of a fixed size
+            k = KINDS.index(row.kind)
+            if row.weights is None:
+                self.validation[row.kind] = json.loads(row.figures)
+                self.threshold[k] = self.validation[row.kind]["threshold"]
+            else:
+                w = np.frombuffer(zlib.decompress(row.weights), np.float32)
+                self.weights[k], self.bias[k] = w[:-1], w[-1]
+
+    def margins(self, parts: list, n: int) -> np.ndarray:
+        """Scores above the thresholds: files (rows) by kinds (columns)."""
+        total = np.tile(self.bias - self.threshold, (n, 1))
         for v, (features, rows) in enumerate(parts):
             total = total + row_scores(features, rows, n, self.weights[:, v << BITS : (v + 1) << BITS])
         return total
@@ -244,11 +287,8 @@ def _score(machines):
             n = len(d["path"])
             if not n:
                 continue
-            found = model.scores(views(d["path"], d["head"], d["size"], d["language"]), n)
-            shown = [evidence(p, h) for p, h in zip(d["path"], d["head"])]
-            sure = np.array([[s[k] for k in KINDS] for s in shown])
-            verdict = model.verdict(found, sure, np.array([spoken_against(h) for h in d["head"]]))
-            kinds = [[k for k, v in zip(KINDS, row) if v] for row in verdict]
+            found = model.margins(views(d["path"], d["head"], d["size"], d["language"]), n)
+            kinds = [[k for k, v in zip(KINDS, row) if v > 0] for row in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d["path"], pa.string()), pa.array([k or None for k in kinds], pa.list_(pa.string())), pa.array(found.max(axis=1))],
                 ["path", "kinds", "score"],
@@ -257,6 +297,13 @@ def _score(machines):
     return run
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, label): the first kind that the seeds know, for choosing the sample."""
+    for batch in batches:
+        label = [next((k for k, v in evidence(p, h).items() if v), None) for p, h in zip(batch["path"].to_pylist(), batch["head"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(label, pa.string())], ["path", "label"])
+
+
 def _newest(files: DataFrame, heads: DataFrame) -> DataFrame:
     """One row per path: newest state (mtime, then size) with its head; a path without head has null."""
     newest = (
@@ -269,13 +316,24 @@ def _newest(files: DataFrame, heads: DataFrame) -> DataFrame:
     return newest.join(head, "path", "left").select("path", "head", F.col("size").cast("double").alias("size"), "language")
 
 
-def file_provenance(files: DataFrame, heads: DataFrame, sample: int = 5000) -> DataFrame:
-    """One row per path: path, kinds (null for hand-written), score (largest over the machines).
+def training_sample(rows: DataFrame, marked: int, unmarked: int) -> pd.DataFrame:
+    """At most ``marked`` files of each label and ``unmarked`` without one, by hash of the path."""
+    labels = rows.select("path", "head").mapInArrow(_labelled, "path string, label string")
+    # A top-k per label, which Spark cuts off before its shuffle.
+    order = Window.partitionBy("label").orderBy(F.xxhash64("path"), "path")
+    most = F.when(F.col("label").isNull(), unmarked).otherwise(marked)
+    taken = labels.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= max(marked, unmarked)).filter(F.col("turn") <= most)
+    return rows.join(taken.select("path"), "path", "left_semi").toPandas().sort_values("path", ignore_index=True)
+
+
+def file_provenance(files: DataFrame, heads: DataFrame, marked: int = 1500, unmarked: int = 6000) -> DataFrame:
+    """One row per path: path, kinds (null for hand-written), score (largest margin over the machines).
 
     Null paths are left out; null size, language and head are allowed; an empty table gives no row.
-    Rows delivered twice and older states count once. Other columns are ignored.
+    Rows delivered twice and older states count once. Other columns are ignored. Every file is scored;
+    the machines are trained on at most ``marked`` files of each kind and ``unmarked`` others.
     """
     rows = _newest(files, heads)
-    taken = rows.orderBy(F.xxhash64("path"), "path").limit(sample).toPandas()
-    machines = files.sparkSession.sparkContext.broadcast(Machines(taken))
+    spark = files.sparkSession
+    machines = spark.sparkContext.broadcast(Machines(spark, training_sample(rows, marked, unmarked)))
     return rows.mapInArrow(_score(machines), "path string, kinds array<string>, score double")

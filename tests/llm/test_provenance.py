@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from loomindex.llm import linear
-from loomindex.llm.provenance import Machines, evidence, file_provenance, masked, views
+from loomindex.llm.provenance import best_threshold, evidence, file_provenance, masked, train_machine, training_sample, views
 
 
 def test_evidence():
@@ -52,15 +52,18 @@ def test_held_out_repositories_and_edge_cases(spark):
         made = i % 3 == 0
         rows.append((f"{repo}/src/{name}.py", "python", len(code), float(i)))
         heads.append((f"{repo}/src/{name}.py", ("# @generated by tool, do not edit\n" if made else "") + code))
-    rows += [(rows[0][0], None, None, 0.0), ("packages/x/third_party/a.py", None, None, None), (None, "python", 1, 1.0)]
+    # Machines alone decide, so a kind needs some examples.
+    copied = [f"packages/r{i}/third_party/{rng.choice(names)}/a{i}.py" for i in range(40)]
+    rows += [(rows[0][0], None, None, 0.0), ("packages/x/third_party/a.py", None, None, None), (None, "python", 1, 1.0), *[(p, "python", 9, 1.0) for p in copied]]
     files = spark.createDataFrame(rows, "path string, language string, size bigint, mtime_ms double")
     head = spark.createDataFrame([*heads, (None, "x"), ("packages/x/third_party/a.py", None)], "path string, head string")
     got = {r.path: r.kinds for r in file_provenance(files, head).collect()}
-    assert len(got) == 401
+    assert len(got) == 441
     assert all((got[rows[i][0]] is not None) == (i % 3 == 0) for i in range(400))
     assert got["packages/x/third_party/a.py"] == ["vendored"]
     sample = pd.DataFrame({"path": [r[0] for r in rows[:400]], "head": [h[1] for h in heads], "size": [float(r[2]) for r in rows[:400]], "language": "python"})
-    assert Machines(sample).validation["generated"] >= 0.9
+    figures = train_machine(sample, "generated", True)[1]
+    assert figures["precision"] >= 0.9 and figures["recall"] >= 0.9
     assert file_provenance(files.limit(0), head).count() == 0
 
 
@@ -70,30 +73,22 @@ def test_masked_positives_are_learned():
     for i in range(300):
         made = i % 3 == 0
         lines = [f"{rng.choice(words)} = {rng.choice(words)}({rng.randrange(99)})\n" for _ in range(12)]
-        code = "".join([*lines, "yystate(3)\n" if made else "", *lines])
+        code = "".join([*lines, "\n" if made else "", *lines])
         paths.append(f"packages/r{i % 40}/src/n{i}.py")
-        heads.append(("# @generated by tool, do not edit\n" if made else "") + code)
+        # The second line of the header is no giveaway, but goes with it.
+        heads.append(("# @generated by tool, do not edit\n# yystate table\n" if made else "") + code)
     sample = pd.DataFrame({"path": paths, "head": heads, "size": 100.0, "language": "python"})
-    without = [masked(p, h) for p, h in zip(paths, heads)]
-    machines = Machines(sample)
-    score = machines.scores(views([p for p, _ in without], [h for _, h in without], [100.0] * 300, ["python"] * 300), 300)[:, 0]
-    assert np.mean((score > 0) == (np.arange(300) % 3 == 0)) >= 0.9
-    assert machines.masked_recall["generated"] >= 0.9
-
-
-def test_thresholds_are_held_out_and_seeds_only_check_hits():
-    rng = random.Random(5)
-    names = ["alpha", "gamma", "omega", "delta"]
-    paths = [f"packages/r{i % 40}/src/n{i}.py" for i in range(300)]
-    heads = [("# @generated by tool, do not edit\n" if i % 3 == 0 else "") + "".join(f"{rng.choice(names)} = {rng.randrange(99)}\n" for _ in range(12)) for i in range(300)]
-    machines = Machines(pd.DataFrame({"path": paths, "head": heads, "size": 100.0, "language": "python"}))
-    low, high = machines.low[0], machines.high[0]
-    assert -2 < low <= 0 <= high < 2
-    found = np.array([[low - 0.01], [low + 0.01], [high + 0.01], [high - 0.01], [high + 0.01]]) * np.array([[1, 0, 0, 0]])
-    shown, against = np.zeros((5, 4), bool), np.array([False, False, False, False, True])
-    shown[:2, 0] = True
-    # Rejected in spite of a seed, confirmed, alone, neither, denied by its header.
-    assert machines.verdict(found, shown, against)[:, 0].tolist() == [False, True, True, False, False]
+    assert train_machine(sample, "generated", True)[1]["masked_recall"] >= 0.9
+
+
+def test_threshold_and_sample(spark):
+    assert best_threshold(np.array([3.0, 2.0, 1.0, -1.0]), np.array([True, True, False, False])) == 1.5
+    assert best_threshold(np.array([1.0]), np.array([False])) == 0.0 and best_threshold(np.array([1.0]), np.array([True])) == 0.5
+    rows = [(f"p/r/{'gen' if i % 4 == 0 else 'src'}/a{i}.py", None, 1.0, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "path string, head string, size double, language string")
+    taken = training_sample(df, 3, 5)["path"].tolist()
+    assert len(taken) == 8 and sum("/gen/" in p for p in taken) == 3
+    assert len(training_sample(df.limit(0), 3, 5)) == 0
 
 
 def test_views_of_empty_texts():
