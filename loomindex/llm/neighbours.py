@@ -39,7 +39,7 @@ from loomindex.session import materialize
 #: Rows of a leaf inside a unit, and queries that go through the leaves together.
 _LEAF, _BLOCK = 512, 32768
 #: Directions of the test of single rows, and its probability.
-TESTED, TESTED_P = 24, 0.98
+TESTED, TESTED_P = 24, 0.99
 #: Bytes of vectors in a unit at most.
 UNIT_BYTES = 32 << 20
 
@@ -312,7 +312,7 @@ class Neighbours:
     gives no row; a model with one vector gives none either. ``floor``: least cosine that is wanted.
     """
 
-    def __init__(self, vectors: DataFrame, k: int = 5, floor: float = -1.0, m: int = 8, p: float = 0.95, unit_size: int = 32768, sample: int = 20000, cells: int = 256, load: int = 32768):
+    def __init__(self, vectors: DataFrame, k: int = 5, floor: float = -1.0, m: int = 8, p: float = 0.9, unit_size: int = 32768, sample: int = 20000, cells: int = 256, load: int = 32768):
         self.k, self.floor, self.m, self.limit, self.load = k, floor, m, chi_square_quantile(p, m), load
         rows = materialize(usable_vectors(vectors), "vectors")
         fitting = F.least(F.lit(unit_size), F.greatest(F.lit(256), F.lit(UNIT_BYTES // 8) / F.col("dimensions"))).cast("int")
