@@ -3,28 +3,32 @@
 Texts are sets of word runs. Exact copies of a set form one class; only one representative per class
 is compared. The runs of a representative are put in one global order, rare ones first, and only the
 first ``n - ceil(t n) + 1`` of ``n`` are posted: two sets with a Jaccard share of at least ``t`` have one
-of these in common. Postings are joined on the run, under length and positional filters; pairs then
-pass a positional filter over all their common prefix runs and a suffix filter (a lower bound of the
-sets' Hamming distance from the parity of the number of runs in ``64 * SKETCH`` fixed parts of the run
-space), and each remaining pair is verified once on whole sets.
+of these in common. Postings are joined on the run and a band of lengths, under the length and positional
+filters; pairs then pass a positional filter over all their common prefix runs and a suffix filter, and
+each remaining pair is verified once on whole sets.
 
-Rarity comes from one count per hashed bucket over *all* texts (``2**count_bits`` counters, a fixed
-size whatever the data). It only orders the runs: any order gives the same result, a good one gives
-short posting lists.
+The suffix filter is the usual one, a lower bound of the Hamming distance from how many runs each set
+has in the parts of a partition, with parts that are fixed by hash instead of found by search: each set
+carries the parities of at least two parts per run, so the bound is as sharp for long texts as for
+short ones. It is taken over the whole set, which includes the suffix.
+
+Rarity comes from one count per hashed bucket over *all* texts. There are about as many buckets as runs,
+``2**MOST_BITS`` at most. Counts only order the runs: any order gives the same result, a good one gives
+short posting lists. A run whose bucket counts one is in one text only and is not posted at all.
 
 Scale: texts are read in three passes and never shuffled; what is shuffled is prefixes, and the sets
 of the few texts that are verified. Copies are merged before they are posted (map-side first), so a
-class that holds a third of all rows posts once. Hot posting lists are left to AQE's skew join. Only
-two tables of a fixed size reach the driver: the counters, and a bit table that lets the third pass
-skip most texts that are in no candidate (a join keeps the exact ones).
+class that holds a third of all rows posts once. A run that many texts post is split: one side is dealt
+to ``count / HOT`` tasks, the other is sent to each of them. What reaches the driver has a fixed bound: the
+counters, and a bit table of ``MOST_WANTED`` bits at most that lets the third pass skip texts that are in
+no candidate (a join keeps the exact ones); with more candidates than fit, that join comes first.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,12 +37,13 @@ from pyspark.sql import functions as F
 from loomindex.llm.shingles import by_bytes, run_hashes
 from loomindex.session import materialize
 
-#: 64-bit words of parities in the suffix filter.
-SKETCH = 4
 _CHUNKS = 64
-#: Bits of the hashed id in the fixed bit table of wanted ids.
-_WANTED_BITS = 23
-_SKETCHES = [f"sketch_{k}" for k in range(SKETCH)]
+#: Buckets of the counters (as a power of two): their least and largest number.
+LEAST_BITS, MOST_BITS = 16, 25
+#: Bits (as a power of two) of the bit table of wanted ids at most; eight are used per id.
+MOST_WANTED = 28
+#: Postings of a run that one task joins.
+HOT = 50_000
 
 
 def needed_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -70,15 +75,37 @@ def _sets(texts: pa.Array, width: int, least: int) -> tuple[np.ndarray, np.ndarr
     return runs, first, sizes, rows
 
 
-def _sketches(runs: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each set, whether the number of runs in each part of the run space is odd."""
-    part = (runs * np.uint64(0x9FB21C651E98DF25) >> np.uint64(48)) % np.uint64(64 * SKETCH)
-    out = []
-    for k in range(SKETCH):
-        mine = part // np.uint64(64) == k
-        bit = np.where(mine, np.uint64(1) << part % np.uint64(64), np.uint64(0))
-        out.append(np.bitwise_xor.reduceat(bit, first).view(np.int64))
-    return out
+def _sketches(runs: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """For each set, whether the number of its runs in each part of the run space is odd.
+
+    A set of n runs has a power of two of 64-bit words, at least n / 32 and 4. Half as many parts are
+    the two halves folded together, so sketches of unlike length can be compared.
+    """
+    words = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 32)).astype(np.int64).clip(0))
+    starts = np.concatenate([[0], np.cumsum(words)])
+    part = runs * np.uint64(0x9FB21C651E98DF25) >> np.uint64(40)
+    part &= np.repeat(words * 64 - 1, sizes).astype(np.uint64)
+    out = np.zeros(starts[-1], np.uint64)
+    at = np.repeat(starts[:-1], sizes) + (part >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (part & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out.view(np.int64)))
+
+
+def _folded(sketch: Column) -> Column:
+    half = F.size(sketch) / 2
+    return F.zip_with(F.slice(sketch, F.lit(1), half.cast("int")), F.slice(sketch, (half + 1).cast("int"), half.cast("int")), lambda x, y: x.bitwiseXOR(y))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """A lower bound of the Hamming distance of two sets from their sketches."""
+    shorter = F.when(F.size(a) > F.size(b), _folded(a)).otherwise(a)
+    other = F.when(F.size(b) > F.size(a), _folded(b)).otherwise(b)
+    return F.aggregate(F.zip_with(shorter, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
+def _bands(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Bands of lengths: sets that may reach the threshold are in the same one or the next."""
+    return np.floor(np.log(n) / -np.log(min(threshold, 0.999)) + 1e-9).astype(np.int32)
 
 
 def _count(width: int, least: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,7 +113,7 @@ def _count(width: int, least: int, bits: int) -> Callable[[Iterator[pa.RecordBat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int32)
-        names = ["chunk", "counts", "id", "identity", "sig_a", "sig_b", "n", *_SKETCHES]
+        names = ["chunk", "counts", "id", "identity", "sig_a", "sig_b", "n", "sketch"]
         for batch in by_bytes(batches):
             runs, first, sizes, rows = _sets(batch["text"], width, least)
             if not len(rows):
@@ -95,11 +122,11 @@ def _count(width: int, least: int, bits: int) -> Callable[[Iterator[pa.RecordBat
             counts[bucket] += times.astype(np.int32)
             at = pa.array(rows)
             none = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
-            new = [*_signatures(runs, first), sizes.astype(np.int64), *_sketches(runs, first)]
-            yield pa.RecordBatch.from_arrays([*none, batch["id"].take(at), batch["identity"].take(at), *map(pa.array, new)], names)
+            new = [*_signatures(runs, first), sizes.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*none, batch["id"].take(at), batch["identity"].take(at), *map(pa.array, new), _sketches(runs, first, sizes)], names)
         if counts.any():
             parts = [zlib.compress(c.astype("<i4").tobytes(), 1) for c in np.split(counts, _CHUNKS)]
-            rest = [pa.nulls(_CHUNKS, pa.int64()) for _ in range(5 + SKETCH)]
+            rest = [*(pa.nulls(_CHUNKS, pa.int64()) for _ in range(5)), pa.nulls(_CHUNKS, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS), pa.int32()), pa.array(parts, pa.binary()), *rest], names)
 
     return run
@@ -110,6 +137,15 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts + 1.0) * 5, 255).astype(np.uint8)
 
 
+#: Up to this level a bucket counts one run of one text.
+_ALONE = int(_levels(np.array([1]))[0])
+
+
+def _parts(levels: np.ndarray, hot: int) -> np.ndarray:
+    """Number of tasks that share a run of this level."""
+    return np.ceil((2.0 ** ((levels + 1.0) / 5)) / hot).astype(np.int32)
+
+
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Levels of the summed counters by chunk; holds no more than the fixed table."""
     held: dict[int, np.ndarray] = {}
@@ -122,8 +158,8 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _prefixes(width: int, least: int, bits: int, threshold: float, counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, sig_a, sig_b, n, prefix) with the prefix in rare-first order."""
+def _prefixes(width: int, least: int, bits: int, threshold: float, hot: int, counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, sig_a, sig_b, n, band, runs, places, parts) with the prefix in rare-first order, without runs that no other text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -136,25 +172,27 @@ def _prefixes(width: int, least: int, bits: int, threshold: float, counts) -> Ca
             # Runs are sorted by hash within a row already; stable sorts keep that for equal counts.
             order = np.argsort(rarity, kind="stable")
             order = order[np.argsort(owner[order].astype(np.uint16 if len(rows) < 65536 else np.int64), kind="stable")]
-            posted = _prefix_length(sizes, threshold)
             place = np.arange(len(runs)) - np.repeat(first, sizes)
-            prefix = runs[order][place < np.repeat(posted, sizes)].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(posted)]).astype(np.int32)
+            level = rarity[order]
+            posted = (place < np.repeat(_prefix_length(sizes, threshold), sizes)) & (level > _ALONE)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(posted, first, dtype=np.int64))]).astype(np.int32))
+            lists = [runs[order][posted].view(np.int64), place[posted].astype(np.int32), _parts(level[posted], hot)]
             yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(pa.array(rows)), pa.array(a), pa.array(b), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(prefix))],
-                ["id", "sig_a", "sig_b", "n", "prefix"],
+                [batch["id"].take(pa.array(rows)), *map(pa.array, (a, b, sizes.astype(np.int32), _bands(sizes, threshold))), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)],
+                ["id", "sig_a", "sig_b", "n", "band", "runs", "places", "parts"],
             )
 
     return run
 
 
-def _whole(width: int, least: int, wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, sig_a, sig_b, runs): all runs of the texts whose hashed id is in the bit table."""
+def _whole(width: int, least: int, wanted, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, sig_a, sig_b, runs): all runs of the texts whose hashed id is in the bit table, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            at = batch["slot"].to_numpy()
-            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            if wanted is not None:
+                at = batch["slot"].to_numpy() & (1 << bits) - 1
+                batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             runs, first, sizes, rows = _sets(batch["text"], width, least)
             if not len(rows):
                 continue
@@ -166,15 +204,15 @@ def _whole(width: int, least: int, wanted) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def _slot(id_: Column) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(1 << _WANTED_BITS)).cast("int")
+    return F.pmod(F.xxhash64(id_), F.lit(1 << MOST_WANTED)).cast("int")
 
 
-def _wanted_bits(ids: DataFrame) -> np.ndarray:
-    """Fixed bit table (2**_WANTED_BITS bits) of the hashed ids, merged in Spark range by range."""
-    slot = _slot(F.col("id")).cast("long")
+def _wanted_bits(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bit table (2**bits bits, which is bounded) of the hashed ids, merged in Spark range by range."""
+    slot = _slot(F.col("id")).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
     ranges = ids.groupBy(F.shiftright(slot, 15).alias("at")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
-    table = np.zeros(1 << (_WANTED_BITS - 3), np.uint8)
-    for row in ranges.collect():  # at most 2**(_WANTED_BITS - 15) rows of 4 KB
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for row in ranges.toLocalIterator():  # at most 2**(bits - 15) rows of 4 KB
         table[row.at * 4096 : row.at * 4096 + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return table
 
@@ -187,19 +225,22 @@ class NearDuplicates:
     texts of one id, the one with the least signature counts.
     """
 
-    def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8, least: int = 1, count_bits: int = 22):
+    def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8, least: int = 1, count_bits: int | None = None, hot: int = HOT):
+        """``hot``: postings of a run that one task joins. ``count_bits``: buckets of the counters as a power of two; by default about one per run (eight characters of text)."""
         self.threshold = threshold
         spark = texts.sparkSession
         lower = texts.filter("id is not null and text is not null").select("id", "identity", F.lower("text").alias("text"))
+        if count_bits is None:
+            length = lower.agg(F.sum(F.length("text"))).first()[0] or 1
+            count_bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(length / 8 + 1))))
         counted = materialize(
             lower.mapInArrow(
-                _count(width, least, count_bits), "chunk int, counts binary, id bigint, identity bigint, sig_a bigint, sig_b bigint, n bigint, "
-                + ", ".join(f"{c} bigint" for c in _SKETCHES),
+                _count(width, least, count_bits), "chunk int, counts binary, id bigint, identity bigint, sig_a bigint, sig_b bigint, n bigint, sketch array<bigint>"
             ),
             "runs-counted",
         )
         chunks = counted.filter("chunk is not null").select("chunk", "counts")
-        # 2**count_bits counters in _CHUNKS rows: the same size for any input.
+        # 2**count_bits counters in _CHUNKS rows: at most 2**MOST_BITS bytes for any input.
         held = chunks.repartition(8, "chunk").mapInArrow(_add_chunks, "chunk int, counts binary").collect()
         total = np.zeros(1 << count_bits, np.uint8)
         size = len(total) // _CHUNKS
@@ -213,15 +254,16 @@ class NearDuplicates:
         self._several = None if several.limit(1).isEmpty() else materialize(several, "several")
         members = self._of_one_text(members)
         prefixed = lower.select("id", "text").mapInArrow(
-            _prefixes(width, least, count_bits, threshold, counts), "id bigint, sig_a bigint, sig_b bigint, n int, prefix array<bigint>"
+            _prefixes(width, least, count_bits, threshold, hot, counts), "id bigint, sig_a bigint, sig_b bigint, n int, band int, runs array<bigint>, places array<int>, parts array<int>"
         )
         prefixed = self._of_one_text(prefixed)
         # A representative: the smallest id of a class. Copies merge before the shuffle.
-        reps = prefixed.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        self._postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "run"))
-        least_id = members.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in _SKETCHES])
-        self._sketches = least_id.select("rep", *_SKETCHES)
-        self.members = members.select("id", "identity", "sig_a", "sig_b", "n").distinct().join(least_id, ["sig_a", "sig_b"]).select("id", "identity", "rep", "n")
+        lists = ["runs", "places", "parts"]
+        reps = prefixed.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "band", *lists)])
+        self._postings = reps.filter(F.size("runs") > 0).select("rep", "n", "band", F.inline(F.arrays_zip(*lists))).toDF("rep", "n", "band", "run", "pos", "parts")
+        least_id = members.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
+        self._sketches = least_id.select("rep", "sketch")
+        self.members = members.select("id", "identity", "sig_a", "sig_b", "n").distinct().join(least_id.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"]).select("id", "identity", "rep", "n")
         self._texts, self._width, self._least = lower.select("id", "text", _slot(F.col("id")).alias("slot")), width, least
 
     def _of_one_text(self, rows: DataFrame) -> DataFrame:
@@ -231,15 +273,18 @@ class NearDuplicates:
         return rows.join(self._several, "id", "left").filter(mine).drop("kept")
 
     def candidates(self) -> DataFrame:
-        """(rep_a, rep_b, need): pairs that the length, positional and suffix filters leave."""
+        """(rep_a, rep_b, need): pairs that the length, positional and suffix filters leave; a is the shorter set."""
         p = self._postings
-        a = p.select("run", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-        b = p.select("run", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+        salts = F.sequence(F.lit(0), F.col("parts") - 1)
+        # The shorter set's band is the longer one's or the one below.
+        a = p.select("run", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+        b = p.select("run", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "parts", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+        b = b.select("*", F.explode(salts).alias("salt")).drop("parts")
         need = needed_overlap(F.col("n_a"), F.col("n_b"), self.threshold)
         after = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-        matches = a.join(b, "run").filter(
-            (F.col("rep_a") < F.col("rep_b"))
-            & (F.least("n_a", "n_b") >= F.ceil(F.greatest("n_a", "n_b") * F.lit(self.threshold) - F.lit(1e-9)))
+        matches = a.join(b, ["run", "band", "salt"]).filter(
+            ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b")))
+            & (F.col("n_a") >= F.ceil(F.col("n_b") * F.lit(self.threshold) - F.lit(1e-9)))
             & (F.least("pos_a", "pos_b") + 1 + after >= need)
         )
         pairs = matches.groupBy("rep_a", "rep_b", "n_a", "n_b").agg(
@@ -247,17 +292,21 @@ class NearDuplicates:
         )
         rest = F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
         near = pairs.filter(F.col("common") + rest >= need).select("rep_a", "rep_b", (F.col("n_a") + F.col("n_b")).alias("size"), need.alias("need"))
-        mine, other = (self._sketches.select(F.col("rep").alias(f"rep_{x}"), *[F.col(c).alias(f"{c}{x}") for c in _SKETCHES]) for x in "ab")
-        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in _SKETCHES])
+        mine, other = (self._sketches.select(F.col("rep").alias(f"rep_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
         both = near.join(mine, "rep_a").join(other, "rep_b")
-        return both.filter(F.col("size") - apart >= 2 * F.col("need")).select("rep_a", "rep_b", "need")
+        return both.filter(F.col("size") - _apart(F.col("sketch_a"), F.col("sketch_b")) >= 2 * F.col("need")).select("rep_a", "rep_b", "need")
 
     def pairs(self) -> DataFrame:
         """(rep_a, rep_b, share) of classes, each pair verified once on whole sets."""
         found = materialize(self.candidates(), "candidates")
         ids = found.select(F.col("rep_a").alias("id")).union(found.select(F.col("rep_b").alias("id")))
-        wanted = found.sparkSession.sparkContext.broadcast(_wanted_bits(ids))
-        sets = self._texts.mapInArrow(_whole(self._width, self._least, wanted), "id bigint, sig_a bigint, sig_b bigint, runs array<bigint>").join(ids.distinct(), "id", "left_semi")
+        ids = ids.distinct()
+        bits, wanted, texts = max(16, math.ceil(math.log2(8 * ids.count() + 1))), None, self._texts
+        if bits <= MOST_WANTED:
+            wanted = found.sparkSession.sparkContext.broadcast(_wanted_bits(ids, bits))
+        else:
+            texts = texts.join(ids, "id", "left_semi")
+        sets = texts.mapInArrow(_whole(self._width, self._least, wanted, bits), "id bigint, sig_a bigint, sig_b bigint, runs array<bigint>").join(ids, "id", "left_semi")
         sets = self._of_one_text(sets)
         sets = materialize(sets.groupBy("id").agg(F.first("runs").alias("runs")), "sets")
         a = sets.select(F.col("id").alias("rep_a"), F.col("runs").alias("runs_a"))
@@ -265,7 +314,7 @@ class NearDuplicates:
         common = F.size(F.array_intersect("runs_a", "runs_b"))
         sized = found.join(a, "rep_a").join(b, "rep_b").select("rep_a", "rep_b", "need", common.alias("common"), (F.size("runs_a") + F.size("runs_b")).alias("size"))
         share = F.col("common") / (F.col("size") - F.col("common"))
-        return sized.filter(F.col("common") >= F.col("need")).select("rep_a", "rep_b", share.alias("share"))
+        return sized.filter(F.col("common") >= F.col("need")).select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), share.alias("share"))
 
 
 def identity_of(*columns: str) -> Column:

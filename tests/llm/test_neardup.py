@@ -7,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomindex.llm import neardup_queries
-from loomindex.llm.neardup import NearDuplicates, identity_of
+from loomindex.llm import neardup, neardup_queries
+from loomindex.llm.neardup import NearDuplicates, _apart, _sketches, identity_of
 from loomindex.llm.shingles import by_bytes, run_hashes, word_hashes
 
 
@@ -100,11 +100,39 @@ def test_texts_without_runs_have_classes(spark, monkeypatch):
     texts = [(1, long), (2, long), (3, "Import  os"), (4, "import os"), (5, ".a"), (6, None), (7, None), (8, " "), (9, ".b"), (4, "import os"), (1, "x")]
     rows = spark.createDataFrame([(i, i, t) for i, t in texts], "id bigint, identity bigint, text string")
     monkeypatch.setattr(neardup_queries, "_symbols", lambda spark, folder: rows)
+    monkeypatch.setattr(neardup_queries, "_near", NearDuplicates)
     got = sorted(tuple(r) for r in neardup_queries.p1_classes(spark, "").collect())
     assert got == [(1, 1, 2, 0), (2, 1, 2, 0), (3, 3, 2, 0), (4, 3, 2, 0), *[(i, i, 1, 0) for i in (5, 6, 7, 8, 9)]]
     assert {(r.symbol_id, r.group_id) for r in neardup_queries.p1_groups(spark, "").collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
 
 
+def test_sketches_bound_the_distance(spark):
+    rng = random.Random(8)
+    sets = [rng.sample(range(1 << 40), n) for n in (1, 30, 100, 129, 300, 520, 900)]
+    sets += [[*s[: len(s) * 4 // 5], *rng.sample(range(1 << 40), len(s) // 5)] for s in sets]
+    values = np.concatenate([np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    sketches = _sketches(values, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes).to_pylist()
+    assert all(64 * len(k) >= 2 * n and len(k) & (len(k) - 1) == 0 for k, n in zip(sketches, sizes.tolist()))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if 0.5 <= len(sketches[i]) / len(sketches[j]) <= 2]
+    df = spark.createDataFrame([(i, j, sketches[i], sketches[j]) for i, j in pairs], "i int, j int, a array<bigint>, b array<bigint>")
+    for r in df.select("i", "j", _apart(F.col("a"), F.col("b")).alias("apart")).collect():
+        real = len(set(sets[r.i]) ^ set(sets[r.j]))
+        assert r.apart <= real and (r.i != r.j or r.apart == 0)
+        # Sharp for long sets too: unrelated ones are told apart.
+        assert real < len(sets[r.i]) + len(sets[r.j]) or sizes[r.i] < 100 or r.apart > 0.6 * min(sizes[r.i], sizes[r.j])
+
+
+def test_hot_runs_are_split(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "id bigint, identity bigint, text string")
+    near = NearDuplicates(df, 2, 0.5, 1, hot=10)
+    assert near._postings.agg(F.max("parts")).first()[0] > 1
+    assert found(near) == expected(rows, 2, 0.5, 1)
+    monkeypatch.setattr(neardup, "MOST_WANTED", 4)  # too few bits: the semi join comes first
+    assert found(NearDuplicates(df, 3, 0.6, 20)) == expected(rows, 3, 0.6, 20)
+
+
 def test_batches_by_bytes_keep_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 5, None, "b" * 30, "", "c", "d" * 12], "id": list(range(6))})
     parts = list(by_bytes(iter([batch, batch.slice(0, 0)]), limit=10))
