@@ -200,66 +200,70 @@ def best_threshold(scores: np.ndarray, positive: np.ndarray) -> float:
     return float((scores[order[at]] + below) / 2)
 
 
-def train_machine(files: pd.DataFrame, kind: str, held_out: bool, epochs: int = 8) -> tuple[np.ndarray, dict]:
-    """(weights with the bias last, figures of the held-out repositories) of one kind's machine.
+class Training:
+    """The views of a sample of files, from which the machines of all kinds are trained.
 
-    ``files``: path, head, size, language of the sample. With ``held_out``, a third of the repositories
-    takes no part in the training and gives the figures: threshold, precision, recall, masked_recall.
+    ``files``: path, head, size, language of the sample; may be empty. With ``held_out``, a third of the
+    repositories takes no part in the training and gives the figures.
     """
-    paths, heads = files["path"].tolist(), [h if isinstance(h, str) else None for h in files["head"]]
-    positive = np.array([evidence(p, h)[kind] for p, h in zip(paths, heads)], bool)
-    out = np.array([zlib.crc32(repository(p).encode()) % PARTS == 0 for p in paths], bool) & held_out
-    shown, view = [(i, p, h) for i, (p, h) in enumerate(zip(paths, heads))], [0] * len(paths)
-    for v, (header_too, path_too) in enumerate([(True, False), (False, True), (True, True)], 1):
-        for i, (p, h) in enumerate(zip(paths, heads)):
-            less = masked(p, h, header_too, path_too)
-            # What was masked to nothing can show nothing.
-            if less != (p, h or "") and (less[0].strip("/") or less[1].strip()):
-                shown.append((i, *less))
-                view.append(v)
-    owner, view = np.array([i for i, _, _ in shown], np.int64), np.array(view, np.int64)
-    sizes, languages = files["size"].tolist(), files["language"].tolist()
-    rows = _rows([p for _, p, _ in shown], [h for _, _, h in shown], [sizes[i] for i in owner], [languages[i] for i in owner])
-    emphasis = np.array(EMPHASIS[kind], np.float32)
-    rows = [(index, value * emphasis[index >> BITS]) for index, value in rows]
-    labels = np.where(positive[owner], 1, -1)
-    known = np.array([evidence(p, h)[kind] for _, p, h in shown], bool)
-    importance = np.where((view > 0) & (labels > 0) & ~known, DIM, 1.0)
-    use = np.flatnonzero(~out[owner])
-    w = train([rows[i] for i in use], labels[use], 5 << BITS, epochs, most=2.0, importance=importance[use])
-    w[:-1] *= np.repeat(emphasis, 1 << BITS)
-    figures = {"threshold": 0.0}
-    if held_out:
-        plain = [(index, value / emphasis[index >> BITS]) for index, value in rows]
-        score = np.array([w[:-1][index] @ value + w[-1] for index, value in plain])
-        mine = (view == 0) & out[owner]
-        figures["threshold"] = best_threshold(score[mine], labels[mine] > 0)
-        hit = score > figures["threshold"]
-        bare = (view > 0) & out[owner] & (labels > 0)
-        figures |= {
-            "precision": float((labels[mine & hit] > 0).mean()) if (mine & hit).any() else None,
-            "recall": float(hit[mine & (labels > 0)].mean()) if (mine & (labels > 0)).any() else None,
-            "masked_recall": float(hit[bare].mean()) if bare.any() else None,
-        }
-    return w.astype(np.float32), figures
+
+    def __init__(self, files: pd.DataFrame, held_out: bool):
+        paths, heads = files["path"].tolist(), [h if isinstance(h, str) else None for h in files["head"]]
+        shown = [(i, p, h) for i, (p, h) in enumerate(zip(paths, heads))]
+        view = [0] * len(paths)
+        for v, (header_too, path_too) in enumerate([(True, False), (False, True), (True, True)], 1):
+            for i, (p, h) in enumerate(zip(paths, heads)):
+                less = masked(p, h, header_too, path_too)
+                # What was masked to nothing can show nothing.
+                if less != (p, h or "") and (less[0].strip("/") or less[1].strip()):
+                    shown.append((i, *less))
+                    view.append(v)
+        owner, self.view, self.held_out = np.array([i for i, _, _ in shown], np.int64), np.array(view, np.int64), held_out
+        sizes, languages = files["size"].tolist(), files["language"].tolist()
+        self.rows = _rows([p for _, p, _ in shown], [h for _, _, h in shown], [sizes[i] for i in owner], [languages[i] for i in owner])
+        marks = [evidence(p, h) for _, p, h in shown]
+        self.known = {kind: np.array([m[kind] for m in marks], bool) for kind in KINDS}
+        self.labels = {kind: np.where(known[owner], 1, -1) for kind, known in self.known.items()}
+        self.out = (np.array([zlib.crc32(repository(p).encode()) % PARTS == 0 for p in paths], bool) & held_out)[owner]
+
+    def machine(self, kind: str, epochs: int = 8) -> tuple[np.ndarray, dict]:
+        """(weights with the bias last, figures of the held-out repositories): threshold, precision, recall, masked_recall."""
+        labels, view = self.labels[kind], self.view
+        emphasis = np.array(EMPHASIS[kind], np.float32)
+        importance = np.where((view > 0) & (labels > 0) & ~self.known[kind], DIM, 1.0)
+        use = np.flatnonzero(~self.out)
+        part = [(self.rows[i][0], self.rows[i][1] * emphasis[self.rows[i][0] >> BITS]) for i in use]
+        w = train(part, labels[use], 5 << BITS, epochs, most=2.0, importance=importance[use])
+        w[:-1] *= np.repeat(emphasis, 1 << BITS)
+        figures = {"threshold": 0.0}
+        if self.held_out:
+            score = np.array([w[:-1][index] @ value + w[-1] for index, value in self.rows])
+            mine, positive = (view == 0) & self.out, labels > 0
+            figures["threshold"] = best_threshold(score[mine], positive[mine])
+            hit = score > figures["threshold"]
+            share = lambda of, among: float(of[among].mean()) if among.any() else None
+            figures |= {"precision": share(positive, mine & hit), "recall": share(hit, mine & positive), "masked_recall": share(hit, (view > 0) & self.out & positive)}
+        return w.astype(np.float32), figures
 
 
 class Machines:
     """The trained machines; ``weights`` has a fixed size (kinds x views x 2**BITS)."""
 
     def __init__(self, spark: SparkSession, files: pd.DataFrame):
-        """``files``: the bounded training sample; may be empty. Each training is a task of its own."""
+        """``files``: the bounded training sample; may be empty. Trainings run as tasks, two kinds in each."""
         sample = spark.sparkContext.broadcast(files)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for kind, held_out in zip(batch["kind"].to_pylist(), batch["held_out"].to_pylist()):
-                    w, figures = train_machine(sample.value, kind, held_out)
-                    packed = None if held_out else zlib.compress(w.tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([json.dumps(figures)]), pa.array([packed], pa.binary())], ["kind", "figures", "weights"])
-
-        jobs = spark.createDataFrame([(k, h) for k in KINDS for h in (True, False)], "kind string, held_out boolean")
-        jobs = jobs.repartitionByRange(2 * len(KINDS), "kind", "held_out")
+                for kinds, held_out in zip(batch["kinds"].to_pylist(), batch["held_out"].to_pylist()):
+                    training = Training(sample.value, held_out)
+                    for kind in kinds:
+                        w, figures = training.machine(kind)
+                        packed = None if held_out else zlib.compress(w.tobytes(), 1)
+                        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([json.dumps(figures)]), pa.array([packed], pa.binary())], ["kind", "figures", "weights"])
+
+        jobs = spark.createDataFrame([(held_out, kinds) for held_out in (True, False) for kinds in (KINDS[::2], KINDS[1::2])], "held_out boolean, kinds array<string>")
+        jobs = jobs.repartitionByRange(len(KINDS), "held_out", "kinds")
         self.weights, self.bias, self.threshold = np.zeros((len(KINDS), 5 << BITS), np.float32), np.zeros(len(KINDS)), np.zeros(len(KINDS))
         self.validation: dict[str, dict] = {}
         for row in jobs.mapInArrow(run, "kind string, figures string, weights binary").collect():  # two rows a kind, of a fixed size

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from loomindex.llm import linear
-from loomindex.llm.provenance import best_threshold, evidence, file_provenance, masked, train_machine, training_sample, views
+from loomindex.llm.provenance import Training, best_threshold, evidence, file_provenance, masked, training_sample, views
 
 
 def test_evidence():
@@ -62,7 +62,7 @@ def test_held_out_repositories_and_edge_cases(spark):
     assert all((got[rows[i][0]] is not None) == (i % 3 == 0) for i in range(400))
     assert got["packages/x/third_party/a.py"] == ["vendored"]
     sample = pd.DataFrame({"path": [r[0] for r in rows[:400]], "head": [h[1] for h in heads], "size": [float(r[2]) for r in rows[:400]], "language": "python"})
-    figures = train_machine(sample, "generated", True)[1]
+    figures = Training(sample, True).machine("generated")[1]
     assert figures["precision"] >= 0.9 and figures["recall"] >= 0.9
     assert file_provenance(files.limit(0), head).count() == 0
 
@@ -78,7 +78,7 @@ def test_masked_positives_are_learned():
         # The second line of the header is no giveaway, but goes with it.
         heads.append(("# @generated by tool, do not edit\n# yystate table\n" if made else "") + code)
     sample = pd.DataFrame({"path": paths, "head": heads, "size": 100.0, "language": "python"})
-    assert train_machine(sample, "generated", True)[1]["masked_recall"] >= 0.9
+    assert Training(sample, True).machine("generated")[1]["masked_recall"] >= 0.9
 
 
 def test_threshold_and_sample(spark):
