@@ -1,7 +1,8 @@
-"""Compressed bitmaps over key ranges: 32,768 codes a range, built and merged inside Spark's own aggregates.
+"""Compressed bitmaps over key ranges of 32,768 codes.
 
-A bitmap is packed for transport like a container of a compressed bitmap: codes as 16-bit numbers
-while they are few, plain bits otherwise. ``and_not`` works on packed bitmaps and yields codes.
+A bitmap is packed like a container of a compressed bitmap: codes as 16-bit numbers while they are few,
+plain bits otherwise. Bitmaps are packed where the codes are, before any exchange; parts of one range
+from several tasks are only put together (OR) where the result is needed. ``and_not`` yields codes.
 """
 
 from __future__ import annotations
@@ -9,11 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RANGE_BITS = 15
 RANGE = 1 << RANGE_BITS
@@ -25,37 +24,55 @@ def range_of(code: Column) -> Column:
     return F.shiftright(code, RANGE_BITS)
 
 
-def position_in_range(code: Column) -> Column:
-    return code.bitwiseAND(F.lit(RANGE - 1))
+def pack(positions: np.ndarray) -> bytes:
+    """The packed bitmap of distinct sorted positions in a range."""
+    if len(positions) < DENSE_FROM:
+        return b"A" + positions.astype("<u2").tobytes()
+    bits = np.zeros(RANGE, bool)
+    bits[positions] = True
+    return b"B" + np.packbits(bits, bitorder="little").tobytes()
 
 
-def build(code: Column) -> Column:
-    """Aggregate: the plain bitmap of the codes of one range, partially built before the shuffle."""
-    return F.bitmap_construct_agg(position_in_range(code))
+def _pack_runs(groups: int):
+    """Rows (groups ..., code), sorted, to rows (groups ..., key_range, bits), one for each run of equal groups and range in a batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            code = batch.column(groups).to_numpy()
+            new = np.ones(len(code), bool)
+            new[1:] = np.diff(code >> RANGE_BITS) != 0
+            for c in batch.columns[:groups]:
+                values = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                new[1:] |= np.diff(values) != 0
+            at = np.flatnonzero(new)
+            parts = [pack(np.unique(code[x:y]) & (RANGE - 1)) for x, y in zip(at, [*at[1:], len(code)])]
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(take) for c in batch.columns[:groups]), pa.array(code[at] >> RANGE_BITS), pa.array(parts, pa.binary())], [*batch.schema.names[:groups], "key_range", "bits"]
+            )
 
-def _pack(bits: bytes) -> bytes:
-    plain = np.frombuffer(bits, np.uint8)
-    codes = np.flatnonzero(np.unpackbits(plain, bitorder="little"))
-    return b"B" + bits if len(codes) >= DENSE_FROM else b"A" + codes.astype("<u2").tobytes()
+    return run
 
 
-def _unpack(packed: bytes | None) -> np.ndarray:
-    """Booleans for the whole range."""
-    out = np.zeros(RANGE, bool)
-    if packed is None:
-        return out
-    if packed[:1] == b"B":
-        found = np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), bitorder="little")
-        out[: len(found)] = found
-    else:
-        out[np.frombuffer(packed, "<u2", offset=1)] = True
-    return out
+def bitmaps(codes: DataFrame, *groups: str) -> DataFrame:
+    """(groups ..., key_range, bits): per group (strings) and range the list of its packed parts."""
+    sorted_codes = codes.select(*groups, "code").sortWithinPartitions(*groups, "code")
+    schema = "".join(f"{g} string, " for g in groups) + "key_range bigint, bits binary"
+    return sorted_codes.mapInArrow(_pack_runs(len(groups)), schema).groupBy(*groups, "key_range").agg(F.collect_list("bits").alias("bits"))
 
 
-@F.pandas_udf(T.BinaryType())
-def pack(bits: pd.Series) -> pd.Series:
-    return bits.map(_pack, na_action="ignore")
+def unpack(parts: list[bytes] | None) -> np.ndarray:
+    """Booleans for the whole range, from all parts of its bitmap."""
+    out = np.zeros(RANGE, bool)
+    for packed in parts or []:
+        if packed[:1] == b"B":
+            found = np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), bitorder="little")
+            out[: len(found)] |= found.astype(bool)
+        else:
+            out[np.frombuffer(packed, "<u2", offset=1)] = True
+    return out
 
 
 def and_not(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +81,7 @@ def and_not(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields, periods, codes = [], [], []
         rows = batch.to_pydict()
         for field, period, at, refs, parents in zip(*(rows[c] for c in ("ref_field", "period", "key_range", "refs", "parents"))):
-            left = np.flatnonzero(_unpack(refs) & ~_unpack(parents)).astype(np.int64) + (at << RANGE_BITS)
+            left = np.flatnonzero(unpack(refs) & ~unpack(parents)).astype(np.int64) + (at << RANGE_BITS)
             codes.append(left)
             fields += [field] * len(left)
             periods += [period] * len(left)

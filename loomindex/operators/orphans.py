@@ -1,18 +1,18 @@
 """References to records that do not exist.
 
-Keys are dictionary-encoded as integers, the referenced codes are kept as one compressed bitmap per
-reference field, month and key range, and a reference is an orphan where its bit is set and the
-parent's is not. Surviving bits are decoded to keys and joined back to the rows that hold them.
-
-Scale: only distinct keys are encoded (map-side distinct before each shuffle); bitmaps merge inside
-Spark's aggregates; the join back to rows is salted on the row id, so one key that holds a third of
-all rows is spread over ``salts`` tasks (AQE splits further). Nothing is collected.
+Keys, whether paths or ids, are dictionary-encoded as dense integers; the referenced codes are kept as
+one compressed bitmap per reference field, month and key range, and a reference is an orphan where its
+bit is set and the parent's is not. Surviving bits are decoded to keys and joined back to the rows that
+hold them.
+
+Scale: only distinct keys are encoded (map-side distinct before each shuffle), and bitmaps are packed
+before they are exchanged. In the join back to rows, only keys with more than ``HOT`` rows are salted,
+over as many tasks as they have multiples of that; there are at most rows / ``HOT`` of these. Nothing is
+collected.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ from loomindex.functions.paths import canonical_path
 from loomindex.session import materialize
 
 PATH_FIELDS = ("source_path", "target_path")
+#: Rows of one key that one task takes.
+HOT = 500_000
 
 
 def present_paths(files: DataFrame, changes: DataFrame) -> DataFrame:
@@ -46,38 +48,39 @@ def month_of(at: Column) -> Column:
 
 
 def _dictionary(keys: DataFrame) -> DataFrame:
-    """key -> code. Codes are dense within a partition, so key ranges are well filled.
+    """canonical -> code. Codes are dense within a partition, so key ranges are well filled.
 
     Written once: the numbering must not change when a task is repeated.
     """
     return materialize(keys.distinct().withColumn("code", F.monotonically_increasing_id()), "dictionary")
 
 
-def _missing(usage: DataFrame, parents: DataFrame) -> DataFrame:
+def _missing(coded: DataFrame, parents: DataFrame) -> DataFrame:
     """(ref_field, period, code) of referenced codes without a parent, by AND-NOT of bitmaps."""
-    refs = (
-        usage.groupBy("ref_field", "period", bitmaps.range_of(F.col("code")).alias("key_range"))
-        .agg(bitmaps.build(F.col("code")).alias("bits"))
-        .select("ref_field", "period", "key_range", bitmaps.pack("bits").alias("refs"))
-    )
-    there = (
-        parents.groupBy(bitmaps.range_of(F.col("code")).alias("key_range"))
-        .agg(bitmaps.build(F.col("code")).alias("bits"))
-        .select("key_range", bitmaps.pack("bits").alias("parents"))
-    )
+    refs = bitmaps.bitmaps(coded, "ref_field", "period").withColumnRenamed("bits", "refs")
+    there = bitmaps.bitmaps(parents).withColumnRenamed("bits", "parents")
     both = refs.join(there, "key_range", "left").select("ref_field", "period", "key_range", "refs", "parents")
     return both.mapInArrow(bitmaps.and_not, "ref_field string, period string, code bigint")
 
 
-def _rows_with(refs: DataFrame, orphans: DataFrame, key: str, salts: int) -> DataFrame:
-    """Rows of ``refs`` whose key is an orphan in their field and period; hot keys are salted by row id."""
-    salted = orphans.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return refs.withColumn("salt", F.pmod(F.xxhash64("relation_id"), F.lit(salts)).cast("int")).join(
-        salted, ["ref_field", "period", key, "salt"], "left_semi"
-    )
-
+def _orphan_rows(refs: DataFrame, usage: DataFrame, present: DataFrame) -> DataFrame:
+    """The rows of ``refs`` (relation_id, ref_field, period, key) whose key is missing.
 
-def orphan_references(relations: DataFrame, symbols: DataFrame, files: DataFrame, changes: DataFrame, salts: int = 8) -> DataFrame:
+    ``usage``: (ref_field, period, key, rows, canonical), one row per distinct reference; ``present``: (canonical) of the parents.
+    """
+    codes = _dictionary(usage.select("canonical").union(present))
+    coded = materialize(usage.join(codes, "canonical").select("ref_field", "period", "key", "rows", "code"), "usage")
+    lost = _missing(coded.select("ref_field", "period", "code"), present.join(codes, "canonical").select("code"))
+    on = ["ref_field", "period", "key"]
+    parts = F.ceil(F.col("rows") / F.lit(HOT)).cast("int")
+    orphans = coded.join(lost.distinct(), ["ref_field", "period", "code"], "left_semi").select(*on, parts.alias("parts"))
+    hot = coded.filter(F.col("rows") > HOT).select(*on, parts.alias("parts"))  # at most rows / HOT of them
+    salted = refs.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64("relation_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    keys = orphans.select(*on, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    return salted.join(keys, [*on, "salt"], "left_semi").select("relation_id", "ref_field", "period")
+
+
+def orphan_references(relations: DataFrame, symbols: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:
     """One row per orphan reference: relation_id, ref_field, period.
 
     Null and blank keys are no references. Rows delivered twice give one row. Empty tables are
@@ -86,27 +89,21 @@ def orphan_references(relations: DataFrame, symbols: DataFrame, files: DataFrame
     rows = relations.select(
         F.col("id").alias("relation_id"), month_of(F.col("indexed_at")).alias("period"), "source_symbol_id", *PATH_FIELDS
     )
-    # Numbers are their own codes.
+    count = F.count("*").alias("rows")
     id_refs = rows.filter("source_symbol_id is not null").select(
-        "relation_id", F.lit("source_symbol_id").alias("ref_field"), "period", F.col("source_symbol_id").alias("code")
+        "relation_id", F.lit("source_symbol_id").alias("ref_field"), "period", F.col("source_symbol_id").alias("key")
     )
-    ids = symbols.filter("id is not null").select(F.col("id").alias("code")).distinct()
-    lost_ids = _missing(id_refs.select("ref_field", "period", "code").distinct(), ids)
-    by_id = _rows_with(id_refs, lost_ids, "code", salts)
+    id_usage = id_refs.groupBy("ref_field", "period", "key").agg(count).withColumn("canonical", F.col("key"))
+    by_id = _orphan_rows(id_refs, id_usage, symbols.filter("id is not null").select(F.col("id").alias("canonical")).distinct())
 
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("ref_field"), F.col(f).alias("key")) for f in PATH_FIELDS])).alias("ref")
     path_refs = (
         rows.select("relation_id", "period", fields).select("relation_id", "period", "ref.ref_field", "ref.key").filter(F.col("key").rlike(r"\S"))
     )
-    usage = path_refs.select("ref_field", "period", "key").distinct().withColumn("path", canonical_path(F.col("key")))
-    present = materialize(present_paths(files, changes), "present")
-    codes = _dictionary(usage.select("path").union(present.select("path")))
-    coded = materialize(usage.join(codes, "path").select("ref_field", "period", "key", "code"), "usage")
-    lost = _missing(coded.select("ref_field", "period", "code"), present.join(codes, "path").select("code"))
-    lost_keys = coded.join(lost.distinct(), ["ref_field", "period", "code"], "left_semi").select("ref_field", "period", "key")
-    by_path = _rows_with(path_refs, lost_keys, "key", salts)
-    out = ["relation_id", "ref_field", "period"]
-    return reduce(DataFrame.union, [by_id.select(*out), by_path.select(*out)]).distinct()
+    path_usage = path_refs.groupBy("ref_field", "period", "key").agg(count).withColumn("canonical", canonical_path(F.col("key")))
+    present = materialize(present_paths(files, changes).select(F.col("path").alias("canonical")), "present")
+    by_path = _orphan_rows(path_refs, path_usage, present)
+    return by_id.union(by_path).distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomindex.functions import bitmaps
 from loomindex.functions.paths import canonical_path
+from loomindex.operators import orphans
 from loomindex.operators.orphans import orphan_references, orphan_report
 from tests.helpers import AT, changes, files, relations, rows, symbols
 
@@ -33,6 +34,18 @@ def test_orphans_of_every_field(spark):
     ]
 
 
+def test_hashed_ids_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "HOT", 7)
+    r = spark.range(200).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.xxhash64("id")).alias("source_symbol_id"), F.lit("a").alias("source_path"), F.lit(None).cast("string").alias("target_path"), F.lit(AT).alias("indexed_at")
+    )
+    known = spark.range(200).filter("id % 2 = 0").select(F.xxhash64("id").alias("id"))
+    f = files(spark, [("b", None, None, None)])
+    got = rows(orphan_references(r, known, f, changes(spark, [])))
+    ids = [(i, "source_symbol_id", "2025-03") for i in range(200) if i % 3 == 0 or i % 2]
+    assert got == sorted(ids + [(i, "source_path", "2025-03") for i in range(200)])
+
+
 def test_report_counts_per_table_and_month(spark):
     got = rows(orphan_report(orphan_references(*_tables(spark))), "referenced_table", "period", "orphans")
     assert got == [("files", "2025-03", 2), ("files", "unknown", 1), ("symbols", "2025-03", 2)]
@@ -59,6 +72,8 @@ def test_packed_bitmaps_round_trip():
     for n in (0, 1, 100, 5000, bitmaps.RANGE):
         bits = np.zeros(bitmaps.RANGE, bool)
         bits[rng.choice(bitmaps.RANGE, n, replace=False)] = True
-        packed = bitmaps._pack(np.packbits(bits, bitorder="little").tobytes())
-        assert (bitmaps._unpack(packed) == bits).all()
+        packed = bitmaps.pack(np.flatnonzero(bits))
+        assert (bitmaps.unpack([packed]) == bits).all()
+        half = [bitmaps.pack(x) for x in np.array_split(np.flatnonzero(bits), 2)]
+        assert (bitmaps.unpack(half) == bits).all()
         assert len(packed) <= 4097
