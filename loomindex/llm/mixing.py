@@ -1,16 +1,14 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each record's number of copies is a Poisson variable, found by inverting its distribution at a uniform
-number seeded by a hash, so that the mix is the same on any cluster. Within a source the records are
-dealt by hash to strata of at most about ``stratum`` records; a stratum's numbers are the multiples of
-the golden ratio after a hashed start, in order of size. Each number is uniform by itself, but together
-they are spread evenly over the sizes, which takes most of the sampling noise out of the shares. The mean is chosen
+number that is a hash of the seed and the record's id, so that the mix is the same on any cluster and a
+record's copies do not depend on which other records there are. The mean is chosen
 per source so that the expected number of copies, cut off at the source's ``max_repeats``, is the rate
 that its target share needs; a source at its limit gives every record exactly that often. Copies get a
 hashed position that orders the whole mix: a global shuffle.
 
-Scale: counts are column expressions, per-source facts are one row per target; records are shuffled by
-stratum (never a whole source in one task) and once for the global order.
+Scale: counts are column expressions on the scanned rows, per-source facts are one row per target; the
+only shuffle of records is the one for the global order.
 """
 
 from __future__ import annotations
@@ -19,7 +17,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def poisson_below(mean: float, most: int) -> list[float]:
@@ -65,12 +62,12 @@ class Mix:
     give an empty mix.
     """
 
-    def __init__(self, sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 17, stratum: int = 50_000):
+    def __init__(self, sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 17):
         good = targets.filter("source is not null and target_share > 0 and max_repeats > 0")
         good = good.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-        there = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records"))
+        there = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"))
         # One row per target.
-        rows = good.join(there, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records")).collect()
+        rows = good.join(there, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens")).collect()
         usable = [r for r in rows if r.tokens > 0]
         whole = sum(r.target_share for r in usable)
         reach = min((r.max_repeats * r.tokens / (r.target_share / whole) for r in usable), default=0.0)
@@ -81,21 +78,16 @@ class Mix:
             rate = float(min(share * total / r.tokens, r.max_repeats)) if r.tokens else 0.0
             mean = mean_for_rate(rate, r.max_repeats)
             below = [0.0] * r.max_repeats if math.isinf(mean) else poisson_below(mean, r.max_repeats)
-            strata = max(1, math.ceil(r.records / stratum))
-            self.facts.append((r.source, float(r.target_share), share, r.max_repeats, int(r.tokens), rate, below, strata))
+            self.facts.append((r.source, float(r.target_share), share, r.max_repeats, int(r.tokens), rate, below, share * total))
         self.sizes, self.seed = sizes, seed
-        schema = "source string, target_share double, wanted_share double, max_repeats int, source_tokens bigint, rate double, below array<double>, strata int"
+        schema = "source string, target_share double, wanted_share double, max_repeats int, source_tokens bigint, rate double, below array<double>, wanted_tokens double"
         self.table = sizes.sparkSession.createDataFrame(self.facts, schema)
 
     def records(self) -> DataFrame:
         """(position, doc_id, copy, source, tokens), one row per copy, in the order of position."""
-        facts = F.broadcast(self.table.filter("rate > 0").select("source", "below", "strata"))  # one row per target
-        copies = F.size(F.filter("below", lambda p: p <= F.col("u")))
-        dealt = self.sizes.join(facts, "source").withColumn("stratum", F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.col("strata")))
-        by_size = Window.partitionBy("source", "stratum").orderBy("tokens", F.xxhash64(F.lit(self.seed), "doc_id"), "doc_id")
-        start = _uniform(F.lit(self.seed), F.col("source"), F.col("stratum"))
-        step = start + F.row_number().over(by_size) * F.lit((math.sqrt(5) - 1) / 2)
-        drawn = dealt.withColumn("u", step - F.floor(step)).withColumn("copies", copies).filter("copies > 0")
+        facts = F.broadcast(self.table.filter("rate > 0").select("source", "below"))  # one row per target
+        drawn = self.sizes.join(facts, "source").withColumn("u", _uniform(F.lit(self.seed), F.col("doc_id")))
+        drawn = drawn.withColumn("copies", F.size(F.filter("below", lambda p: p <= F.col("u")))).filter("copies > 0")
         out = drawn.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "source", "tokens")
         return out.select(F.xxhash64(F.lit(self.seed + 1), "doc_id", "copy").alias("position"), "doc_id", "copy", "source", "tokens")
 
@@ -103,7 +95,7 @@ class Mix:
         return self.records().orderBy("position", "doc_id", "copy")
 
     def report(self) -> DataFrame:
-        """Per target: target share, share wanted after spreading missing sources, share reached, and how often it is used."""
+        """Per target: target share, share wanted after spreading missing sources, share reached, how often it is used, and the tokens it falls short of what was wanted."""
         used = self.records().groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("copy").alias("most_copies"))
         total = used.agg(F.sum("tokens").alias("all_tokens"))
         # Both sides have one row per target at most.
@@ -118,4 +110,5 @@ class Mix:
             F.when(F.col("source_tokens") > 0, F.round(F.coalesce("tokens", F.lit(0)) / F.col("source_tokens"), 6)).alias("repeats"),
             "max_repeats",
             F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+            F.round(F.greatest(F.col("wanted_tokens") - F.coalesce("tokens", F.lit(0)), F.lit(0.0)), 1).alias("shortfall"),
         )
