@@ -1,10 +1,11 @@
 """Functions paired with their documentation.
 
-Each body is parsed into a small syntax tree node: leading comments, header, the comment or docstring
-directly after the header, and the exact character range of the code. Python bodies go through the
-``ast`` module; the other languages (and Python that does not parse) through a scan that balances
-brackets outside strings and comments. Documentation is good if its prose has at least
-``least_words`` distinct words that neither the name nor the signature has.
+Each body is parsed into a syntax tree, its function nodes are visited, and the one with the symbol's
+name (else the first) gives the attached documentation and the exact character range of the code.
+Python bodies go through the ``ast`` module. For the other languages (and Python that does not parse)
+a small parser builds the tree of nested blocks: braces, or Ruby's and shell's keywords up to their
+``end``, outside strings and comments. Documentation is good if its prose has at least ``least_words``
+distinct words that neither the name nor the signature has.
 
 Scale: one narrow pass (scan, Arrow batches, filter) over the kinds asked for; what is shuffled to
 count repeated rows once is only the result.
@@ -33,7 +34,6 @@ _RUBY_BLOCK = re.compile(r"=begin\b.*?(?:^=end[^\n]*(?:\n|$)|\Z)", re.S | re.M)
 _DOCSTRING = re.compile(r"\s*[rRuUbB]{0,2}(\"\"\"|'''|\"|')(.*?)(?<!\\)\1", re.S)
 _BLANK = re.compile(r"[ \t]*\r?\n")
 _DECORATOR = re.compile(r"[ \t]*@[\w.]+")
-_STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _PY_RETURN = re.compile(r"\s*(?:->[^:]*)?:")
 
 
@@ -62,23 +62,96 @@ def _comments(text: str, at: int, hashes: bool) -> tuple[str, int]:
     return text[begin:at], at
 
 
+_TOKEN = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?P<open>[(\[{])|(?P<close>[)\]}])", re.S)
+
+
 def _skip_brackets(text: str, at: int) -> int:
     """The place after the bracket that closes the one at ``at``; strings are skipped."""
     depth = 0
-    while at < len(text):
-        c = text[at]
-        if c in "\"'`":
-            m = _STRING.match(text, at)
-            at = m.end() if m else at + 1
-            continue
-        if c in "([{":
+    for m in _TOKEN.finditer(text, at):
+        if m.lastgroup == "open":
             depth += 1
-        elif c in ")]}":
+        elif m.lastgroup == "close":
             depth -= 1
             if depth <= 0:
-                return at + 1
-        at += 1
-    return at
+                return m.end()
+    return len(text)
+
+
+@dataclass
+class Block:
+    """A node of the block tree: where it opens and ends (None if it is not closed), and the blocks inside."""
+
+    start: int
+    end: int | None
+    inner: list["Block"]
+
+
+_BRACES = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<open>\{)|(?P<close>\})", re.S)
+_BASH = re.compile(r"\"(?:\\.|[^\"\\])*\"|'[^']*'|(?<!\S)#[^\n]*|\$\{[^}\n]*\}|(?P<open>(?<!\S)\{(?=\s))|(?P<close>(?<!\S)\}(?![^\s;&|)]))", re.S)
+#: Ruby's blocks: keywords at the start of a statement or after ``=``, and ``do`` at the end of a line.
+_RUBY = re.compile(
+    r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*|(?P<open>(?:^|(?<=;)|(?<==))[ \t]*(?:(?:private|public|protected)[ \t]+)?(?:def|class|module|if|unless|while|until|case|for|begin)\b(?!:)|\bdo\b(?=[ \t]*(?:\|[^|\n]*\|)?[ \t]*(?:\#[^\n]*)?$))|(?P<close>(?<![\w.:@$])end\b(?![?!:]))",
+    re.M,
+)
+_ENDLESS = re.compile(r"[ \t]*def\s+[\w.]+[?!]?(?:\([^()\n]*\))?\s*=\s")
+_BLOCKS = {"ruby": _RUBY, "shell": _BASH}
+
+
+def block_tree(text: str, language: str, at: int = 0) -> list[Block]:
+    """The blocks of a text in any language but Python, nested."""
+    top: list[Block] = []
+    stack: list[Block] = []
+    for m in _BLOCKS.get(language, _BRACES).finditer(text, at):
+        if m.lastgroup == "open":
+            if language == "ruby" and _ENDLESS.match(text, m.start()):
+                continue
+            block = Block(m.start(), None, [])
+            (stack[-1].inner if stack else top).append(block)
+            stack.append(block)
+        elif m.lastgroup == "close" and stack:
+            stack.pop().end = m.end()
+    return top
+
+
+def _code_end(text: str, header: int, header_end: int, language: str) -> int:
+    """Where the function ends that begins at ``header``: its block's end, or the statement's, or the text's where a block is not closed."""
+    whole = len(text.rstrip())
+    if language == "python":
+        return _indented_end(text, header, header_end)
+    blocks = block_tree(text, language, header)
+    if language == "ruby":
+        own = next((b for b in blocks if b.start <= header_end), None)
+        if own is None and _ENDLESS.match(text, header):
+            line = text.find("\n", header_end)
+            return whole if line < 0 else line
+    else:
+        own = next((b for b in blocks if b.start >= header_end - 1 and not text[header_end : b.start].strip()), None)
+        if own is None and header_end < len(text) and text.rfind("{", header, header_end) < 0:
+            # An expression body: up to the semicolon or the end of its line.
+            line = text.find("\n", header_end)
+            return whole if line < 0 else line
+    if own is None or own.end is None:
+        return whole
+    tail = re.compile(r"[)\]]*;?").match(text, own.end)
+    return tail.end() if tail else own.end
+
+
+def _indented_end(text: str, header: int, header_end: int) -> int:
+    """For Python that does not parse: the last line that is indented more than the header."""
+    start = text.rfind("\n", 0, header) + 1
+    margin = len(text[start:header].expandtabs()) if not text[start:header].strip() else 0
+    end, at = header_end, text.find("\n", header_end) + 1
+    while 0 < at < len(text):
+        line_end = text.find("\n", at)
+        line_end = len(text) if line_end < 0 else line_end
+        line = text[at:line_end]
+        if line.strip():
+            if len(line) - len(line.lstrip()) <= margin and not line.lstrip().startswith((")", "]", "}")):
+                break
+            end = line_end
+        at = line_end + 1
+    return max(end, header_end)
 
 
 def _header_end(text: str, at: int, language: str) -> int:
@@ -107,7 +180,7 @@ def _ruby_end(text: str, at: int, line: int, paren: int) -> int:
 
 
 def scan_function(body: str, language: str) -> FunctionNode:
-    """The node of a body in any language, found by scanning."""
+    """The node of a body in any language, from its comments, header and block tree."""
     hashes = language in _HASH
     before, at = _comments(body, 0, hashes)
     header = at
@@ -127,11 +200,18 @@ def scan_function(body: str, language: str) -> FunctionNode:
         first = re.compile(r"[ \t]*\r?\n|[ \t]+").match(body, rest)
     doc = _DOCSTRING.match(body, rest) if language == "python" else None
     inside = doc.group(2) if doc else _comments(body, rest, hashes)[0]
-    return FunctionNode(before, inside, at, len(body.rstrip()))
+    return FunctionNode(before, inside, at, _code_end(body, header, end, language))
+
+
+def _place(lines: list[str], dedented: list[str], line: int, column: int) -> int:
+    """The character place in the body of a line (from 1) and byte column of the dedented source."""
+    text = dedented[line - 1]
+    margin = len(lines[line - 1]) - len(text)
+    return sum(len(x) + 1 for x in lines[: line - 1]) + margin + len(text.encode()[:column].decode("utf-8", "ignore"))
 
 
-def parse_python(body: str) -> FunctionNode | None:
-    """The node of a Python body by its syntax tree; None where it does not parse."""
+def parse_python(body: str, name: str | None = None) -> FunctionNode | None:
+    """The node of a Python body by its syntax tree; None where it does not parse or has no function."""
     source = textwrap.dedent(body)
     try:
         with warnings.catch_warnings():
@@ -139,16 +219,22 @@ def parse_python(body: str) -> FunctionNode | None:
             tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    node = next((n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)), None)
-    if node is None:
+    nodes = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+    if not nodes:
         return None
+    last = re.split(r"[.#:]", name)[-1] if name else None
+    node = next((n for n in nodes if n.name == last), nodes[0])
+    lines, dedented = body.split("\n"), source.split("\n")
+    first = min([node, *node.decorator_list], key=lambda n: n.lineno)
+    column = first.col_offset - (first is not node)  # a decorator's expression begins after its @
+    start, end = _place(lines, dedented, first.lineno, max(column, 0)), _place(lines, dedented, node.end_lineno, node.end_col_offset)
     scanned = scan_function(body, "python")
     doc = ast.get_docstring(node, clean=True)
-    return FunctionNode(scanned.before, doc if doc is not None else scanned.inside, scanned.start, scanned.end)
+    return FunctionNode(scanned.before, doc if doc is not None else scanned.inside, start, end)
 
 
-def function_node(body: str, language: str | None) -> FunctionNode:
-    node = parse_python(body) if language == "python" else None
+def function_node(body: str, language: str | None, name: str | None = None) -> FunctionNode:
+    node = parse_python(body, name) if language == "python" else None
     return node or scan_function(body, language or "text")
 
 
@@ -160,7 +246,7 @@ def _pairs(least_words: int):
             for id_, language, name, signature, body, doc in zip(*columns):
                 known = words(name) | words(signature)
                 # The field is looked at first; a body is only parsed where it has to be.
-                node = function_node(body, language)
+                node = function_node(body, language, name)
                 for source, text in (("doc", doc), ("before", node.before), ("inside", node.inside)):
                     lines = good_lines(text)
                     if len(new_words(lines, known)) >= least_words:

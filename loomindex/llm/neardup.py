@@ -3,8 +3,7 @@
 Texts are sets of word runs. Exact copies of a set form one class; only one representative per class
 is compared. The runs of a representative are put in one global order, rare ones first, and only the
 first ``n - ceil(t n) + 1`` of ``n`` are posted: two sets with a Jaccard share of at least ``t`` have one
-of these in common. Postings are joined on the run and a band of lengths, under the length and positional
-filters; pairs then pass a positional filter over all their common prefix runs and a suffix filter, and
+of these in common. Postings are joined on the run, under the length and positional filters; pairs then pass a positional filter over all their common prefix runs and a suffix filter, and
 each remaining pair is verified once on whole sets.
 
 The suffix filter is the usual one, a lower bound of the Hamming distance from how many runs each set
@@ -18,8 +17,8 @@ short posting lists. A run whose bucket counts one is in one text only and is no
 
 Scale: texts are read in three passes and never shuffled; what is shuffled is prefixes, and the sets
 of the few texts that are verified. Copies are merged before they are posted (map-side first), so a
-class that holds a third of all rows posts once. A run that many texts post is split: one side is dealt
-to ``count / HOT`` tasks, the other is sent to each of them. What reaches the driver has a fixed bound: the
+class that holds a third of all rows posts once. A run that many texts post is split by
+bands of lengths, and of each band one side is dealt to ``count / HOT`` tasks, the other sent to each of them. What reaches the driver has a fixed bound: the
 counters, and a bit table of ``MOST_WANTED`` bits at most that lets the third pass skip texts that are in
 no candidate (a join keeps the exact ones); with more candidates than fit, that join comes first.
 """
@@ -274,15 +273,19 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(rep_a, rep_b, need): pairs that the length, positional and suffix filters leave; a is the shorter set."""
-        p = self._postings
-        salts = F.sequence(F.lit(0), F.col("parts") - 1)
-        # The shorter set's band is the longer one's or the one below.
-        a = p.select("run", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-        b = p.select("run", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "parts", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-        b = b.select("*", F.explode(salts).alias("salt")).drop("parts")
+        def side(rows: DataFrame, x: str) -> DataFrame:
+            return rows.withColumnsRenamed({c: f"{c}_{x}" for c in ("rep", "n", "pos")})
+
+        cold = self._postings.filter("parts = 1").select("run", "rep", "n", "pos")
+        # Hot runs meet by bands of lengths, the shorter set's being the longer one's or the one below, and one side is dealt to tasks.
+        hot = self._postings.filter("parts > 1")
+        dealt = hot.select("run", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt"), "rep", "n", "pos")
+        sent = hot.select("run", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "parts", "rep", "n", "pos")
+        sent = sent.select("run", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rep", "n", "pos")
+        met = side(cold, "a").join(side(cold, "b"), "run").unionByName(side(dealt, "a").join(side(sent, "b"), ["run", "band", "salt"]).drop("band", "salt"))
         need = needed_overlap(F.col("n_a"), F.col("n_b"), self.threshold)
         after = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-        matches = a.join(b, ["run", "band", "salt"]).filter(
+        matches = met.filter(
             ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b")))
             & (F.col("n_a") >= F.ceil(F.col("n_b") * F.lit(self.threshold) - F.lit(1e-9)))
             & (F.least("pos_a", "pos_b") + 1 + after >= need)

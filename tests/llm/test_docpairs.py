@@ -54,6 +54,28 @@ def test_nodes():
     assert function_node("", "text").before == ""
 
 
+RANGES = [
+    ("python", "# hi\n@dec(1)\ndef a(x):\n    return 1\n\nx = 2\ny = 3\n", None, "@dec(1)\ndef a(x):\n    return 1"),
+    ("python", "    def é(self):\n        return 'é'\n    z = 1\n", "é", "def é(self):\n        return 'é'"),
+    ("python", "def a():\n    pass\ndef b():\n    return 1\nx = 2", "b", "def b():\n    return 1"),
+    ("python", "def a(x:\n    return 1\nx=2", None, "def a(x:\n    return 1"),
+    ("javascript", "// c\nfunction a(b) {\n  // it's }\n  if (b) { return '}'; }\n}\nconst z = 1;\n", None, "function a(b) {\n  // it's }\n  if (b) { return '}'; }\n}"),
+    ("javascript", "  go(a, {b: 1} = {}) {\n    return a;\n  }\n  other() { }\n", None, "  go(a, {b: 1} = {}) {\n    return a;\n  }"),
+    ("typescript", "const a = (x) => x + 1;\nfoo();", None, "const a = (x) => x + 1;"),
+    ("ruby", "def self.a(x)\n  if x then y end\n  z = if x\n 1\n end\n  all.each do |i|\n   p i unless i\n  end\nend\nFOO = 1\n", None, "def self.a(x)\n  if x then y end\n  z = if x\n 1\n end\n  all.each do |i|\n   p i unless i\n  end\nend"),
+    ("ruby", "def a(x) = x + 1\nB = 2", None, "def a(x) = x + 1"),
+    ("shell", 'f() {\n  echo "${x}" # }\n  if true; then echo 1; fi\n}\necho done\n', None, 'f() {\n  echo "${x}" # }\n  if true; then echo 1; fi\n}'),
+    ("javascript", "function a() {\n  b", None, "function a() {\n  b"),
+    (None, "x", None, "x"),
+]
+
+
+@pytest.mark.parametrize("language,body,name,code", RANGES)
+def test_code_ends_with_the_function(language, body, name, code):
+    node = function_node(body, language, name)
+    assert body[node.start : node.end] == code
+
+
 def test_pairs(spark):
     schema = "id bigint, kind string, language string, name string, signature string, body string, doc string, code string"
     long = "def f():\n    '''Walks every single branch twice.'''\n" + "    x = 1\n" * 50_000
