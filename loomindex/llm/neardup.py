@@ -84,10 +84,8 @@ def _sketches(runs: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> pa.List
     starts = np.concatenate([[0], np.cumsum(words)])
     part = runs * np.uint64(0x9FB21C651E98DF25) >> np.uint64(40)
     part &= np.repeat(words * 64 - 1, sizes).astype(np.uint64)
-    out = np.zeros(starts[-1], np.uint64)
-    at = np.repeat(starts[:-1], sizes) + (part >> np.uint64(6)).astype(np.int64)
-    np.bitwise_xor.at(out, at, np.uint64(1) << (part & np.uint64(63)))
-    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out.view(np.int64)))
+    bits = np.bincount(np.repeat(starts[:-1] * 64, sizes) + part.astype(np.int64), minlength=starts[-1] * 64) & 1
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(np.packbits(bits.astype(bool), bitorder="little").view(np.int64)))
 
 
 def _folded(sketch: Column) -> Column:
@@ -117,8 +115,7 @@ def _count(width: int, least: int, bits: int) -> Callable[[Iterator[pa.RecordBat
             runs, first, sizes, rows = _sets(batch["text"], width, least)
             if not len(rows):
                 continue
-            bucket, times = np.unique((runs >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            counts[bucket] += times.astype(np.int32)
+            np.add.at(counts, (runs >> np.uint64(64 - bits)).astype(np.int64), np.int32(1))
             at = pa.array(rows)
             none = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
             new = [*_signatures(runs, first), sizes.astype(np.int64)]
