@@ -16,12 +16,13 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomindex.llm.linear import ngrams, sparse_rows, train
 
@@ -45,8 +46,8 @@ _INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,200}>|\b(?:https?|ftp|file|mailto):\
 _ASIDE = re.compile(r"\([^()\n]*[`\"][^()\n]*\)")
 _INDENTED = re.compile(r"^(?: {4,}|\t)[^\n]*[;{}()=\[\]$<>|][^\n]*$", re.M)
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
-_TOKEN = re.compile(r"\S+")
-_PROSE = re.compile(r"^[\W_]*?([^\W\d_]+(?:['’\-‐][^\W\d_]+)*)[.,:;!?)»”\"'’…*\]]*$")
+#: A word between blanks, with signs around it; taken from a whole paragraph at once.
+_PROSE = re.compile(r"(?<!\S)(?:[^\w\s]|_)*([^\W\d_]+(?:['’\-‐][^\W\d_]+)*)[.,:;!?)»”\"'’…*\]]*(?!\S)")
 _ELISION = re.compile(r"['’]")
 _DAMAGED = re.compile("[ÃÂ][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 
@@ -78,16 +79,8 @@ def paragraph_words(text: str) -> list[list[str]]:
     text = _INDENTED.sub("", text)
     out = []
     for paragraph in _BLANK.split(text):
-        words = []
-        for token in _TOKEN.findall(paragraph):
-            m = _PROSE.match(token)
-            if not m:
-                continue
-            word = m.group(1)
-            # Names with an inner upper-case letter are identifiers.
-            if not (word[1:].islower() or word.isupper() or len(word) == 1 or "'" in word or "’" in word or "-" in word):
-                continue
-            words.append(word.lower())
+        # Names with an inner upper-case letter are identifiers.
+        words = [w.lower() for w in _PROSE.findall(paragraph) if w.islower() or w[1:].islower() or w.isupper() or len(w) == 1 or "'" in w or "’" in w or "-" in w]
         if words:
             out.append(words)
     return out
@@ -120,31 +113,27 @@ def main_language(judged: list[tuple[str, float]], paragraphs: list[list[str]])
 class Discriminator:
     """The family machine and the one-versus-one machines of each family."""
 
-    def __init__(self, samples: list[tuple[str, str]], labelled: list[tuple[str | None, str]] = (), per_language: int = 200, epochs: int = 10):
-        """``samples``: (language code, text). Languages outside FAMILIES are not used.
+    def __init__(self, samples: list[tuple[str, str]], more: list[tuple[str, list[str]]] = (), epochs: int = 10):
+        """``samples``: (language code, text). ``more``: (language code, words). Languages outside FAMILIES are not used."""
+        known = [(code, [w for p in paragraph_words(text) for w in p]) for code, text in samples]
+        # Sentences are also shown in halves, so that short texts are learned too.
+        self._fit([(code, part) for code, w in known for part in (w, w[: len(w) // 2], w[len(w) // 2 :])] + list(more), epochs)
+
+    def agreed(self, label: str | None, text: str) -> list[tuple[str, list[str]]]:
+        """(code, words) of a document's paragraphs that may be learned from.
 
-        ``labelled``: documents whose label may be wrong. Where the machines trained on the samples agree
-        with the label, paragraphs that are not surely in another language join the training
-        (``per_language`` at most).
+        None if the label is not what these machines find; paragraphs that are surely in another language are left out.
         """
-        known = [(code, [w for p in paragraph_words(text) for w in p]) for code, text in samples]
-        self._fit(known, epochs)
-        more: dict[str, list] = {}
-        for label, text in labelled:
-            code, paragraphs = label_code(label), [p for p in paragraph_words(text) if len(p) >= 5]
-            judged = self.judge(paragraphs)
-            if main_language(judged, paragraphs) != code:
-                continue
-            for p, (guess, sure) in zip(paragraphs, judged):
-                if (guess == code or sure < 0.8) and len(more.setdefault(code, [])) < per_language:
-                    more[code].append((code, p))
-        if more:
-            self._fit(known + [x for part in more.values() for x in part], max(2, epochs // 2))
+        code, paragraphs = label_code(label), [p for p in paragraph_words(text) if len(p) >= 5]
+        judged = self.judge(paragraphs)
+        if code is None or main_language(judged, paragraphs) != code:
+            return []
+        return [(code, p) for p, (guess, sure) in zip(paragraphs, judged) if guess == code or sure < 0.8]
 
     def _fit(self, known: list[tuple[str, list[str]]], epochs: int) -> None:
-        """Each text is also shown in halves, and all of these without their accents."""
+        """Each text is also shown without its accents."""
         texts, codes = [], []
-        for code, part in [(code, part) for code, w in known for part in (w, w[: len(w) // 2], w[len(w) // 2 :])]:
+        for code, part in known:
             if part:
                 texts += [part, [plain_letters(w) for w in part]]
                 codes += [code, code]
@@ -186,30 +175,31 @@ class Discriminator:
         """(language, confidence) of each paragraph."""
         if not paragraphs:
             return []
-        self._learn({w for p in paragraphs for w in p})
-        at = np.array([self._known[w] for p in paragraphs for w in p])
+        self._learn(set(chain.from_iterable(paragraphs)))
+        at = np.fromiter(map(self._known.__getitem__, chain.from_iterable(paragraphs)), np.int64)
         first = np.concatenate([[0], np.cumsum([len(p) for p in paragraphs])[:-1]])
         total = np.add.reduceat(self._scores[at], first, axis=0)
-        margin = total[:, :-1] / np.sqrt(total[:, -1:]) + self.bias
-        out = []
-        for row in margin:
-            family = self.machines[0][0] if row[0] >= 0 else self.machines[0][1]
-            points = dict.fromkeys(family, 0.0)
-            wins = dict.fromkeys(family, 0)
-            against: dict[str, list[float]] = {c: [] for c in family}
-            for value, (a, b) in zip(row[1:], self.machines[1:]):
-                if a[0] not in points:
+        margin = np.clip(total[:, :-1] / np.sqrt(total[:, -1:]) + self.bias, -50, 50)
+        best, sure = np.zeros(len(paragraphs), object), np.zeros(len(paragraphs))
+        for family, mine in zip(self.machines[0], (margin[:, 0] >= 0, margin[:, 0] < 0)):
+            rows = np.flatnonzero(mine)
+            # Of each language: machines won, sum of margins, least margin against another.
+            won, points, least = (np.full((len(rows), len(family)), v) for v in (0.0, 0.0, 50.0))
+            for i, (a, b) in enumerate(self.machines[1:], 1):
+                if a[0] not in family:
                     continue
-                wins[a[0] if value >= 0 else b[0]] += 1
-                points[a[0]] += value
-                points[b[0]] -= value
-                against[a[0]].append(value)
-                against[b[0]].append(-value)
-            best = max(family, key=lambda c: (wins[c], points[c], c))
-            sure = 1 / (1 + math.exp(-2 * min(abs(row[0]), 50)))
-            sure *= 1 / (1 + math.exp(-2 * max(min(min(against[best]), 50), -50)))
-            out.append((best, sure))
-        return out
+                value = margin[rows, i]
+                for code, sign in ((a[0], 1), (b[0], -1)):
+                    k = family.index(code)
+                    won[:, k] += (value >= 0) == (sign > 0)
+                    points[:, k] += sign * value
+                    least[:, k] = np.minimum(least[:, k], sign * value)
+            # Ties go to the later code.
+            order = np.lexsort((np.broadcast_to(np.arange(len(family)), won.shape), points, won), axis=1)[:, -1] if len(rows) else np.zeros(0, int)
+            best[rows] = np.array(family, object)[order]
+            closest = least[np.arange(len(rows)), order]
+            sure[rows] = 1 / (1 + np.exp(-2 * np.abs(margin[rows, 0]))) / (1 + np.exp(-2 * closest))
+        return list(zip(best.tolist(), sure.tolist()))
 
 
 _RESULT = "doc_id bigint, label string, lang_code string, confidence double, languages array<string>, segments array<struct<segment:int,lang_code:string,confidence:double,words:int>>"
@@ -241,20 +231,36 @@ def _label(model, least_words: int):
     return run
 
 
-def document_languages(documents: DataFrame, samples: DataFrame, least_words: int = 10, max_samples: int = 5000, max_labelled: int = 2000) -> DataFrame:
+def _agreed(first):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, code, words) for i, label, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "lang", "text"))) for code, words in first.value.agreed(label, text)]
+            ids, codes, words = (list(x) for x in zip(*found)) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.string()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "code", "words"])
+
+    return run
+
+
+def document_languages(documents: DataFrame, samples: DataFrame, least_words: int = 10, max_samples: int = 5000, max_labelled: int = 2000, per_language: int = 500) -> DataFrame:
     """One row per document with a text: label, lang_code, confidence, languages, segments.
 
     ``languages`` has the main language, then others that a whole paragraph of ``least_words`` or more
     words is in. A text without prose has a null lang_code and no languages. Null texts and ids give no
-    row. Training uses at most ``max_samples``
-    sentences and ``max_labelled`` labelled documents (by hash). Other columns are ignored.
+    row. Other columns are ignored. Every document is judged; training is bounded: machines trained on at
+    most ``max_samples`` sentences (by hash) go over about ``max_labelled`` labelled documents (by hash), and
+    where they agree with the label, ``per_language`` paragraphs of each language (by hash) join the training.
     """
+    spark = documents.sparkSession
     rows = samples.select("lang", "sample_text").filter("lang is not null and sample_text is not null").distinct()
-    taken = rows.orderBy(F.xxhash64("sample_text"), "sample_text", "lang").limit(max_samples).collect()
+    taken = [(r.lang, r.sample_text) for r in rows.orderBy(F.xxhash64("sample_text"), "sample_text", "lang").limit(max_samples).collect()]
     texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "lang", "text")
-    shown = texts.filter(meant_language(F.col("lang")).isNotNull() & (F.length("text") <= 20_000))
-    shown = shown.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
-    model = documents.sparkSession.sparkContext.broadcast(Discriminator([(r.lang, r.sample_text) for r in taken], [(r.lang, r.text) for r in shown]))
+    labelled = texts.filter(meant_language(F.col("lang")).isNotNull())
+    share = min(1.0, max_labelled / max(labelled.count(), 1))
+    shown = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    agreed = shown.mapInArrow(_agreed(spark.sparkContext.broadcast(Discriminator(taken))), "doc_id bigint, code string, words array<string>")
+    turn = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("doc_id", "words"), "doc_id", "words"))
+    more = agreed.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("code", "words").orderBy("code", "turn").collect()
+    model = spark.sparkContext.broadcast(Discriminator(taken, [(r.code, r.words) for r in more], epochs=5 if more else 10))
     return texts.mapInArrow(_label(model, least_words), _RESULT)
 
 
