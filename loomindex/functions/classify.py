@@ -23,8 +23,21 @@ EXTENSIONS = {
 }
 CONTAINER_NAMES = ["dockerfile", "containerfile"]
 #: Fixed values. Names of entry files.
-ENTRY_NAMES = [f"{n}.{e}" for e in ("py", "js", "ts") for n in ("main", "app", "cli", "server")] + ["manage.py", "bootstrap.py", "startup", "start", "run", "serve"]
+ENTRY_NAMES = [
+    "main.py", "app.py", "cli.py", "server.py", "main.js", "app.js", "cli.js", "server.js", "main.ts", "app.ts", "cli.ts", "server.ts", "manage.py", "bootstrap.py",
+    "startup", "start", "run", "serve",
+]
 ENTRY_SCRIPTS = ["startup", "start", "run", "serve", "bootstrap"]
+#: Fixed values. The first line of a shell script, and signs of one in a line with their points.
+SHEBANG = r"^#!\s*(?:/usr/bin/env\s+(?:-S\s+)?(?:ba|z)?sh\b|/bin/(?:ba|z)?sh\b|/usr/bin/(?:ba|z)?sh\b)"
+SHELL_SIGNS = [
+    (r"^(?:set -[A-Za-z]+|set -o [A-Za-z-]+)$", 1),
+    (r"^(?:function\s+)?[A-Za-z_][A-Za-z0-9_]*\s*(?:\(\))?\s*\{", 2),
+    (r"^(?:if|then|elif|else|fi|for|do|done|case|esac|while|until|select|in)\b", 1),
+    (r"^(?:export\s+)?[A-Za-z_][A-Za-z0-9_]*=", 1),
+    (r"^(?:exec|source|\.)\s+", 1),
+    (r"\$[({]", 1),
+]
 RECOVERED_MARK = "Recovered from oversized "
 OVERSIZE_CHARS = 32_000
 
@@ -94,24 +107,21 @@ def detected_language(path: Column) -> Column:
 
 
 def looks_like_shell(text: Column) -> Column:
-    """Whether a text without extension is a shell script: a shebang, or enough shell lines among the first twelve."""
-    lines = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 12)
+    """Whether a text without extension is a shell script: a shebang, or enough signs in its first twelve lines that are not blank.
+
+    Every sign of a line counts; comment lines have none.
+    """
+    blank = r"^\s+|\s+$"
+    body = F.coalesce(text, F.lit(""))
+    lines = F.slice(F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.regexp_replace(x, blank, "")), lambda x: x != ""), 1, 12)
 
     def weight(x: Column) -> Column:
-        return (
-            F.when(x.startswith("#"), F.lit(0))
-            .when(x.rlike(r"^(set\s+-[A-Za-z]|export\s+[A-Za-z_]|source\s|\.\s)"), F.lit(1))
-            .when(x.rlike(r"^(if\s+\[|if\s+\[\[|for\s+\w+\s+in\s|while\s+|case\s+.+\s+in$|function\s+\w+)"), F.lit(2))
-            .when(x.rlike(r"^(fi|done|esac|then|else|elif\s.*)$"), F.lit(1))
-            .when(x.rlike(r"^[A-Za-z_]\w*=[^=]"), F.lit(1))
-            .when(x.rlike(r"(\$\{?\w+|\$\()"), F.lit(1))
-            .when(x.rlike(r"^(echo|cd|mkdir|rm|cp|mv|exec|exit|test|printf|trap)\b"), F.lit(1))
-            .otherwise(F.lit(0))
-        )
+        signs = [F.when(x.rlike(pattern), points).otherwise(0) for pattern, points in SHELL_SIGNS]
+        return F.when(x.startswith("#"), 0).otherwise(reduce(lambda p, q: p + q, signs))
 
     score = F.aggregate(lines, F.lit(0), lambda s, x: s + weight(x))
-    body = F.coalesce(text, F.lit(""))
-    return ~body.contains("\u0000") & (body.rlike(r"^#!.*\b(ba|z|k|da)?sh\b") | (score >= 2))
+    first = F.regexp_replace(F.split(body, r"\r?\n")[0], blank, "")
+    return ~body.contains("\u0000") & (first.rlike(SHEBANG) | (score >= 2))
 
 
 def extraction_of(fallback: Column, doc: Column) -> Column:

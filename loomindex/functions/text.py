@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values. Words that carry no concept.
-STOPWORDS = "a an and are as at by do does for how in is it of on or the this to what when where which why with work works".split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "by", "do", "does", "for", "how", "in", "is", "it", "of", "on", "or", "the", "this", "to", "what", "when", "where", "which",
+    "why", "with", "work", "works",
+]
 
 SNIPPET_CHARS = 200
 SUMMARY_LINES, SUMMARY_CHARS = 40, 4000
@@ -18,6 +21,11 @@ def lookup_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
+def stored_key(text: Column) -> Column:
+    """The looser key of stored names: lower case without slashes, hyphens, blanks, dots and colons; other signs stay."""
+    return F.translate(F.lower(text), "\\/- .:", "")
+
+
 def snippet(text: Column) -> Column:
     """White space collapsed; long texts are cut and end in an ellipsis."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

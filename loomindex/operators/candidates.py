@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomindex.functions import classify
-from loomindex.functions.text import cosine, lookup_key
-from loomindex.operators.postings import bm25
+from loomindex.functions.text import cosine, lookup_key, stored_key
+from loomindex.operators.postings import TextIndex, bm25
 from loomindex.plans.spec import QuerySpec
 from loomindex.plans.spec import lookup_key as key_of
+from loomindex.session import materialize
 
 LEAST_SIMILARITY = 0.6
 CHANNELS = ["raw_score double", "similarity double", "lexical boolean", "concept boolean", "semantic boolean", "lexical_rank int", "concept_rank int", "semantic_rank int"]
@@ -57,11 +58,11 @@ def _ranked(top: DataFrame, order: list[Column]) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def lexical(symbols: DataFrame, spec: QuerySpec) -> DataFrame:
+def lexical(symbols: DataFrame, spec: QuerySpec, index: TextIndex | None = None) -> DataFrame:
     """BM25 top-k."""
     n = max(10 * spec.limit, 100)
     order = [F.col("raw_score"), F.col("id")]
-    top = bm25(symbols, spec.phrases, spec.kinds).orderBy(*order).limit(n)
+    top = bm25(symbols, spec.phrases, spec.kinds, index).orderBy(*order).limit(n)
     return _channel(_ranked(top, order), raw_score=F.col("raw_score"), lexical=F.lit(True), lexical_rank=F.col("rank"))
 
 
@@ -92,9 +93,9 @@ def exact_matches(symbols: DataFrame, spec: QuerySpec) -> DataFrame:
     lowered = [v.lower() for v in spec.variants]
     keys = [k for k in dict.fromkeys(key_of(v) for v in spec.variants) if k]
     plain = [F.lower(F.trim(F.col(c))).isin(lowered) for c in ("name", "signature", "path")]
-    squeezed = [lookup_key(F.col(c)).isin(keys) if keys else F.lit(False) for c in ("name", "signature", "path")]
+    squeezed = [stored_key(F.coalesce(F.col(c), F.lit(""))).isin(keys) if keys else F.lit(False) for c in ("name", "signature", "path")]
     # As the first variant only: longer signatures may end in a qualified name.
-    suffix = lookup_key(F.col("signature")).endswith(keys[0]) if keys else F.lit(False)
+    suffix = stored_key(F.col("signature")).endswith(keys[0]) if keys else F.lit(False)
     levels = [*plain, *squeezed, suffix]
     return (
         of_kinds(symbols, spec.kinds)
@@ -202,9 +203,9 @@ def contribution() -> Column:
     return F.when(~F.col("semantic"), "lexical_only").when(F.col("lexical") | F.col("concept"), "semantic_assisted").otherwise("semantic_only")
 
 
-def candidates(symbols: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None) -> DataFrame:
+def candidates(symbols: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """All channels of a query, merged. The literal channel stands in where the index finds nothing."""
-    by_index = lexical(symbols, spec)
+    by_index = materialize(lexical(symbols, spec, index), "lexical")
     # The literal channel is only needed if the index has no hit; one row tells.
     text = by_index if spec.phrases and not by_index.limit(1).isEmpty() else literal(symbols, spec)
     parts = [text, exact(symbols, spec)]

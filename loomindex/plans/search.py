@@ -12,15 +12,16 @@ from loomindex.functions import classify
 from loomindex.functions.text import body_summary, snippet
 from loomindex.operators import graph, results, scoring
 from loomindex.operators.candidates import candidates, channels_of, contribution, exact_matches, fusion_score, kind_order
+from loomindex.operators.postings import TextIndex
 from loomindex.plans.spec import QuerySpec
 from loomindex.session import materialize
 
 PAYLOAD = ["id", "path", "language", "kind", "name", "signature", "doc", "fallback", "start_line", "start_column", "end_line", "end_column"]
 
 
-def pool(symbols: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None) -> DataFrame:
+def pool(symbols: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """The best candidates of a query by text, place and kind, before the graph is looked at."""
-    found = materialize(candidates(symbols, spec, embeddings), "candidates")
+    found = materialize(candidates(symbols, spec, embeddings, index), "candidates")
     # Bodies are read for the few candidates only.
     rows = symbols.join(F.broadcast(found), "id").filter(scoring.fits_intent(spec)).withColumn("match", scoring.match(spec))
     base = fusion_score() if spec.hybrid else F.col("raw_score")
@@ -36,12 +37,12 @@ def pool(symbols: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = Non
     return materialize(scored.orderBy("adjusted", "raw_score", "id").limit(max(4 * spec.limit, 20)), "pool")
 
 
-def search(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None, width: int | None = None) -> DataFrame:
+def search(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None, width: int | None = None, index: TextIndex | None = None) -> DataFrame:
     """Ranked results of a query with graph support, relative scores and positions.
 
     ``width``: how many results before they are spread over files; by default as many as asked for.
     """
-    best = pool(symbols, spec, embeddings)
+    best = pool(symbols, spec, embeddings, index)
     if not spec.docs_only:
         roots = graph.top_roots(files, symbols, max(4 * spec.limit, 20)) if spec.about_roots else None
         best = best.join(graph.graph_support(best, relations, roots), "id", "left")
@@ -54,10 +55,10 @@ def search(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: Que
     return results.relative_scores(kept.withColumn("position", F.row_number().over(Window.orderBy("position"))))
 
 
-def query(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None) -> DataFrame:
+def query(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """Search, then spread over files: the answer to a text query, in order of ``turn``."""
     wide = max(3 * spec.limit, spec.limit + 4)
-    return results.diversify(search(symbols, relations, files, replace(spec, limit=wide), embeddings), spec.limit)
+    return results.diversify(search(symbols, relations, files, replace(spec, limit=wide), embeddings, index=index), spec.limit)
 
 
 def best_by_name(symbols: DataFrame, name: str, top: int = 1) -> DataFrame:
@@ -70,9 +71,9 @@ def best_by_name(symbols: DataFrame, name: str, top: int = 1) -> DataFrame:
     return rows.select(*PAYLOAD, "body", score.alias("adjusted"), F.col("match.reason").alias("reason"), F.col("match.confidence").alias("confidence")).orderBy("adjusted", "start_line", "id").limit(top)
 
 
-def lookup(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None) -> DataFrame:
+def lookup(symbols: DataFrame, relations: DataFrame, files: DataFrame, spec: QuerySpec, embeddings: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """The best match of a query (role ``match``), symbols related to it, and the alternatives."""
-    found = materialize(search(symbols, relations, files, spec, embeddings).select("id", "position"), "found")
+    found = materialize(search(symbols, relations, files, spec, embeddings, index=index).select("id", "position"), "found")
     best = symbols.join(F.broadcast(found.filter("position = 1")), "id").select("id", "path", "start_line", "start_column", "end_line", "end_column")
     related = graph.traversal(symbols, relations, best, 5).select(F.col("neighbour_id").alias("id"), F.col("traversal").alias("role"), "place")
     ranked = found.select("id", F.when(F.col("position") == 1, "match").otherwise("alternative").alias("role"), F.col("position").alias("place"))

@@ -9,11 +9,11 @@ from functools import cached_property
 from loomindex.functions.text import STOPWORDS
 
 #: Fixed values. Words that show what a query is about.
-DOC_WORDS = "architecture backlog design decision doc docs guide notes plan readme roadmap workflow".split()
-CONTAINER_WORDS = "dockerfile docker from run copy add cmd entrypoint workdir expose volume user python pip requirements base image mkdir".split()
-ROOT_WORDS = "main entrypoint startup start bootstrap boot run serve server cli script launch worker".split()
-PARAMETER_WORDS = "accept accepts take takes parameter parameters argument arguments".split()
-RETURN_WORDS = "return returns yield yields output outputs".split()
+DOC_WORDS = ["architecture", "backlog", "design", "decision", "doc", "docs", "guide", "notes", "plan", "readme", "roadmap", "workflow"]
+CONTAINER_WORDS = ["dockerfile", "docker", "from", "run", "copy", "add", "cmd", "entrypoint", "workdir", "expose", "volume", "user", "python", "pip", "requirements", "base", "image", "mkdir"]
+ROOT_WORDS = ["main", "entrypoint", "startup", "start", "bootstrap", "boot", "run", "serve", "server", "cli", "script", "launch", "worker"]
+PARAMETER_WORDS = ["accept", "accepts", "take", "takes", "parameter", "parameters", "argument", "arguments"]
+RETURN_WORDS = ["return", "returns", "yield", "yields", "output", "outputs"]
 
 
 def lookup_key(text: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomindex.operators import changes as ch
 from loomindex.queries import sqltext as q
+from loomindex.plans.opened import open_index
 from loomindex.sources import tables
 
 FLOW, ASIDE = ["view", "click", "purchase"], ["signup", "error"]
@@ -18,7 +19,7 @@ def _states(spark, folder):
     was = rows.groupBy("path").agg(F.min(F.struct("mtime_ms", "size")).alias("f")).select("path", "f.size", "f.mtime_ms")
     seen = tables.table(spark, folder, "file_changes").filter("path is not null")
     newest = seen.groupBy("path").agg(F.max(F.struct("seen_at", "change_id", "change_kind")).alias("c")).select("path", "c.change_kind")
-    now = tables.files(spark, folder).join(newest.filter("change_kind = 'deleted'"), "path", "left_anti")
+    now = open_index(spark, folder).files.join(newest.filter("change_kind = 'deleted'"), "path", "left_anti")
     return now, was.join(newest.filter("change_kind = 'new'"), "path", "left_anti")
 
 
@@ -37,7 +38,7 @@ def freshness(spark, folder):
 
 def index_merge(spark, folder):
     """Stored symbols of untouched files with those of changed files read again (here: from the same table)."""
-    s = tables.symbols(spark, folder)
+    s = open_index(spark, folder).symbols
     merged = ch.merge_rows(s.withColumn("version", F.lit(1)), s.withColumn("version", F.lit(2)), file_diff(spark, folder))
     return merged.groupBy("language", "version").agg(F.count("*").alias("symbols"))
 
@@ -65,7 +66,7 @@ def embedding_totals(spark, folder):
 def embedding_counts(spark, folder):
     """Vectors per file."""
     e = tables.embeddings(spark, folder).select("symbol_id")
-    s = tables.symbols(spark, folder).select(F.col("id").alias("symbol_id"), "path")
+    s = open_index(spark, folder).symbols.select(F.col("id").alias("symbol_id"), "path")
     return e.join(s, "symbol_id").groupBy("path").agg(F.count("*").alias("vectors"))
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomindex.plans.opened import open_index
 from loomindex.queries import sqltext as q
 from loomindex.sources import extract, relations, tables
 
 
 def _heads(spark, folder):
     h = tables.table(spark, folder, "file_heads").filter("path is not null").groupBy("path").agg(F.max("head").alias("text"))
-    return tables.files(spark, folder).select("path", "language").join(h, "path")
+    return open_index(spark, folder).files.select("path", "language").join(h, "path")
 
 
 def _extracted(spark, folder):
@@ -55,18 +56,18 @@ def fallback_rows(spark, folder):
 
 def symbol_imports(spark, folder):
     """Import relations of all symbol bodies, resolved against the indexed files."""
-    s = tables.symbols(spark, folder).filter("kind = 'import'").select("path", "language", F.col("body").alias("text"))
-    return relations.import_relations(s, tables.files(spark, folder))
+    s = open_index(spark, folder).symbols.filter("kind = 'import'").select("path", "language", F.col("body").alias("text"))
+    return relations.import_relations(s, open_index(spark, folder).files)
 
 
 def symbol_constants(spark, folder):
-    s = tables.symbols(spark, folder).filter("language = 'ruby'").select("path", "language", F.col("body").alias("text"))
-    return relations.constant_relations(s, tables.files(spark, folder))
+    s = open_index(spark, folder).symbols.filter("language = 'ruby'").select("path", "language", F.col("body").alias("text"))
+    return relations.constant_relations(s, open_index(spark, folder).files)
 
 
 def symbol_uses(spark, folder):
     """Calls in all bodies whose root is a symbol of the same file or an import."""
-    s = tables.symbols(spark, folder)
+    s = open_index(spark, folder).symbols
     bodies = s.filter("kind not in ('import', 'file')").select("id", "path", "language", F.col("body").alias("text"))
     return relations.use_relations(bodies, symbol_imports(spark, folder), s)
 
@@ -81,7 +82,10 @@ SQL = {
     "document_headings": "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)"
     " SELECT doc_id, regexp_extract(line, '^#{1,6}[\\s\\x{00A0}]+(.*\\S)\\s*$', 1) AS name, n AS start_line FROM l WHERE regexp_matches(line, '^#{1,6}[\\s\\x{00A0}]+(.*\\S)\\s*$')",
     "yaml_keys": f"{_HEADS} SELECT path, regexp_extract(line, '^([A-Za-z0-9_.-]+)\\s*:', 1) AS name, n AS start_line FROM l WHERE language = 'yaml' AND regexp_matches(line, '^([A-Za-z0-9_.-]+)\\s*:(\\s|$)') AND NOT contains(regexp_extract(line, '^([A-Za-z0-9_.-]+)\\s*:', 1), '.')",
-    "css_selectors": f"{_HEADS}, m AS (SELECT path, unnest(string_split(regexp_extract(line, '^\\s*([^{{}}@/\\s][^{{}}]*?)\\s*\\{{', 1), ',')) AS x FROM l WHERE language = 'css' AND regexp_matches(line, '^\\s*([^{{}}@/\\s][^{{}}]*?)\\s*\\{{')) SELECT path, count(*) AS selectors FROM m WHERE trim(x) <> '' GROUP BY 1",
+    # Every block's head after the last semicolon, comments removed; at-rules are no selectors; lists are split.
+    "css_selectors": f"{_HEADS}, b AS (SELECT path, unnest(regexp_extract_all(regexp_replace(text, '/\\*.*?(\\*/|\\z)', ' ', 'gs'), '([^{{}}]*)\\{{', 1)) AS head FROM t WHERE language = 'css'),"
+    " m AS (SELECT path, trim(regexp_replace(head, '^.*;', '', 's'), ' ' || chr(9) || chr(10) || chr(13)) AS head FROM b), x AS (SELECT path, unnest(string_split(head, ',')) AS x FROM m WHERE NOT starts_with(head, '@'))"
+    " SELECT path, count(*) AS selectors FROM x WHERE trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1",
     "page_titles": f"{_HEADS} SELECT path, trim(regexp_extract(text, '<title>([^<]*)</title>', 1)) AS name FROM t WHERE language = 'html' AND trim(regexp_extract(text, '<title>([^<]*)</title>', 1)) <> ''",
     "page_elements": f"{_HEADS}, e AS (SELECT path, len(regexp_extract_all(text, '<[a-zA-Z]+[^<>]*\\sid=')) AS elements FROM t WHERE language = 'html') SELECT * FROM e WHERE elements > 0",
     "fallback_rows": f"{_HEADS} SELECT path, md5(substr(text, 1, 500)) AS body_md5 FROM t WHERE language = 'text'",

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from loomindex.functions import classify
 from loomindex.operators import graph
 from loomindex.queries import sqltext as q
+from loomindex.plans.opened import open_index
 from loomindex.sources import tables
 
 
 def _s(spark, folder):
-    return tables.symbols(spark, folder)
+    return open_index(spark, folder).symbols
 
 
 def _r(spark, folder):
-    return tables.relations(spark, folder)
+    return open_index(spark, folder).relations
 
 
 def _modules(spark, folder):
@@ -32,7 +33,7 @@ def neighbourhood_edges(spark, folder):
 
 
 def graph_support(spark, folder):
-    found = graph.graph_support(_modules(spark, folder), _r(spark, folder), graph.likely_roots(tables.files(spark, folder), _s(spark, folder)))
+    found = graph.graph_support(_modules(spark, folder), _r(spark, folder), graph.likely_roots(open_index(spark, folder).files, _s(spark, folder)))
     return found.select("id", F.round("graph_score", 6).alias("graph_score"), F.array_join("signals", ",").alias("signals"))
 
 
@@ -88,12 +89,12 @@ def root_reasons(spark, folder):
 
 
 def likely_roots(spark, folder):
-    return graph.likely_roots(tables.files(spark, folder), _s(spark, folder)).select("path", "language", F.array_join("reasons", "; ").alias("reasons"))
+    return graph.likely_roots(open_index(spark, folder).files, _s(spark, folder)).select("path", "language", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def top_roots(spark, folder):
     """A report: the twelve files with most reasons."""
-    return graph.top_roots(tables.files(spark, folder), _s(spark, folder)).select("path", "language", F.array_join("reasons", "; ").alias("reasons"))
+    return graph.top_roots(open_index(spark, folder).files, _s(spark, folder)).select("path", "language", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def possible_orphans(spark, folder):
@@ -103,8 +104,9 @@ def possible_orphans(spark, folder):
 _BASE = f"WITH {q.SYMBOLS}, {q.RELATIONS}, {q.FILES}"
 _NAMES = "(SELECT path, list(DISTINCT lower(name)) AS names FROM sym WHERE kind NOT IN ('import', 'file') AND start_line <= 160 AND lower(name) IN ('main', 'cli', 'run', 'startup') GROUP BY path)"
 _ROOTS = f"roots AS (SELECT path, language, {q.root_reasons('path', 'language', 'coalesce(names, [])')} AS reasons FROM fil LEFT JOIN {_NAMES} USING (path))"
+_MODULES = "c AS (SELECT id, path, kind, language FROM sym WHERE kind IN ('class', 'function'))"
 _HOOD = (
-    "c AS (SELECT id, path, kind, language FROM sym WHERE kind IN ('class', 'function')), code AS (SELECT * FROM c WHERE language <> 'markdown'),"
+    "code AS (SELECT * FROM c WHERE language <> 'markdown'),"
     " hood AS (SELECT DISTINCT relation_kind, source_path, target_path FROM rel WHERE relation_kind IN ('imports', 'uses') AND source_path IN (SELECT path FROM c) AND target_path IN (SELECT path FROM c))"
 )
 _COUNTS = ", ".join(f"{d}_{k} AS (SELECT {e}_path AS path, count(*) AS n FROM hood WHERE relation_kind = '{k}' GROUP BY 1)" for k in ("imports", "uses") for d, e in (("outgoing", "source"), ("incoming", "target")))
@@ -122,6 +124,12 @@ SELECT id, round(CASE WHEN kind = 'import' THEN g * 0.35 ELSE g END, 6) AS graph
   array_to_string(list_filter([CASE WHEN a > 0 THEN 'same_file_cluster' END, CASE WHEN b > 0 THEN 'imports_candidate' END, CASE WHEN c > 0 THEN 'imported_by_candidate' END,
     CASE WHEN d > 0 THEN 'uses_candidate' END, CASE WHEN e > 0 THEN 'used_by_candidate' END, CASE WHEN f > 0 THEN 'root_candidate' END], lambda x: x IS NOT NULL), ',') AS signals
 FROM score WHERE a + b + c + d + e + f > 0"""
+#: Support of the rows of ``pool`` for a query that does not ask for entry points: CTE ``support`` (id, graph_score, signals).
+POOL_SUPPORT = (
+    f"c AS (SELECT id, path, kind, language FROM pool), {_HOOD}, {_COUNTS}"
+    + _SUPPORT.replace(f"{_ROOTS}, ", "").replace("(SELECT path FROM roots WHERE len(reasons) > 0) r", "(SELECT path FROM fil WHERE false) r").replace("\nSELECT id, round(", ", support AS (SELECT id, round(")
+    + ")"
+)
 _REL_OF = """
 own AS (
   SELECT s.id, relation_kind, target_path, target_label FROM rel JOIN sym s ON s.id = rel.source_symbol_id
@@ -146,7 +154,7 @@ _CONTAINERS = """cont AS (
 )"""
 
 
-def _walk(limit: int, inbound: bool) -> str:
+def walk(limit: int, inbound: bool) -> str:
     back = (
         f" UNION ALL SELECT s.id, CASE i.relation_kind WHEN 'imports' THEN 'imported_by' ELSE 'used_by' END, i.source_path, i.target_label, n.neighbour_id, n.place, 1 FROM inb i JOIN sym s USING (path)"
         " JOIN near_in n ON n.source_path = i.source_path AND n.target_label IS NOT DISTINCT FROM i.target_label"
@@ -195,16 +203,16 @@ QUERIES = {
 }
 SQL = {
     "contained_edges": f"{_BASE} SELECT path AS target_path, count(*) AS symbols FROM sym WHERE kind <> 'file' GROUP BY 1",
-    "neighbourhood_edges": f"{_BASE}, {_HOOD} SELECT * FROM hood",
-    "graph_support": f"{_BASE}, {_HOOD}, {_COUNTS} {_SUPPORT}",
+    "neighbourhood_edges": f"{_BASE}, {_MODULES}, {_HOOD} SELECT * FROM hood",
+    "graph_support": f"{_BASE}, {_MODULES}, {_HOOD}, {_COUNTS} {_SUPPORT}",
     "symbol_relations": f"{_BASE}, {_REL_OF} SELECT * FROM own",
     "inbound_relations": f"{_BASE}, {_INBOUND} SELECT * FROM inb",
     "target_candidates": f"{_BASE}, e AS (SELECT * FROM rel WHERE relation_kind <> 'contained_in'), {_near('n', 'e', 'target_path', ['name'])} SELECT * FROM n WHERE place <= 5",
     "source_candidates": f"{_BASE}, e AS (SELECT * FROM rel WHERE relation_kind <> 'contained_in'), {_near('n', 'e', 'source_path', ['signature', 'body'])} SELECT * FROM n WHERE place <= 5",
     "containers": f"{_BASE}, {_CONTAINERS} SELECT * FROM cont WHERE place <= 3",
-    "related_symbols": f"{_walk(5, False)} SELECT * FROM placed",
-    "traversal": f"{_walk(5, True)} SELECT * FROM placed",
-    "traversal_groups": f"{_walk(20, True)} SELECT id, "
+    "related_symbols": f"{walk(5, False)} SELECT * FROM placed",
+    "traversal": f"{walk(5, True)} SELECT * FROM placed",
+    "traversal_groups": f"{walk(20, True)} SELECT id, "
     + ", ".join(f"coalesce(string_agg(neighbour_id::VARCHAR, ',' ORDER BY place) FILTER (traversal = '{t}'), '') AS {t}" for t in ("imports", "uses", "contained_in", "imported_by", "used_by"))
     + " FROM placed GROUP BY id",
     "graph_diagnostics": f"{_DIAGNOSED} SELECT id, inbound, outbound, tests_only, same_file_only, root_like, disconnected, possible_orphan, array_to_string(root, '; ') AS root_reasons, {_REASONS} AS orphan_reasons, {_NOTES} AS notes FROM f",

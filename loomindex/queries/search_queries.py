@@ -12,12 +12,15 @@ from loomindex.operators import postings as p
 from loomindex.operators import results, scoring
 from loomindex.plans import search as plans
 from loomindex.plans.spec import QuerySpec
+from loomindex.queries import graph_queries as gq
 from loomindex.queries import search_sql as sq
 from loomindex.queries import sqltext as q
+from loomindex.plans.opened import open_index
 from loomindex.sources import tables
 
 CONCEPT = QuerySpec("resolve the menu report")
 BROAD = QuerySpec("parser window table", limit=10)
+PLACE = QuerySpec("cobalt bundle")
 SYMBOL = QuerySpec("mergeKey")
 SNAKE = QuerySpec("queue_result")
 QUALIFIED = QuerySpec("Core::Index::run")
@@ -27,7 +30,11 @@ MODEL, PROVIDER = "plume-small", "local-runner"
 
 
 def _s(spark, folder):
-    return tables.symbols(spark, folder)
+    return open_index(spark, folder).symbols
+
+
+def _i(spark, folder):
+    return open_index(spark, folder).text
 
 
 def _with_vector(spark, folder, spec):
@@ -43,15 +50,15 @@ def postings_table(spark, folder):
 
 
 def bm25_scores(spark, folder):
-    return p.bm25(_s(spark, folder), CONCEPT.phrases).select("id", F.round("raw_score", 6).alias("raw_score"))
+    return p.bm25(_s(spark, folder), CONCEPT.phrases, index=_i(spark, folder)).select("id", F.round("raw_score", 6).alias("raw_score"))
 
 
 def bm25_phrase(spark, folder):
-    return p.bm25(_s(spark, folder), SNAKE.phrases).select("id", F.round("raw_score", 6).alias("raw_score"))
+    return p.bm25(_s(spark, folder), SNAKE.phrases, index=_i(spark, folder)).select("id", F.round("raw_score", 6).alias("raw_score"))
 
 
 def bm25_topk(spark, folder):
-    top = c.lexical(_s(spark, folder), CONCEPT)
+    top = c.lexical(_s(spark, folder), CONCEPT, _i(spark, folder))
     return top.select("id", F.round("raw_score", 6).alias("raw_score"), F.col("lexical_rank").cast("long").alias("lexical_rank"))
 
 
@@ -65,7 +72,7 @@ def exact_lookup(spark, folder):
 
 
 def concept_path(spark, folder):
-    return c.concept_matches(_s(spark, folder), BROAD).select("id", F.col("level").cast("long").alias("level"))
+    return c.concept_matches(_s(spark, folder), PLACE).select("id", F.col("level").cast("long").alias("level"))
 
 
 def semantic_matches(spark, folder):
@@ -81,7 +88,7 @@ def semantic_topk(spark, folder):
 
 def _merged(spark, folder, spec):
     spec = _with_vector(spark, folder, spec)
-    return c.candidates(_s(spark, folder), spec, tables.embeddings(spark, folder))
+    return c.candidates(_s(spark, folder), spec, tables.embeddings(spark, folder), _i(spark, folder))
 
 
 def merged_channels(spark, folder):
@@ -113,7 +120,7 @@ def _places(spec):
 def _pool(spec, hybrid=False):
     def run(spark, folder):
         known = _with_vector(spark, folder, spec) if hybrid else spec
-        rows = plans.pool(_s(spark, folder), known, tables.embeddings(spark, folder) if hybrid else None)
+        rows = plans.pool(_s(spark, folder), known, tables.embeddings(spark, folder) if hybrid else None, _i(spark, folder))
         return rows.select("id", "reason", "confidence", F.round("adjusted", 6).alias("adjusted"))
 
     return run
@@ -127,8 +134,8 @@ def best_by_name(spark, folder):
 
 def _search(spec):
     def run(spark, folder):
-        rows = plans.query(_s(spark, folder), tables.relations(spark, folder), tables.files(spark, folder), spec)
-        return rows.select("turn", "id", "path", "kind", "name", "confidence", "reason", "retrieval_trust", F.round("distance", 6).alias("distance"), "score", "margin", F.array_join("signals", ",").alias("signals"))
+        rows = plans.query(_s(spark, folder), open_index(spark, folder).relations, open_index(spark, folder).files, spec, index=_i(spark, folder))
+        return rows.select(F.col("turn").cast("long").alias("turn"), "id", "path", "kind", "name", "confidence", "reason", "retrieval_trust", F.round("distance", 6).alias("distance"), "score", "margin", F.array_join("signals", ",").alias("signals"))
 
     return run
 
@@ -170,7 +177,7 @@ def strong_matches(spark, folder):
 
 
 def result_quality(spark, folder):
-    rows = plans.search(_s(spark, folder), tables.relations(spark, folder), tables.files(spark, folder), BROAD)
+    rows = plans.search(_s(spark, folder), open_index(spark, folder).relations, open_index(spark, folder).files, BROAD, index=_i(spark, folder))
     return results.quality(rows)
 
 
@@ -187,7 +194,7 @@ def collapsed_documents(spark, folder):
 
 
 def lookup(spark, folder):
-    return plans.lookup(_s(spark, folder), tables.relations(spark, folder), tables.files(spark, folder), BROAD)
+    return plans.lookup(_s(spark, folder), open_index(spark, folder).relations, open_index(spark, folder).files, BROAD, index=_i(spark, folder))
 
 
 def show_largest(spark, folder):
@@ -236,7 +243,7 @@ SQL = {
     "bm25_topk": _rank_sql(sq.lexical(CONCEPT), "lex", "id, round(raw_score, 6) AS raw_score, lexical_rank"),
     "literal_search": f"{_B}, l AS ({sq.literal_matches(SYMBOL)}) SELECT id, raw_score, level, kind_order FROM l",
     "exact_lookup": f"{_B}, e AS ({sq.exact_matches(SNAKE)}) SELECT id, level FROM e",
-    "concept_path": f"{_B}, e AS ({sq.concept_matches(BROAD)}) SELECT id, level FROM e",
+    "concept_path": f"{_B}, e AS ({sq.concept_matches(PLACE)}) SELECT id, level FROM e",
     "semantic_matches": f"{_B}, {sq.similar(MODEL, PROVIDER)} SELECT id, round(similarity, 6) AS similarity FROM sim",
     "semantic_topk": _rank_sql(sq.semantic(replace(CONCEPT, model=MODEL, provider=PROVIDER)), "sem", "id, round(similarity, 6) AS similarity, semantic_rank"),
     "merged_channels": f"{_MERGED} SELECT id, round(raw_score, 6) AS raw_score, round(similarity, 6) AS similarity, lexical, concept, semantic, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(concept_rank, 0) AS concept_rank, coalesce(semantic_rank, 0) AS semantic_rank FROM mer",
@@ -261,3 +268,24 @@ SQL |= {
     name: f"{_B}, {sq.pool(spec)} SELECT id, reason, confidence, round(adjusted, 6) AS adjusted FROM pool"
     for name, spec in (("pool_symbol", SYMBOL), ("pool_concept", BROAD), ("pool_code", CODE), ("pool_hybrid", _HYBRID))
 }
+_FOUND = f"WITH {q.SYMBOLS}, {q.RELATIONS}, {q.FILES}"
+for _name, _spec in (("search_symbol", SYMBOL), ("search_concept", BROAD), ("search_code", CODE)):
+    _wide = replace(_spec, limit=max(3 * _spec.limit, _spec.limit + 4))
+    SQL[_name] = (
+        f"{_FOUND}, {sq.search(_wide, gq.POOL_SUPPORT)}, {sq.turns(_spec.limit)} SELECT turn, id, path, kind, name, confidence, reason, retrieval_trust, round(distance, 6) AS distance, score, margin, signals"
+        f" FROM turned WHERE turn <= {_spec.limit}"
+    )
+_BEST = sq.search(BROAD, gq.POOL_SUPPORT)
+_STRONG = "(confidence = 'exact' OR (confidence = 'strong' AND retrieval_trust <> 'low'))"
+SQL |= {
+    "lookup": f"{gq.walk(5, True)}, {_BEST} SELECT id, CASE WHEN position = 1 THEN 'match' ELSE 'alternative' END AS role, position AS place FROM found"
+    " UNION ALL SELECT neighbour_id, traversal, place FROM placed WHERE id = (SELECT id FROM found WHERE position = 1)",
+    # No vector in this query, so no result is confirmed by similarity.
+    "result_quality": f"{_FOUND}, {_BEST}, a AS (SELECT count(*) AS results, count_if({_STRONG})::BIGINT AS strong_matches, bool_or({_STRONG} AND position = 1) AS first_strong,"
+    " bool_or(position = 1 AND ((confidence = 'related' AND retrieval_trust <> 'low') OR confidence = 'strong')) AS usable FROM found),"
+    " v AS (SELECT *, CASE WHEN results = 0 THEN 0 WHEN first_strong THEN 1 WHEN strong_matches > 0 THEN 2 WHEN usable THEN 3 ELSE 4 END AS v FROM a)"
+    " SELECT CASE v WHEN 0 THEN 'none' WHEN 1 THEN 'strong' WHEN 4 THEN 'weak' ELSE 'moderate' END AS level, CASE v WHEN 0 THEN 'no_results' WHEN 1 THEN 'top_result_strong' WHEN 2 THEN 'strong_match_present' WHEN 3 THEN 'related_but_actionable'"
+    " ELSE 'only_weak_matches' END AS reason, v IN (0, 3, 4) AS no_strong_match, results, strong_matches FROM v",
+    "show_largest": f"{_B}, c AS (SELECT id, body, len(string_split(body, chr(10))) > 40 OR length(body) > 4000 AS long, array_to_string(list_slice(string_split(body, chr(10)), 1, 40), chr(10)) AS head FROM sym WHERE kind = 'class')"
+    " SELECT id, CASE WHEN long THEN 'summary' WHEN body IS NOT NULL THEN 'full' END AS mode, md5(CASE WHEN NOT long THEN body WHEN length(head) > 4000 THEN substr(head, 1, 3997) || '...' ELSE head END) AS text_md5 FROM c",
+}

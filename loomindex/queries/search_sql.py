@@ -79,8 +79,8 @@ def evidence(spec: QuerySpec) -> str:
 def exact_matches(spec: QuerySpec) -> str:
     keys = [k for k in dict.fromkeys(key_of(v) for v in spec.variants) if k]
     lowered = q.quoted(v.lower() for v in spec.variants)
-    levels = [f"lower(trim({c})) IN {lowered}" for c in ("name", "signature", "path")] + [f"{q.key(c)} IN {q.quoted(keys)}" for c in ("name", "signature", "path")]
-    levels.append(f"ends_with({q.key('signature')}, {s(keys[0])})")
+    levels = [f"lower(trim({c})) IN {lowered}" for c in ("name", "signature", "path")] + [f"{q.stored_key(c)} IN {q.quoted(keys)}" for c in ("name", "signature", "path")]
+    levels.append(f"ends_with({q.stored_key('signature')}, {s(keys[0])})")
     return f"SELECT * FROM (SELECT *, {q.first_true(levels)} AS level FROM sym WHERE {_filter(spec)}) WHERE level < {len(levels)}"
 
 
@@ -247,6 +247,28 @@ def path_score(spec: QuerySpec) -> str:
   WHEN {q.is_test('path')} THEN {1.8 if code else 0.75} {docker} ELSE 0 END)::DOUBLE"""
 
 
+def search(spec: QuerySpec, support: str) -> str:
+    """CTEs up to ``found``: ranked results of a query that does not ask for entry points, with relative scores."""
+    collapse = "true"
+    if spec.hides_operational_docs:
+        collapse = "k IS NULL OR nth = 1 OR top NOT IN ('related', 'fallback')"
+    key = f"CASE WHEN {q.is_operational('path')} THEN {q.key('name')} || '|' || substr({q.key(q.snippet('body'))}, 1, 120) END"
+    trust = "CASE WHEN x = 'fallback' OR confidence = 'fallback' THEN 'low' WHEN confidence = 'exact' THEN 'high' WHEN confidence = 'strong' THEN CASE WHEN x = 'parsed' THEN 'high' ELSE 'medium' END ELSE CASE WHEN x = 'parsed' THEN 'medium' ELSE 'low' END END"
+    return f"""{pool(spec)}, {support}, ranked AS (SELECT p.*, s.body, {q.extraction('p.fallback', 'p.doc')} AS x, p.adjusted + coalesce(g.graph_score, 0) AS distance, coalesce(g.signals, '') AS signals FROM pool p JOIN sym s USING (id) LEFT JOIN support g USING (id)),
+spot AS (SELECT *, {key} AS k, row_number() OVER (ORDER BY distance, raw_score, id) AS place FROM ranked),
+marked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) AS nth, first_value(confidence) OVER (ORDER BY place) AS top FROM spot),
+kept AS (SELECT * FROM marked WHERE {collapse} ORDER BY place LIMIT {spec.limit}),
+spread AS (SELECT *, row_number() OVER (ORDER BY place) AS position, min(distance) OVER () AS low, max(distance) OVER () AS high FROM kept),
+found AS (SELECT *, {trust} AS retrieval_trust, floor(m * 1000 + 0.5) / 1000 AS margin, floor((1 - floor(m * 1000 + 0.5) / 1000) * 1000 + 0.5) / 1000 AS score FROM (SELECT *, CASE WHEN high > low THEN (distance - low) / (high - low) ELSE 0 END AS m FROM spread))"""
+
+
+def turns(limit: int) -> str:
+    """CTE ``turned``: ``found`` with the order in which files take turns."""
+    return f"""whole AS (SELECT *, position = min(position) OVER () AS first, count(*) OVER () AS n FROM found),
+rounds AS (SELECT *, row_number() OVER (PARTITION BY path, first ORDER BY position) AS round, min(position) OVER (PARTITION BY path, first) AS start FROM whole),
+turned AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN first OR n <= {limit} THEN 0 ELSE round END, CASE WHEN first OR n <= {limit} THEN 0 ELSE start END, position) AS turn FROM rounds)"""
+
+
 def pool(spec: QuerySpec) -> str:
     """CTEs up to ``pool``: id, path, kind, language, raw_score, adjusted, reason, confidence, similarity."""
     weak = "0"

@@ -24,6 +24,10 @@ def key(x: str) -> str:
     return f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
 
 
+def stored_key(x: str) -> str:
+    return f"replace(replace(replace(replace(replace(replace(lower({x}), chr(92), ''), '/', ''), '-', ''), ' ', ''), '.', ''), ':', '')"
+
+
 def terms(x: str) -> str:
     return f"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
 

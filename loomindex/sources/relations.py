@@ -17,10 +17,10 @@ SCRIPT_ENDINGS = [".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".css"]
 RUBY_ENDINGS = [".rb", "/init.rb"]
 PYTHON_ENDINGS = [".py", "/__init__.py"]
 #: Fixed values. Folders from which constants are loaded by name, in order.
-AUTOLOAD_ROOTS = (
-    "app/models app/models/concerns app/services app/controllers app/controllers/concerns app/helpers app/jobs app/workers app/mailers app/serializers app/policies app/queries app/forms app/presenters"
-    " app/validators app/concerns app/lib lib lib/concerns"
-).split() + [""]
+AUTOLOAD_ROOTS = [
+    "app/models", "app/models/concerns", "app/services", "app/controllers", "app/controllers/concerns", "app/helpers", "app/jobs", "app/workers", "app/mailers",
+    "app/serializers", "app/policies", "app/queries", "app/forms", "app/presenters", "app/validators", "app/concerns", "app/lib", "lib", "lib/concerns", "",
+]
 
 
 def folder_of(path: Column) -> Column:
