@@ -256,7 +256,10 @@ class NearDuplicates:
         # A representative: the smallest id of a class. Copies merge before the shuffle.
         lists = ["runs", "places", "parts"]
         reps = prefixed.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "band", *lists)])
-        self._postings = reps.filter(F.size("runs") > 0).select("rep", "n", "band", F.inline(F.arrays_zip(*lists))).toDF("rep", "n", "band", "run", "pos", "parts")
+        postings = reps.filter(F.size("runs") > 0).select("rep", "n", "band", F.inline(F.arrays_zip(*lists))).toDF("rep", "n", "band", "run", "pos", "parts")
+        # Where any run may be hot, postings are read by two joins.
+        self._hot = bool(_parts(total.max(), hot) > 1)
+        self._postings = materialize(postings, "postings") if self._hot else postings
         least_id = members.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
         self._sketches = least_id.select("rep", "sketch")
         self.members = members.select("id", "identity", "sig_a", "sig_b", "n").distinct().join(least_id.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"]).select("id", "identity", "rep", "n")
@@ -274,12 +277,14 @@ class NearDuplicates:
             return rows.withColumnsRenamed({c: f"{c}_{x}" for c in ("rep", "n", "pos")})
 
         cold = self._postings.filter("parts = 1").select("run", "rep", "n", "pos")
-        # Hot runs meet by bands of lengths, the shorter set's being the longer one's or the one below, and one side is dealt to tasks.
-        hot = self._postings.filter("parts > 1")
-        dealt = hot.select("run", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt"), "rep", "n", "pos")
-        sent = hot.select("run", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "parts", "rep", "n", "pos")
-        sent = sent.select("run", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rep", "n", "pos")
-        met = side(cold, "a").join(side(cold, "b"), "run").unionByName(side(dealt, "a").join(side(sent, "b"), ["run", "band", "salt"]).drop("band", "salt"))
+        met = side(cold, "a").join(side(cold, "b"), "run")
+        if self._hot:
+            # Hot runs meet by bands of lengths, the shorter set's being the longer one's or the one below, and one side is dealt to tasks.
+            hot = self._postings.filter("parts > 1")
+            dealt = hot.select("run", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt"), "rep", "n", "pos")
+            sent = hot.select("run", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "parts", "rep", "n", "pos")
+            sent = sent.select("run", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rep", "n", "pos")
+            met = met.unionByName(side(dealt, "a").join(side(sent, "b"), ["run", "band", "salt"]).drop("band", "salt"))
         need = needed_overlap(F.col("n_a"), F.col("n_b"), self.threshold)
         after = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
         matches = met.filter(
