@@ -17,7 +17,7 @@ import ast
 import re
 import textwrap
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -44,7 +44,12 @@ class FunctionNode:
     before: str
     inside: str
     start: int
-    end: int
+    find_end: Callable[[], int]
+
+    @property
+    def end(self) -> int:
+        """Found when it is asked for: most functions have no documentation worth a pair."""
+        return self.find_end()
 
 
 def _comments(text: str, at: int, hashes: bool) -> tuple[str, int]:
@@ -200,7 +205,7 @@ def scan_function(body: str, language: str) -> FunctionNode:
         first = re.compile(r"[ \t]*\r?\n|[ \t]+").match(body, rest)
     doc = _DOCSTRING.match(body, rest) if language == "python" else None
     inside = doc.group(2) if doc else _comments(body, rest, hashes)[0]
-    return FunctionNode(before, inside, at, _code_end(body, header, end, language))
+    return FunctionNode(before, inside, at, lambda: _code_end(body, header, end, language))
 
 
 def _place(lines: list[str], dedented: list[str], line: int, column: int) -> int:
@@ -210,6 +215,18 @@ def _place(lines: list[str], dedented: list[str], line: int, column: int) -> int
     return sum(len(x) + 1 for x in lines[: line - 1]) + margin + len(text.encode()[:column].decode("utf-8", "ignore"))
 
 
+def _functions(tree: ast.AST) -> Iterator[ast.FunctionDef | ast.AsyncFunctionDef]:
+    """The functions of a tree, outer ones first; only statements are visited."""
+    level = [tree]
+    while level:
+        below = []
+        for node in level:
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+                yield node
+            below += [x for part in ("body", "orelse", "handlers", "finalbody", "cases") for x in getattr(node, part, None) or () if isinstance(x, ast.AST)] if not isinstance(node, ast.expr) else []
+        level = below
+
+
 def parse_python(body: str, name: str | None = None) -> FunctionNode | None:
     """The node of a Python body by its syntax tree; None where it does not parse or has no function."""
     source = textwrap.dedent(body)
@@ -219,18 +236,18 @@ def parse_python(body: str, name: str | None = None) -> FunctionNode | None:
             tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    nodes = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
-    if not nodes:
-        return None
     last = re.split(r"[.#:]", name)[-1] if name else None
-    node = next((n for n in nodes if n.name == last), nodes[0])
+    first_function = next(_functions(tree), None)
+    if first_function is None:
+        return None
+    node = first_function if last in (None, first_function.name) else next((n for n in _functions(tree) if n.name == last), first_function)
     lines, dedented = body.split("\n"), source.split("\n")
     first = min([node, *node.decorator_list], key=lambda n: n.lineno)
     column = first.col_offset - (first is not node)  # a decorator's expression begins after its @
-    start, end = _place(lines, dedented, first.lineno, max(column, 0)), _place(lines, dedented, node.end_lineno, node.end_col_offset)
+    start = _place(lines, dedented, first.lineno, max(column, 0))
     scanned = scan_function(body, "python")
     doc = ast.get_docstring(node, clean=True)
-    return FunctionNode(scanned.before, doc if doc is not None else scanned.inside, start, end)
+    return FunctionNode(scanned.before, doc if doc is not None else scanned.inside, start, lambda: _place(lines, dedented, node.end_lineno, node.end_col_offset))
 
 
 def function_node(body: str, language: str | None, name: str | None = None) -> FunctionNode:
@@ -250,7 +267,8 @@ def _pairs(least_words: int):
                 for source, text in (("doc", doc), ("before", node.before), ("inside", node.inside)):
                     lines = good_lines(text)
                     if len(new_words(lines, known)) >= least_words:
-                        out.append((id_, source, "\n".join(lines), body[node.start : node.end], node.start, node.end))
+                        end = node.end
+                        out.append((id_, source, "\n".join(lines), body[node.start : end], node.start, end))
                         break
             ids, sources, texts, codes, starts, ends = (list(x) for x in zip(*out)) if out else ([],) * 6
             yield pa.RecordBatch.from_arrays(
