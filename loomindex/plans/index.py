@@ -31,10 +31,7 @@ def source_texts(spark: SparkSession, root: str, scope: str = "") -> DataFrame:
 
 
 def symbols_of(texts: DataFrame) -> DataFrame:
-    rows = extract.with_ids(extract.extract_symbols(texts))
-    last = F.element_at(F.split("body", "\n"), -1)
-    spans = rows.withColumn("start_column", F.lit(1)).withColumn("end_column", F.greatest(F.length(last), F.lit(1)))
-    return spans.select(*SYMBOLS)
+    return extract.with_ids(extract.extract_symbols(texts)).select(*SYMBOLS)
 
 
 def relations_of(texts: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:

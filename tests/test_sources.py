@@ -7,7 +7,7 @@ from tests.helpers import files, rows, symbols
 
 
 def found(text, language):
-    return [(k, n, a, b) for k, n, _, _, a, b in extract.symbols_of(text, language)]
+    return [(f.kind, f.name, f.start_line, f.end_line) for f in extract.symbols_of(text, language, "x/File")]
 
 
 def test_python_agrees_with_the_syntax_tree():
@@ -19,19 +19,39 @@ def test_python_agrees_with_the_syntax_tree():
 
 def test_other_languages():
     js = "import x from './x'\nexport class A {\n  run(a) {\n    if (a) { go('}') }\n  }\n}\nconst f = (a) => {\n}\n"
-    assert found(js, "javascript") == [("import", "./x", 1, 1), ("class", "A", 2, 6), ("method", "run", 3, 5), ("function", "f", 7, 8)]
+    assert found(js, "javascript") == [("import", "import x from './x'", 1, 1), ("class", "A", 2, 6), ("method", "run", 3, 5), ("function", "f", 7, 8)]
     assert [k for k, *_ in found("interface I {\n}\ntype T = string;\nenum E {\n}", "typescript")] == ["interface", "type", "enum"]
     rb = "module M\n  class C\n    def go\n      x.each do |y|\n        y\n      end\n    end\n  end\nend\nMAX = 3"
     assert found(rb, "ruby") == [("module", "M", 1, 9), ("class", "C", 2, 8), ("method", "go", 3, 7), ("constant", "MAX", 10, 10)]
     assert found("# A\ntext\n## B\n", "markdown") == [("heading", "A", 1, 2), ("heading", "B", 3, 4)]
     assert found("a:\n  b: 1\nc: 2", "yaml") == [("key", "a", 1, 1), ("key", "a.b", 2, 2), ("key", "c", 3, 3)]
     assert found("go() {\n  echo 1\n}", "shell") == [("function", "go", 1, 3)]
-    assert [(k, n) for k, n, *_ in found("FROM base AS build\nRUN make all", "dockerfile")] == [("stage", "build"), ("from", "base AS build"), ("run", "make all")]
+    assert [(k, n) for k, n, *_ in found("FROM base AS build\nRUN make all", "dockerfile")] == [("file", "File"), ("stage", "build"), ("from", "base AS build"), ("run", "make all")]
     assert [n for _, n, *_ in found(".a, .b {\n}\n@media print {\n}", "css")] == [".a", ".b", "@media print"]
     page = "<html><title>Hi</title>\n<div id='x'><p>text</p></div></html>"
     assert [(k, n) for k, n, *_ in found(page, "html")] == [("title", "Hi"), ("element", "x")]
 
 
+def signatures(text, language):
+    return [f.signature for f in extract.symbols_of(text, language, "x/Dockerfile")]
+
+
+def test_qualified_signatures():
+    rb = "module Core\n  class Index\n    LIMIT = 3\n    def run(a, b = {})\n    end\n    def self.open(x)\n    end\n  end\nend\ndef free\nend\nrequire 'set'"
+    assert signatures(rb, "ruby") == ["module Core", "class Core::Index", "Core::Index::LIMIT", "Core::Index#run(a, b = {})", "Core::Index.open(x)", "free", "require 'set'"]
+    js = "export class K extends Base {\n  go(a) {\n  }\n}\nasync function f(a, b = (1)) {\n}\nconst g = (x) => x;\n"
+    assert signatures(js, "javascript") == ["class K extends Base", "K.go(a)", "f(a, b = (1))", "g(x)"]
+    ts = "class K {\n  go(a: number): string {\n  }\n}\nfunction f(a: T): number {\n}\ninterface I {\n}\nconst h = (x: T): U => x;\n"
+    assert signatures(ts, "typescript") == ["class K", "K.go(a: number): string", "f(a: T): number", "interface I", "h(x: T): U"]
+    py = "from a import (\n  b,\n)\nclass C(B, metaclass=M):\n    'def fake(): no'\n    @wrap\n    async def go(\n        self, x: int = f(1)\n    ) -> dict[str, int]:\n        return 1\n"
+    assert signatures(py, "python") == ["from a import (\n  b,\n)", "class C(B, metaclass=M)", "go(\n        self, x: int = f(1)\n    ) -> dict[str, int]"]
+    assert [(f.name, f.start_line, f.start_column, f.end_line, f.end_column) for f in extract.symbols_of(py, "python")][2] == ("go", 7, 5, 10, 17)
+    docker = [f for f in extract.symbols_of("FROM a AS b\n# no\nARG X=1\nCOPY  Src /Dst\n", "dockerfile", "x/Dockerfile")]
+    assert [(f.kind, f.name, f.doc) for f in docker[1:]] == [("stage", "b", None), ("from", "a AS b", "from a as b"), ("arg", "X", None), ("copy", "Src /Dst", "copy src /dst")]
+    assert docker[0].signature == "x/Dockerfile" and docker[0].name == "Dockerfile"
+    assert [f.doc for f in extract.symbols_of(".top-Bar .item { }", "css")] == ["top-bar item top-bar item top-baritem"]
+
+
 def test_css_over_the_whole_text():
     assert found(".a{x:1}.b,.c{y:2}@media print{.d{z:3}}", "css") == [("selector", ".a", 1, 1), ("selector", ".b", 1, 1), ("selector", ".c", 1, 1), ("at_rule", "@media print", 1, 1), ("selector", ".d", 1, 1)]
     spread = "/* .no { } */\n@import 'x.css';\n.a,\n.b\n  > p,\n:is(h1, h2)\n{\n}\n[title=\"a,{b\"] { }\n"
