@@ -40,10 +40,12 @@ def relations_of(texts: DataFrame, symbols: DataFrame, files: DataFrame) -> Data
     none = F.lit(None).cast("long").alias("source_symbol_id")
     imports = relations.import_relations(texts, files)
     bodies = symbols.filter("kind not in ('import', 'file')").select("id", "path", "language", F.col("body").alias("text"))
+    # Constants of a body are looked for from its namespace outwards.
+    named = symbols.filter("language = 'ruby' and kind in ('class', 'module', 'method')").select("path", "language", F.col("body").alias("text"), relations.namespace_of(F.col("signature")).alias("namespace"))
     parts = [
         contained_edges(symbols).select(*columns),
         imports.select(none, *columns[1:]),
-        relations.constant_relations(texts, files).select(none, *columns[1:]),
+        relations.constant_relations(named.unionByName(texts.select("path", "language", "text").withColumn("namespace", F.lit(""))), files).select(none, *columns[1:]),
         relations.use_relations(bodies, imports, symbols).select(*columns),
     ]
     rows = parts[0]

@@ -61,7 +61,7 @@ def symbol_imports(spark, folder):
 
 
 def symbol_constants(spark, folder):
-    s = open_index(spark, folder).symbols.filter("language = 'ruby'").select("path", "language", F.col("body").alias("text"))
+    s = open_index(spark, folder).symbols.filter("language = 'ruby'").select("path", "language", F.col("body").alias("text"), relations.namespace_of(F.col("signature")).alias("namespace"))
     return relations.constant_relations(s, open_index(spark, folder).files)
 
 

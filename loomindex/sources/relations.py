@@ -34,6 +34,11 @@ def joined_path(folder: Column, rest: Column) -> Column:
     return canonical_path(F.concat_ws("/", F.nullif(folder, F.lit("")), rest))
 
 
+def first_of(*values: Column) -> Column:
+    """The first value that is not null."""
+    return F.coalesce(*values)
+
+
 def _all(text: str, pattern: str, group: int = 1) -> Column:
     return F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))))
 
@@ -87,24 +92,49 @@ def import_relations(texts: DataFrame, files: DataFrame) -> DataFrame:
     return best.select(F.col("path").alias("source_path"), F.lit("imports").alias("relation_kind"), F.when(F.col("any"), F.col("found")).alias("target_path"), F.col("label").alias("target_label"))
 
 
+def namespace_of(signature: Column) -> Column:
+    """The lexical namespace of a Ruby symbol's body, from its qualified signature; empty at the top level."""
+    bare = F.regexp_replace(F.coalesce(signature, F.lit("")), r"^(class|module)\s+|\(.*$", "")
+    whole = F.coalesce(signature, F.lit("")).rlike(r"^(class|module)\s")
+    return F.when(whole, bare).otherwise(F.regexp_extract(bare, r"^([A-Z][\w:]*?)[#.]", 1))
+
+
+def _category(root: Column) -> Column:
+    """What a folder of constants holds: its last name, ``root`` for the top."""
+    return F.when(root == "", "root").otherwise(F.element_at(F.split(root, "/"), -1))
+
+
 def constant_relations(texts: DataFrame, files: DataFrame) -> DataFrame:
-    """Ruby constants resolved by the folders that they are loaded from; a tie of the best is left unresolved."""
+    """Ruby constants resolved by the folders that they are loaded from; a tie of the best is left unresolved.
+
+    A ``namespace`` column of the texts (``A::B``, see ``namespace_of``) is searched from the inside out;
+    without it, constants are looked for at the top level only. A constant that is qualified itself is taken as it stands.
+    """
     rows = texts.filter("language = 'ruby' and text is not null and path is not null")
-    names = rows.select("path", _all("text", r"(?<![\w:])([A-Z]\w*[a-z]\w*(?:::[A-Z]\w*)*)").alias("constant"))
-    snake = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("constant", "::", "/"), "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2"))
+    around = F.coalesce(F.col("namespace"), F.lit("")) if "namespace" in texts.columns else F.lit("")
+    names = rows.select("path", around.alias("namespace"), _all("text", r"(?<![\w:])([A-Z]\w*[a-z]\w*(?:::[A-Z]\w*)*)").alias("constant")).distinct()
+    parts = F.filter(F.split("namespace", "::"), lambda x: x != "")
+    levels = F.when(F.col("constant").contains("::"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))
+    leveled = names.withColumn("level", F.explode(levels)).withColumn("qualified", F.concat_ws("::", F.slice(parts, F.lit(1), F.col("level")), F.array(F.col("constant"))))
+    snake = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("qualified", "::", "/"), "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2"))
     roots = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(r).alias("root")) for i, r in enumerate(AUTOLOAD_ROOTS)])
-    tried = names.withColumn("snake", snake).withColumn("r", F.explode(roots))
+    tried = leveled.withColumn("snake", snake).withColumn("r", F.explode(roots))
     # The project part of a path stands before the folder; files are matched on both.
     project = F.regexp_extract("path", r"^(.*?)(?:^|/)(?:app|lib|src)/", 1)
+    inner = F.when(project != "", F.expr("substring(path, length(regexp_extract(path, '^(.*?)(?:^|/)(?:app|lib|src)/', 1)) + 2)")).otherwise(F.col("path"))
+    own = first_of(*[F.when(inner.startswith(r + "/"), _category(F.lit(r))) for r in AUTOLOAD_ROOTS if r])
     target = F.concat_ws("/", F.nullif(project, F.lit("")), F.nullif(F.col("r.root"), F.lit("")), F.concat("snake", F.lit(".rb")))
-    tried = tried.select("path", "constant", "r.priority", "r.root", target.alias("target_path"))
+    tried = tried.select("path", "namespace", "constant", "qualified", "level", "r.priority", _category(F.col("r.root")).alias("category"), own.alias("own"), target.alias("target_path"))
     there = files.select(F.col("path").alias("target_path")).filter("target_path is not null").distinct()
-    same = (F.col("root") != "") & F.col("path").contains(F.concat(F.col("root"), F.lit("/")))
-    score = 100 - F.col("priority") + F.when(same, 25).otherwise(0) + F.when(F.col("root").contains("concerns"), 8).otherwise(0)
+    same = F.coalesce(F.col("category") == F.col("own"), F.lit(False))
+    score = 100 - F.col("priority") + F.when(same, 25).otherwise(0) + F.when(F.col("category") == "concerns", 8).otherwise(0) + F.when(same & (F.col("category") == "lib"), 6).otherwise(0) + 3 * F.col("level")
+    key = ["path", "namespace", "constant"]
     found = tried.join(there, "target_path").filter("target_path <> path").withColumn("score", score)
-    w = Window.partitionBy("path", "constant")
-    best = found.withColumn("best", F.max("score").over(w)).filter("score = best").withColumn("ties", F.count("*").over(w)).filter("ties = 1")
-    return best.select(F.col("path").alias("source_path"), F.lit("uses").alias("relation_kind"), "target_path", F.col("constant").alias("target_label"))
+    each = found.groupBy(*key, "target_path").agg(F.max("score").alias("score"), F.max_by("qualified", "score").alias("qualified"))
+    w = Window.partitionBy(*key)
+    best = each.withColumn("best", F.max("score").over(w)).filter("score = best").withColumn("ties", F.count("*").over(w)).filter("ties = 1")
+    out = best.select(F.col("path").alias("source_path"), F.lit("uses").alias("relation_kind"), "target_path", F.col("qualified").alias("target_label"))
+    return out.distinct()
 
 
 def use_relations(texts: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:

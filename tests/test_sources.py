@@ -1,5 +1,7 @@
 import ast
 
+from pyspark.sql import functions as F
+
 from loomindex.sources import extract, relations
 from loomindex.sources.connectors import parse_git_status
 from loomindex.sources.tree import TreeSource, scope_rules
@@ -84,6 +86,15 @@ def test_constants_and_uses(spark):
     texts = spark.createDataFrame([("app/models/a.rb", "ruby", "LineItem.new; Tie.x"), ("m.py", "python", "b.run()\nhelp(1)")], "path string, language string, text string")
     f = files(spark, [(p, "ruby", 1, 1.0) for p in ("app/models/line_item.rb", "lib/line_item.rb")])
     assert rows(relations.constant_relations(texts, f), "target_path", "target_label") == [("app/models/line_item.rb", "LineItem")]
+    named = spark.createDataFrame(
+        [("lib/foo/a.rb", "ruby", "Bar.new; Foo::Baz.x; Own", "Foo::Inner"), ("p/lib/x.rb", "ruby", "Deep", None)], "path string, language string, text string, namespace string"
+    )
+    f2 = files(spark, [(p, "ruby", 1, 1.0) for p in ("lib/foo/bar.rb", "bar.rb", "lib/foo/baz.rb", "app/models/own.rb", "lib/own.rb", "p/lib/deep.rb", "lib/deep.rb")])
+    assert rows(relations.constant_relations(named, f2), "source_path", "target_path", "target_label") == [
+        ("lib/foo/a.rb", "lib/foo/bar.rb", "Foo::Bar"), ("lib/foo/a.rb", "lib/foo/baz.rb", "Foo::Baz"), ("lib/foo/a.rb", "lib/own.rb", "Own"), ("p/lib/x.rb", "p/lib/deep.rb", "Deep"),
+    ]
+    sig = spark.createDataFrame([("class A::B",), ("A::B#m(x)",), ("A.m",), ("m(x)",), (None,)], "s string").select(relations.namespace_of(F.col("s")))
+    assert [r[0] for r in sig.collect()] == ["A::B", "A::B", "A", "", ""]
     imports = spark.createDataFrame([("m.py", "imports", "b.py", "b")], "source_path string, relation_kind string, target_path string, target_label string")
     uses = relations.use_relations(texts.filter("language = 'python'"), imports, symbols(spark, [{"path": "m.py", "name": "help"}]))
     assert rows(uses, "target_path", "target_label") == [("b.py", "b.run"), ("m.py", "help")]
