@@ -1,19 +1,21 @@
-"""Commands over an index folder: index, query, lookup, show, graph, status, report. Answers are JSON lines."""
+"""Commands over an index folder: index, watch, query, lookup, show, graph, status, report. Answers are JSON lines."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomindex.operators import changes
 from loomindex.plans import search as plans
-from loomindex.plans.index import read, refresh
+from loomindex.plans.index import read, refresh, source_texts
 from loomindex.plans.spec import QuerySpec
 from loomindex.sources import tables
+from loomindex.streaming.watch import INTERVAL_MS
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,12 +40,19 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("symbol", help="id or name")
         c.add_argument("--full", action="store_true")
         c.add_argument("--limit", type=int, default=20)
-    sub.add_parser("status")
+    c = sub.add_parser("status")
+    c.add_argument("--root", help="compare the index with this source tree")
+    c.add_argument("--scope", default="", help="paths to leave out, one a line")
     sub.add_parser("report")
     c = sub.add_parser("index", help="bring the index tables up to date with a source tree")
     c.add_argument("root")
     c.add_argument("--scope", default="", help="paths to leave out, one a line")
     c.add_argument("--rebuild", action="store_true")
+    c = sub.add_parser("watch", help="do so again and again")
+    c.add_argument("root")
+    c.add_argument("--scope", default="", help="paths to leave out, one a line")
+    c.add_argument("--once", action="store_true")
+    c.add_argument("--interval-ms", type=int, default=INTERVAL_MS)
     return p
 
 
@@ -51,7 +60,10 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     own = read(spark, args.index) if args.versions else None
     s, f = (own["symbols"], own["files"]) if own else (tables.symbols(spark, args.index), tables.files(spark, args.index))
     if args.command == "status":
-        return plans.status(s, f)
+        r = own["relations"] if own else tables.relations(spark, args.index)
+        diff = changes.file_diff(source_texts(spark, args.root, args.scope).drop("text"), f) if args.root else None
+        languages = plans.status(s, f).select(F.lit("language").alias("section"), F.col("language").alias("name"), F.to_json(F.struct("files", "symbols", "parsed", "recovered", "fallback")).alias("value"))
+        return languages.unionByName(plans.overview(s, r, f, diff=diff))
     if args.command == "report":
         return changes.transitions(tables.table(spark, args.index, "events"), ["view", "click", "purchase"])
     r = own["relations"] if own else tables.relations(spark, args.index)
@@ -64,12 +76,27 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return plans.show(s, ids, args.full) if args.command == "show" else plans.graph_around(s, r, ids, args.limit)
 
 
+def watch_tree(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Refreshes the index at each interval, until it is stopped; tells what changed."""
+    if args.interval_ms < 1:
+        raise ValueError("the interval must be positive")
+    while True:
+        found = refresh(spark, args.root, args.index, args.scope)
+        if found or args.once:
+            print(json.dumps(found), flush=True)
+        if args.once:
+            return 0
+        time.sleep(args.interval_ms / 1000)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("loomindex").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "index":
         print(json.dumps(refresh(spark, args.root, args.index, args.scope, args.rebuild)))
         return 0
+    if args.command == "watch":
+        return watch_tree(spark, args)
     for line in answer(spark, args).select(F.to_json(F.struct("*"))).toLocalIterator():
         print(line[0])
     return 0

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomindex.functions import classify
-from loomindex.operators.changes import file_diff, merge_rows
+from loomindex.operators.changes import file_diff
 from loomindex.operators.graph import contained_edges
 from loomindex.session import materialize
 from loomindex.sources import extract, relations
 from loomindex.sources.tree import TreeSource
-from loomindex.streaming.watch import VersionedTable
+from loomindex.streaming.watch import PathTable
 
 FILES = ["path", "language", "size", "mtime_ms"]
 SYMBOLS = ["id", "path", "language", "kind", "name", "signature", "body", "doc", "fallback", "start_line", "start_column", "end_line", "end_column"]
@@ -59,8 +59,10 @@ def refresh(spark: SparkSession, root: str, folder: str, scope: str = "", rebuil
     """Brings the tables in ``folder`` (files, symbols, relations) up to date; returns the numbers of changes.
 
     Only new and changed files are extracted; rows of vanished files go. Nothing is written if nothing changed.
+    The table of files is what the next refresh compares with. It is written last, so a refresh that was cut
+    off is done again.
     """
-    stored = {name: VersionedTable(spark, f"{folder}/{name}") for name in ("files", "symbols", "relations")}
+    stored = {name: PathTable(spark, f"{folder}/{name}") for name in ("files", "symbols", "relations")}
     texts = materialize(source_texts(spark, root, scope), "texts")
     current = texts.select(*FILES)
     known = None if rebuild else stored["files"].read()
@@ -71,17 +73,15 @@ def refresh(spark: SparkSession, root: str, folder: str, scope: str = "", rebuil
     touched = texts.join(diff, "path", "left_semi")
     symbols = materialize(symbols_of(touched), "symbols")
     edges = relations_of(touched, symbols, current).withColumn("path", F.col("source_path"))
-    if known is None:
-        stored["symbols"].commit(symbols)
-        stored["relations"].commit(edges.drop("path"))
-    else:
-        stored["symbols"].commit(merge_rows(stored["symbols"].read(), symbols, diff))
-        old = stored["relations"].read().withColumn("path", F.col("source_path"))
-        stored["relations"].commit(merge_rows(old, edges, diff).drop("path"))
-    stored["files"].commit(current)
+    for name, rows in (("symbols", symbols), ("relations", edges), ("files", current)):
+        if known is None:
+            stored[name].write(rows)
+        else:
+            stored[name].replace(rows, diff)
     return counts
 
 
 def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The newest versions of the tables that ``refresh`` keeps."""
-    return {name: VersionedTable(spark, f"{folder}/{name}").read() for name in ("files", "symbols", "relations")}
+    """The tables that ``refresh`` keeps."""
+    found = {name: PathTable(spark, f"{folder}/{name}").read() for name in ("files", "symbols", "relations")}
+    return found | {"relations": found["relations"].drop("path")}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -100,3 +101,35 @@ def status(symbols: DataFrame, files: DataFrame) -> DataFrame:
     f = files.groupBy("language").agg(F.count("*").alias("files"))
     counts = ["files", "symbols", "parsed", "recovered", "fallback"]
     return f.join(s, "language", "full_outer").select("language", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
+def overview(symbols: DataFrame, relations: DataFrame, files: DataFrame, embeddings: DataFrame | None = None, diff: DataFrame | None = None, samples: int = 5) -> DataFrame:
+    """The state of an index as (section, name, value) rows: totals, extraction, relations, roots, possible orphans, vectors, freshness.
+
+    ``diff``: (path, change) of the files against the index; without it there is no section on freshness.
+    """
+    kind = classify.extraction_of(F.col("fallback"), F.col("doc"))
+
+    def rows(section: str, counted: DataFrame, name: Column, value: Column) -> DataFrame:
+        return counted.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+
+    def count_by(section: str, table: DataFrame, by: Column) -> DataFrame:
+        return rows(section, table.groupBy(by.alias("by")).agg(F.count("*").alias("n")), F.col("by"), F.col("n"))
+
+    roots = graph.top_roots(files, symbols, samples)
+    orphans = graph.possible_orphans(symbols, relations)
+    parts = [
+        *[rows("totals", t.agg(F.count("*").alias("n")), F.lit(name), F.col("n")) for name, t in (("files", files), ("symbols", symbols), ("relations", relations))],
+        count_by("languages", files, F.col("language")),
+        count_by("extraction", symbols, kind),
+        count_by("relations", relations, F.col("relation_kind")),
+        rows("roots", roots, F.col("path"), F.array_join("reasons", "; ")),
+        rows("possible_orphans", orphans.agg(F.count("*").alias("n")), F.lit("symbols"), F.col("n")),
+        rows("possible_orphans", orphans.orderBy("path", "id").limit(samples), F.col("path"), F.col("name")),
+    ]
+    if embeddings is not None:
+        parts.append(count_by("vectors", embeddings.filter("size(embedding) > 0"), F.concat_ws("/", "provider", "model")))
+    if diff is not None:
+        parts.append(count_by("freshness", diff, F.col("change")))
+        parts.append(rows("freshness", diff.agg((F.count("*") > 0).alias("stale")), F.lit("stale"), F.col("stale")))
+    return reduce(DataFrame.unionByName, parts)

@@ -144,7 +144,7 @@ def use_relations(texts: DataFrame, imports: DataFrame, symbols: DataFrame) -> D
     """
     owner = F.col("id") if "id" in texts.columns else F.lit(None)
     rows = texts.filter("path is not null and text is not null").select("path", "text", owner.cast("long").alias("owner"))
-    calls = rows.select("path", "owner", _all("text", r"(?<![\w.])([A-Za-z_]\w*(?:\.\w+)*)\s*\(").alias("call")).withColumn("root", F.regexp_extract("call", r"^(\w+)", 1))
+    calls = rows.select("path", "owner", _all("text", r"(?<![\w.])(?<!\bdef\s)(?<!\bfunction\s)(?<!\bclass\s)([A-Za-z_]\w*(?:\.\w+)*)\s*\(").alias("call")).withColumn("root", F.regexp_extract("call", r"^(\w+)", 1))
     names = imports.filter("target_path is not null").select(F.col("source_path").alias("path"), "target_path", F.regexp_extract("target_label", r"(\w+)(?:\.\w+)?$", 1).alias("root")).distinct()
     members = imports.filter("target_path is not null").select(F.col("source_path").alias("path"), "target_path", F.regexp_extract("target_label", r"(\w+)$", 1).alias("root")).distinct()
     outside = calls.join(names.union(members).distinct(), ["path", "root"]).select("path", "owner", "target_path", "call")

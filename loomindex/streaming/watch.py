@@ -1,9 +1,8 @@
-"""Keeping an index fresh: versions of the index tables, and a stream of changes that makes new ones."""
+"""Keeping an index fresh: tables whose rows are replaced by path, and a stream of changes that does so."""
 
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,48 +11,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomindex.operators.changes import merge_rows
+from loomindex.session import materialize
 
-FORMAT_VERSION = 1
 #: Fixed values. Default poll interval; a watcher is active for three of them, five seconds at least.
 INTERVAL_MS, LEAST_ACTIVE_MS = 2000, 5000
 
 
 @dataclass(frozen=True)
-class VersionedTable:
-    """A table whose rows are replaced by path. A version is a folder; the log of versions is a table itself.
+class PathTable:
+    """A Parquet table whose rows are replaced by ``path``, partitioned by hash of the path (``slot``).
 
-    A version that is not in the log was never finished and is not read, so a lost executor or driver
-    leaves the last good version in place.
+    Replacing some paths reads and writes only the partitions that they are in, by Spark's dynamic
+    partition overwrite. Doing the same replacement again changes nothing, so a step that was cut off is
+    simply repeated. ``slots`` must stay the same for a table.
     """
 
     spark: SparkSession
     root: str
+    slots: int = 64
 
-    def _log(self) -> DataFrame | None:
+    def _slotted(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("slot", F.pmod(F.xxhash64("path"), F.lit(self.slots)).cast("int"))
+
+    def _stored(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("version long, folder string, batch long, format int, at timestamp").parquet(f"{self.root}/log")
-        except Exception as e:  # the log does not exist yet
+            return self.spark.read.parquet(self.root)
+        except Exception as e:  # the table does not exist yet
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
 
-    def head(self) -> tuple[int, str | None, int]:
-        """(version, folder, last batch) of the newest version of this format."""
-        log = self._log()
-        row = log.filter(F.col("format") == FORMAT_VERSION).orderBy(F.desc("version")).limit(1).collect() if log is not None else []
-        return (row[0].version, row[0].folder, row[0].batch) if row else (0, None, -1)
-
     def read(self) -> DataFrame | None:
-        folder = self.head()[1]
-        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
-
-    def commit(self, rows: DataFrame, batch: int = -1) -> int:
-        version = self.head()[0] + 1
-        folder = f"v{version}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.root}/{folder}")
-        entry = self.spark.createDataFrame([(version, folder, batch, FORMAT_VERSION)], "version long, folder string, batch long, format int")
-        entry.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
-        return version
+        rows = self._stored()
+        return None if rows is None else rows.filter("path is not null").drop("slot")
+
+    def write(self, rows: DataFrame) -> None:
+        """All rows anew."""
+        self._slotted(rows).repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slot").parquet(self.root)
+
+    def replace(self, fresh: DataFrame, diff: DataFrame) -> None:
+        """The rows of the paths in ``diff`` (path, change) give way to their rows in ``fresh``."""
+        touched = [r.slot for r in self._slotted(diff.select("path")).select("slot").distinct().collect()]  # at most ``slots`` numbers
+        stored = self._stored()
+        if not touched:
+            return
+        if stored is None:
+            self.write(fresh.join(diff.filter("change <> 'deleted'").select("path"), "path", "left_semi"))
+            return
+        old = stored.filter(F.col("slot").isin(touched)).drop("slot")
+        rows = self._slotted(merge_rows(old.filter("path is not null"), fresh, diff).select(*old.columns))
+        # A row without path keeps a slot that has no other row, so that its old rows are overwritten too.
+        keep = self.spark.createDataFrame([(t,) for t in touched], "slot int").select(*[F.col(f.name) if f.name == "slot" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        # What is overwritten is read first, and written as a whole before it is replaced.
+        staged = materialize(rows.unionByName(keep), "replaced")
+        staged.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(self.root)
 
 
 def newest_per_path(changes: DataFrame) -> DataFrame:
@@ -62,26 +73,21 @@ def newest_per_path(changes: DataFrame) -> DataFrame:
     return changes.filter("path is not null").groupBy("path").agg(last).select("path", F.col("last.change_kind").alias("change"))
 
 
-def apply_batch(table: VersionedTable, extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: merges the symbols of changed paths. A batch that is repeated is applied once.
+def apply_batch(table: PathTable, extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: replaces the symbols of changed paths. A batch may be repeated.
 
     ``extract`` gets (path, change) rows and gives the fresh rows of the paths that still exist; a path
     that vanished meanwhile gives none and so is removed.
     """
 
     def run(changes: DataFrame, batch: int) -> None:
-        if table.head()[2] >= batch:
-            return
-        diff = newest_per_path(changes)
-        fresh = extract(diff.filter("change <> 'deleted'"))
-        stored = table.read()
-        rows = fresh if stored is None else merge_rows(stored, fresh, diff)
-        table.commit(rows, batch)
+        diff = materialize(newest_per_path(changes), "changes")
+        table.replace(extract(diff.filter("change <> 'deleted'")), diff)
 
     return run
 
 
-def watch(changes: DataFrame, table: VersionedTable, extract: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = False, interval_ms: int = INTERVAL_MS) -> StreamingQuery:
+def watch(changes: DataFrame, table: PathTable, extract: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = False, interval_ms: int = INTERVAL_MS) -> StreamingQuery:
     """Starts the stream; ``once`` handles what is there and stops."""
     if interval_ms < 1:
         raise ValueError("the interval must be positive")

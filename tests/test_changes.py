@@ -66,17 +66,32 @@ def test_stream_of_chains_equals_the_batch(spark, tmp_path):
     assert dict(got) == dict(rows(ch.chained(e, flow), "event_id", "previous"))
 
 
-def test_watch_applies_each_batch_once(spark, tmp_path):
-    from loomindex.streaming.watch import VersionedTable, apply_batch, watch
+def test_watch_replaces_by_path(spark, tmp_path):
+    from loomindex.streaming.watch import PathTable, apply_batch, watch
 
-    table = VersionedTable(spark, f"{tmp_path}/index")
-    table.commit(symbols(spark, [{"path": "a"}, {"path": "b"}]).select("id", "path"))
+    table = PathTable(spark, f"{tmp_path}/index", slots=4)
+    assert table.read() is None
+    table.write(symbols(spark, [{"path": "a"}, {"path": "b"}]).select("id", "path"))
     extract = lambda diff: diff.selectExpr("100L as id", "path")
     change = spark.createDataFrame([(1, "b", "deleted", dt.datetime(2025, 1, 2)), (2, "b", "new", dt.datetime(2025, 1, 1)), (3, "c", "new", dt.datetime(2025, 1, 1))], "change_id bigint, path string, change_kind string, seen_at timestamp_ntz")
     change.write.parquet(f"{tmp_path}/changes")
     stream = spark.readStream.schema(change.schema).parquet(f"{tmp_path}/changes")
     watch(stream, table, extract, f"{tmp_path}/check", once=True).awaitTermination()
     assert rows(table.read(), "id", "path") == [(1, "a"), (100, "c")]
-    version = table.head()[0]
     apply_batch(table, extract)(change, 0)  # the same batch again
-    assert table.head()[0] == version
+    assert rows(table.read(), "id", "path") == [(1, "a"), (100, "c")]
+    gone = spark.createDataFrame([("a", "deleted"), ("c", "deleted")], "path string, change string")
+    table.replace(table.read().limit(0), gone)
+    assert rows(table.read()) == []
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    from loomindex.streaming.watch import PathTable
+
+    table = PathTable(spark, f"{tmp_path}/t", slots=8)
+    table.write(spark.createDataFrame([(i, f"p{i}") for i in range(60)], "id bigint, path string"))
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    table.replace(spark.createDataFrame([(99, "p3")], "id bigint, path string"), spark.createDataFrame([("p3", "changed")], "path string, change string"))
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    assert len(before) == 8 and len(set(before.items()) & set(after.items())) == 7
+    assert rows(table.read()) == sorted([(i, f"p{i}") for i in range(60) if i != 3] + [(99, "p3")])

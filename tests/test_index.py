@@ -39,3 +39,38 @@ def test_tree_to_answers_and_refresh(spark, tmp_path):
     names = {r.name: r.id for r in t["symbols"].collect()}
     assert "wave" in names and "Greeting" not in names and names["greet"] == kept["greet"]
     assert t["symbols"].count() == t["symbols"].select("id").distinct().count()
+
+
+def test_qualified_names_from_tree_to_answer(spark, tmp_path):
+    root, folder = tmp_path / "tree", str(tmp_path / "index")
+    write(
+        root,
+        lib__core__index_DOT_rb="module Core\n  class Index\n    def run(a)\n      Store.new\n    end\n  end\nend\n",
+        lib__core__store_DOT_rb="module Core\n  class Store\n    def run\n    end\n  end\nend\n",
+        web__panel_DOT_ts="export class Panel {\n  open(id: number): void {\n  }\n}\n",
+    )
+    index.refresh(spark, str(root), folder)
+    t = index.read(spark, folder)
+    found = query(t["symbols"], t["relations"], t["files"], QuerySpec("Core::Index")).orderBy("turn").first()
+    assert (found.kind, found.signature, found.confidence) == ("class", "class Core::Index", "exact")
+    assert best_by_name(t["symbols"], "Core::Store#run").first().path == "lib/core/store.rb"
+    assert best_by_name(t["symbols"], "Panel.open(id: number): void").first().name == "open"
+    uses = rows(t["relations"].filter("relation_kind = 'uses' and target_path <> source_path"), "source_path", "target_path", "target_label")
+    assert uses == [("lib/core/index.rb", "lib/core/store.rb", "Core::Store")]
+
+
+def test_status_and_watch_command(spark, tmp_path, capsys):
+    import json
+
+    from loomindex import cli
+
+    root, folder = tmp_path / "tree", str(tmp_path / "index")
+    write(root, src__main_DOT_py="def main():\n    return 1\n", src__b_DOT_py="def b():\n    return 2\n")
+    assert cli.main(["--index", folder, "watch", str(root), "--once"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"new": 2}
+    write(root, src__b_DOT_py="def b():\n    return 33\n")
+    cli.main(["--index", folder, "--versions", "status", "--root", str(root)])
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    told = {(x["section"], x["name"]): x.get("value") for x in lines}
+    assert told[("totals", "files")] == "2" and told[("freshness", "changed")] == "1" and told[("freshness", "stale")] == "true"
+    assert told[("extraction", "parsed")] == "2" and ("roots", "src/main.py") in told and told[("possible_orphans", "src/b.py")] == "b"
