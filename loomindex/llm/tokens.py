@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(path: str):
+def _count(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
-            encode = encoding(path).encode_ordinary
             sizes = [len(encode(t.encode("utf-8", "replace").decode("utf-8"))) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], pa.array(sizes, pa.int64())], ["doc_id", "source", "tokens"])
 
@@ -39,7 +41,9 @@ def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     """(doc_id, source, tokens), one row per document with a text.
 
     Null ids and texts give no row; an empty text has 0 tokens. Of rows with the same id, the largest counts.
+    The vocabulary is a file of the driver's machine; Spark sends it to the executors.
     """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
     texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "source", "text")
-    sized = texts.mapInArrow(_count(vocabulary), "doc_id bigint, source string, tokens bigint")
+    sized = texts.mapInArrow(_count(os.path.basename(vocabulary)), "doc_id bigint, source string, tokens bigint")
     return sized.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("row")).select("doc_id", "row.source", "row.tokens")
