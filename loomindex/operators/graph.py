@@ -117,15 +117,25 @@ def neighbours_in(edges: DataFrame, symbols: DataFrame, path: str, inbound: bool
 
 
 def containers(symbols: DataFrame, of: DataFrame | None = None, k: int = 3) -> DataFrame:
-    """(id, container_id, place): the k tightest symbols of the same file whose span encloses a symbol's."""
+    """(id, container_id, place): the k tightest symbols of the same file whose span encloses a symbol's.
+
+    A span of up to ``2**level`` lines lies in one or two blocks of that many lines. It is looked for in the
+    block of the inner symbol's first line, so only spans near a symbol meet it, however large its file.
+    """
     span = ["start_line", "start_column", "end_line", "end_column"]
     inner = (symbols if of is None else of).select("id", "path", *span)
     outer = symbols.filter(~F.col("kind").isin("import", "file")).select(F.col("id").alias("container_id"), "path", *[F.col(c).alias(f"c_{c}") for c in span])
+    outer = outer.withColumn("level", F.ceil(F.log2(F.greatest(F.col("c_end_line") - F.col("c_start_line") + 1, F.lit(1)))).cast("int")).filter("level is not null")
+    levels = [r.level for r in outer.select("level").distinct().collect()]  # at most 31 numbers
+    block = lambda line, level: F.floor(F.col(line) / F.pow(F.lit(2.0), level)).cast("long")
+    first, last = block("c_start_line", F.col("level")), block("c_end_line", F.col("level"))
+    outer = outer.withColumn("block", F.explode(F.when(last > first, F.array(first, last)).otherwise(F.array(first))))
+    inner = inner.filter("start_line is not null").withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("block", block("start_line", F.col("level")))
     before = (F.col("c_start_line") < F.col("start_line")) | ((F.col("c_start_line") == F.col("start_line")) & (F.col("c_start_column") <= F.col("start_column")))
     after = (F.col("c_end_line") > F.col("end_line")) | ((F.col("c_end_line") == F.col("end_line")) & (F.col("c_end_column") >= F.col("end_column")))
     size = (F.col("c_end_line") - F.col("c_start_line")) * 1000 + (F.col("c_end_column") - F.col("c_start_column"))
     order = Window.partitionBy("id").orderBy(size, "c_start_line", "container_id")
-    found = inner.join(outer, "path").filter((F.col("id") != F.col("container_id")) & before & after)
+    found = inner.join(outer, ["path", "level", "block"]).filter((F.col("id") != F.col("container_id")) & before & after)
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("id", "container_id", "place")
 
 

@@ -1,8 +1,9 @@
 """A source tree as a table, by a Python data source.
 
-Unlike the built-in file sources it also reads names that begin with ``_`` or ``.``. Each first-level
-entry of the root is a partition, so large trees are walked in parallel by tasks; the root must be a
-folder that all executors see.
+Unlike the built-in file sources it also reads names that begin with ``_`` or ``.``. The driver opens
+folders from the root down until there are ``PARTITIONS`` pieces of the tree, so that a tree under one top
+folder is split too; tasks walk and read the pieces. Only files whose language is known by name, or that
+have no extension, are read; others have a null text. The root must be a folder that all executors see.
 
     spark.dataSource.register(TreeSource)
     spark.read.format("sourcetree").option("scope", "build\\ndocs").load("/shared/project")
@@ -15,6 +16,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loomindex.functions.classify import CONTAINER_NAMES, EXTENSIONS
+
 #: Fixed values. Folders that are never entered.
 SKIPPED = {".git", ".hg", ".svn", ".venv", ".pytest_cache", ".pytest-basetemp", ".pytest-runs", ".pytest-tmp", ".ruff_cache", "__pycache__", "node_modules", ".loomindex", "backlog"}
 
@@ -35,45 +38,65 @@ def excluded(path: str, rules: list[str]) -> bool:
     return any(path == r or path.startswith(r + "/") for r in rules)
 
 
-class _Entry(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+#: Pieces of a tree, at least, where it has as many folders.
+PARTITIONS = 256
+
+
+class _Piece(InputPartition):
+    """Files of some folders: of ``folder`` alone, or of all below it too."""
+
+    def __init__(self, folder: str, below: bool):
+        self.folder, self.below = folder, below
 
 
 class _Reader(DataSourceReader):
     def __init__(self, root: str, rules: list[str]):
         self.root, self.rules = root, rules
 
+    def _open(self, folder: str) -> tuple[list[str], list[str]]:
+        """(files, folders) inside a folder, by path from the root."""
+        try:
+            with os.scandir(os.path.join(self.root, folder)) as entries:
+                found = [(f"{folder}/{e.name}" if folder else e.name, e.is_dir(follow_symlinks=False), e.name) for e in entries]
+        except OSError:
+            return [], []  # gone since it was listed
+        found = sorted(x for x in found if not excluded(x[0], self.rules))
+        return [p for p, is_dir, _ in found if not is_dir], [p for p, is_dir, name in found if is_dir and name not in SKIPPED]
+
     def partitions(self) -> list[InputPartition]:
-        names = sorted(os.listdir(self.root))
-        return [_Entry(n) for n in names if n not in SKIPPED and not excluded(n, self.rules)] or [_Entry("")]
-
-    def read(self, partition: _Entry) -> Iterator[tuple]:
-        if not partition.name:
-            return
-        top = os.path.join(self.root, partition.name)
-        if os.path.isfile(top):
-            yield from self._file(partition.name)
-            return
-        for folder, names, files in os.walk(top):
-            inside = os.path.relpath(folder, self.root).replace(os.sep, "/")
-            names[:] = sorted(n for n in names if n not in SKIPPED and not excluded(f"{inside}/{n}", self.rules))
-            for name in sorted(files):
-                yield from self._file(f"{inside}/{name}")
+        alone, below = [], [""]
+        while below and len(alone) + len(below) < PARTITIONS:
+            inner = [f for folder in below for f in self._open(folder)[1]]
+            alone += below
+            below = inner
+        return [_Piece(f, False) for f in alone] + [_Piece(f, True) for f in below]
+
+    def read(self, partition: _Piece) -> Iterator[tuple]:
+        waiting = [partition.folder]
+        while waiting:
+            files, folders = self._open(waiting.pop())
+            for path in files:
+                yield from self._file(path)
+            waiting += reversed(folders) if partition.below else []
 
     def _file(self, path: str) -> Iterator[tuple]:
-        if excluded(path, self.rules):
-            return
         full = os.path.join(self.root, path)
         try:
-            stat = os.stat(full)
-            with open(full, "rb") as data:
-                text = data.read().decode("utf-8", "replace")
+            stat, text = os.stat(full), None
+            if readable(path):
+                with open(full, "rb") as data:
+                    text = data.read().decode("utf-8", "replace")
         except OSError:
             return  # gone since it was listed
         yield path, stat.st_size, stat.st_mtime_ns / 1e6, text
 
 
+def readable(path: str) -> bool:
+    """Whether a file may have a known language, by its name."""
+    name = path.rpartition("/")[2].lower()
+    return "." not in name or name.rpartition(".")[2] in EXTENSIONS or any(name.startswith(n + ".") for n in CONTAINER_NAMES)
+
+
 class TreeSource(DataSource):
     """Columns: path (relative, forward slashes), size, mtime_ms, text. Options: path, scope."""
 

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def chained_stream(events: DataFrame, flow: list[str], minutes: int = 30) -> DataFrame:
+def chained_stream(events: DataFrame, flow: list[str], minutes: int = 30, idle_hours: int = 24) -> DataFrame:
     """(user_id, event_id, event_type, previous) for a stream of flow events.
 
     State per user: time and type of the last flow event. An event older than it is ignored, as late
-    rows must not rewrite what was counted. Other events do not break a chain.
+    rows must not rewrite what was counted. Other events do not break a chain. The state of a user without
+    events for ``idle_hours`` (of processing time) is dropped.
     """
     gap = pd.Timedelta(minutes=minutes)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["user_id", "event_id", "event_type", "previous"])
+            return
         last_ts, last_type = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
@@ -31,11 +36,12 @@ def chained_stream(events: DataFrame, flow: list[str], minutes: int = 30) -> Dat
             last_ts, last_type = at, kind
         if last_ts is not None:
             state.update((last_ts, last_type))
+            state.setTimeoutDuration(idle_hours * 3_600_000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "event_type", "previous"])
 
     rows = events.filter(F.col("event_type").isin(flow) & F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     return rows.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, event_type string, previous string", "last_ts long, last_type string", "append", GroupStateTimeout.NoTimeout
+        step, "user_id long, event_id long, event_type string, previous string", "last_ts long, last_type string", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
