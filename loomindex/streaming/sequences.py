@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def chained_stream(events: DataFrame, flow: list[str], minutes: int = 30, idle_hours: int = 24) -> DataFrame:
+def chained_stream(events: DataFrame, flow: list[str], minutes: int = 30, late: str = "1 day") -> DataFrame:
     """(user_id, event_id, event_type, previous) for a stream of flow events.
 
     State per user: time and type of the last flow event. An event older than it is ignored, as late
-    rows must not rewrite what was counted. Other events do not break a chain. The state of a user without
-    events for ``idle_hours`` (of processing time) is dropped.
+    rows must not rewrite what was counted. Other events do not break a chain. Rows later than ``late``
+    are dropped, and so is a user's state once no event in time can continue its chain.
     """
     gap = pd.Timedelta(minutes=minutes)
 
@@ -36,12 +36,13 @@ def chained_stream(events: DataFrame, flow: list[str], minutes: int = 30, idle_h
             last_ts, last_type = at, kind
         if last_ts is not None:
             state.update((last_ts, last_type))
-            state.setTimeoutDuration(idle_hours * 3_600_000)
+            state.setTimeoutTimestamp(max(last_ts // 1000 + gap.value // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "event_type", "previous"])
 
     rows = events.filter(F.col("event_type").isin(flow) & F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows = rows.withWatermark("ts", late)
     return rows.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, event_type string, previous string", "last_ts long, last_type string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "user_id long, event_id long, event_type string, previous string", "last_ts long, last_type string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
