@@ -46,7 +46,7 @@ def relations_of(texts: DataFrame, symbols: DataFrame, files: DataFrame) -> Data
         contained_edges(symbols).select(*columns),
         imports.select(none, *columns[1:]),
         relations.constant_relations(named.unionByName(texts.select("path", "language", "text").withColumn("namespace", F.lit(""))), files).select(none, *columns[1:]),
-        relations.use_relations(bodies, imports, symbols).select(*columns),
+        relations.use_relations(bodies, imports, symbols, relations.import_aliases(texts)).select(*columns),
     ]
     rows = parts[0]
     for part in parts[1:]:

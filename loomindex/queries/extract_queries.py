@@ -69,7 +69,8 @@ def symbol_uses(spark, folder):
     """Calls in all bodies whose root is a symbol of the same file or an import."""
     s = open_index(spark, folder).symbols
     bodies = s.filter("kind not in ('import', 'file')").select("id", "path", "language", F.col("body").alias("text"))
-    return relations.use_relations(bodies, symbol_imports(spark, folder), s)
+    imports = s.filter("kind = 'import'").select("path", "language", F.col("body").alias("text"))
+    return relations.use_relations(bodies, symbol_imports(spark, folder), s, relations.import_aliases(imports))
 
 
 _HEADS = f"WITH {q.FILES}, h AS (SELECT path, max(head) AS text FROM file_heads WHERE path IS NOT NULL GROUP BY path), t AS (SELECT path, language, coalesce(text, '') AS text FROM fil JOIN h USING (path)), l AS (SELECT path, language, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM t)"

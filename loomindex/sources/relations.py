@@ -7,6 +7,8 @@ looked up one by one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,17 +139,63 @@ def constant_relations(texts: DataFrame, files: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def use_relations(texts: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+def import_aliases(texts: DataFrame) -> DataFrame:
+    """(path, root, label, renamed) of the names that imports bring into (path, language, text) rows.
+
+    ``label`` is the import's, as in ``import_relations``; ``renamed`` tells whether the name is not part of it.
+    """
+    rows = texts.filter("path is not null and text is not null")
+
+    def named(part: str, name: str) -> Column:
+        """What ``name as other`` (or ``name: other``) brings in."""
+        other = F.regexp_extract(part, rf"^{name}\s*(?:\s+as\s+|:\s*)(\w+)", 1)
+        return F.when(other != "", other).otherwise(F.regexp_extract(part, rf"^({name})", 1))
+
+    columns = ["path", "root", "label", "renamed"]
+    python = rows.filter("language = 'python'")
+    plain = python.select("path", _all("text", r"(?m)^\s*import\s+([\w. ,]+)$").alias("list")).select("path", F.explode(F.split("list", r"\s*,\s*")).alias("part"))
+    plain = plain.withColumn("label", F.regexp_extract("part", r"^([\w.]+)", 1)).withColumn("name", named("part", r"[\w.]+"))
+    plain = plain.select("path", F.regexp_extract("name", r"^(\w+)", 1).alias("root"), "label", (F.col("name") != F.col("label")).alias("renamed"))
+    members = python.select("path", _all("text", r"(?m)^\s*(from\s+[\w.]+\s+import\s+\(?[^\n#()]+)").alias("line")).select(
+        "path", F.regexp_extract("line", r"^from\s+([\w.]+)", 1).alias("module"), F.explode(F.split(F.regexp_extract("line", r"import\s+\(?(.*)$", 1), r"\s*,\s*")).alias("part")
+    )
+    members = members.withColumn("member", F.regexp_extract("part", r"^(\w+)", 1)).withColumn("root", named("part", r"\w+"))
+    dots = F.when(F.col("module").rlike(r"^\.+$"), F.concat("module", "member")).otherwise(F.concat_ws(".", "module", "member"))
+    members = members.select("path", "root", dots.alias("label"), (F.col("root") != F.col("member")).alias("renamed"))
+    script = rows.filter(F.col("language").isin(SCRIPTS))
+    clauses = [
+        script.select("path", _all("text", pattern, 0).alias("line")).select(
+            "path", F.regexp_extract("line", pattern, 1).alias("names"), F.regexp_extract("line", pattern, 2).alias("label")
+        )
+        for pattern in (r"(?m)^\s*import\s+(?:type\s+)?([^'\";]+?)\s+from\s*[\"']([^\"'\n]+)[\"']", r"(?m)^\s*(?:const|let|var)\s+([^=;]+?)\s*=\s*require\s*\(\s*[\"']([^\"'\n]+)[\"']")
+    ]
+    pieces = clauses[0].union(clauses[1]).select("path", "label", F.explode(F.split("names", r"\s*[{},]\s*")).alias("part"))
+    pieces = pieces.select("path", named("part", r"(?:\*|\w+)").alias("root"), "label", F.lit(False).alias("renamed"))
+    ruby = rows.filter("language = 'ruby'").select("path", _all("text", r"(?m)^\s*require_relative\s*\(?\s*[\"']([^\"'\n]+)[\"']").alias("label"))
+    last = F.regexp_replace(F.element_at(F.split("label", "/"), -1), r"\.rb$", "")
+    ruby = ruby.select("path", F.translate(F.initcap(F.translate(last, "_", " ")), " ", "").alias("root"), "label", F.lit(False).alias("renamed"))
+    return reduce(DataFrame.union, [x.select(*columns) for x in (plain, members, pieces, ruby)]).filter("root rlike '^[A-Za-z_]'").distinct()
+
+
+def use_relations(texts: DataFrame, imports: DataFrame, symbols: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Calls whose root is an imported name (target: that file) or a symbol of the same file (target: itself).
 
+    ``aliases`` (see ``import_aliases``): the names that imports bring in; without it, they are taken from
+    the imports' labels. A call by another name than the imported one is reported by the imported one.
+
     Where the texts have an ``id`` (a symbol's body), the relation has it as source_symbol_id, else null.
     """
     owner = F.col("id") if "id" in texts.columns else F.lit(None)
     rows = texts.filter("path is not null and text is not null").select("path", "text", owner.cast("long").alias("owner"))
     calls = rows.select("path", "owner", _all("text", r"(?<![\w.])(?<!\bdef\s)(?<!\bfunction\s)(?<!\bclass\s)([A-Za-z_]\w*(?:\.\w+)*)\s*\(").alias("call")).withColumn("root", F.regexp_extract("call", r"^(\w+)", 1))
-    names = imports.filter("target_path is not null").select(F.col("source_path").alias("path"), "target_path", F.regexp_extract("target_label", r"(\w+)(?:\.\w+)?$", 1).alias("root")).distinct()
-    members = imports.filter("target_path is not null").select(F.col("source_path").alias("path"), "target_path", F.regexp_extract("target_label", r"(\w+)$", 1).alias("root")).distinct()
-    outside = calls.join(names.union(members).distinct(), ["path", "root"]).select("path", "owner", "target_path", "call")
+    there = imports.filter("target_path is not null").select(F.col("source_path").alias("path"), "target_path", F.col("target_label").alias("label"))
+    if aliases is None:
+        tails = F.array(*[F.regexp_extract("label", pattern, 1) for pattern in (r"(\w+)(?:\.\w+)?$", r"(\w+)$")])
+        names = there.select("path", "target_path", "label", F.explode(tails).alias("root"), F.lit(False).alias("renamed"))
+    else:
+        names = there.join(aliases, ["path", "label"])
+    said = F.when(F.col("renamed"), F.concat("label", F.expr("substring(call, length(root) + 1)"))).otherwise(F.col("call"))
+    outside = calls.join(names.distinct(), ["path", "root"]).select("path", "owner", "target_path", said.alias("call"))
     own = symbols.filter(~F.col("kind").isin("import", "file")).select("path", F.col("name").alias("root")).distinct()
     inside = calls.join(own, ["path", "root"], "left_semi").select("path", "owner", F.col("path").alias("target_path"), "call")
     found = outside.union(inside).distinct()

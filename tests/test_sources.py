@@ -82,6 +82,23 @@ def test_import_relations(spark):
     }
 
 
+def test_uses_by_other_names(spark):
+    texts = spark.createDataFrame(
+        [
+            ("p/m.py", "python", "import r.s as t\nfrom .q import z as w\nt.go(1)\nw()\nz()\n"), ("w/a.ts", "typescript", "import d, { x as y } from './b'\nimport * as n from './c'\nd(); y(); n.k()\n"),
+            ("w/e.js", "javascript", "const { f: g, h } = require('./b')\ng(); h(); f()\n"), ("r/a.rb", "ruby", "require_relative 'line_item'\nLineItem.open(1)\n"),
+        ],
+        "path string, language string, text string",
+    )
+    f = files(spark, [(p, "x", 1, 1.0) for p in ("r/s.py", "p/q.py", "w/b.ts", "w/c.ts", "r/line_item.rb")])
+    none = symbols(spark, []).limit(0)
+    uses = relations.use_relations(texts, relations.import_relations(texts, f), none, relations.import_aliases(texts))
+    assert rows(uses, "source_path", "target_path", "target_label") == [
+        ("p/m.py", "p/q.py", ".q.z"), ("p/m.py", "r/s.py", "r.s.go"), ("r/a.rb", "r/line_item.rb", "LineItem.open"), ("w/a.ts", "w/b.ts", "d"), ("w/a.ts", "w/b.ts", "y"), ("w/a.ts", "w/c.ts", "n.k"),
+        ("w/e.js", "w/b.ts", "g"), ("w/e.js", "w/b.ts", "h"),
+    ]
+
+
 def test_constants_and_uses(spark):
     texts = spark.createDataFrame([("app/models/a.rb", "ruby", "LineItem.new; Tie.x"), ("m.py", "python", "b.run()\nhelp(1)")], "path string, language string, text string")
     f = files(spark, [(p, "ruby", 1, 1.0) for p in ("app/models/line_item.rb", "lib/line_item.rb")])
