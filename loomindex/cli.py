@@ -6,15 +6,16 @@ import argparse
 import json
 import sys
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomindex.operators import changes
+from loomindex.operators import changes, results
 from loomindex.plans import search as plans
-from loomindex.plans.index import read, refresh, source_texts
+from loomindex.plans.index import read, refresh, refresh_vectors, source_texts
 from loomindex.plans.spec import QuerySpec
-from loomindex.sources import tables
+from loomindex.sources import connectors, tables
 from loomindex.streaming.watch import INTERVAL_MS
 
 
@@ -35,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--exclude-path", action="append", default=[])
         c.add_argument("--exclude-tests", action="store_true")
         c.add_argument("--prefer-implementation", action="store_true")
+        c.add_argument("--service", help="embedding service, to search by vectors too")
+        c.add_argument("--model", default="")
+        if name == "query":
+            shape = c.add_mutually_exclusive_group()
+            shape.add_argument("--compact", action="store_true", help="only what tells results apart")
+            shape.add_argument("--groups", action="store_true", help="results by file")
     for name in ("show", "graph"):
         c = sub.add_parser(name)
         c.add_argument("symbol", help="id or name")
@@ -48,6 +55,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("root")
     c.add_argument("--scope", default="", help="paths to leave out, one a line")
     c.add_argument("--rebuild", action="store_true")
+    c.add_argument("--service", help="embedding service for the vectors of symbols")
+    c.add_argument("--model", default="")
     c = sub.add_parser("watch", help="do so again and again")
     c.add_argument("root")
     c.add_argument("--scope", default="", help="paths to leave out, one a line")
@@ -71,7 +80,17 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         spec = QuerySpec(
             args.text, args.limit, tuple(args.kind), args.docs_only, args.code_only, args.exclude_tests, args.prefer_implementation, tuple(args.path), tuple(args.exclude_path)
         )
-        return plans.query(s, r, f, spec).orderBy("turn") if args.command == "query" else plans.lookup(s, r, f, spec)
+        vectors = None
+        if args.service:
+            asked = connectors.embed_texts(spark.createDataFrame([(0, args.text)], "id bigint, text string"), args.service, args.model).first()
+            spec = replace(spec, vector=tuple(asked.embedding), model=args.model, provider=args.service)
+            vectors = own["embeddings"] if own else tables.embeddings(spark, args.index)
+        if args.command == "lookup":
+            return plans.lookup(s, r, f, spec, vectors)
+        found = plans.query(s, r, f, spec, vectors)
+        if args.groups:
+            return results.file_groups(found, "turn").orderBy("first_position")
+        return (found.select("turn", "id", "path", "kind", "name", "start_line", "confidence", "score") if args.compact else found).orderBy("turn")
     ids = [int(args.symbol)] if args.symbol.isdigit() else [row.id for row in plans.best_by_name(s, args.symbol).select("id").collect()]
     return plans.show(s, ids, args.full) if args.command == "show" else plans.graph_around(s, r, ids, args.limit)
 
@@ -93,7 +112,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("loomindex").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "index":
-        print(json.dumps(refresh(spark, args.root, args.index, args.scope, args.rebuild)))
+        counts = refresh(spark, args.root, args.index, args.scope, args.rebuild)
+        print(json.dumps(counts | {"vectors": refresh_vectors(spark, args.index, args.service, args.model)} if args.service else counts))
         return 0
     if args.command == "watch":
         return watch_tree(spark, args)

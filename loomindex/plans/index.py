@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomindex.functions import classify
+from loomindex.functions.text import embedding_text
 from loomindex.operators.changes import file_diff
 from loomindex.operators.graph import contained_edges
 from loomindex.session import materialize
-from loomindex.sources import extract, relations
+from loomindex.sources import connectors, extract, relations, tables
 from loomindex.sources.tree import TreeSource
 from loomindex.streaming.watch import PathTable
 
@@ -81,7 +82,31 @@ def refresh(spark: SparkSession, root: str, folder: str, scope: str = "", rebuil
     return counts
 
 
+def refresh_vectors(spark: SparkSession, folder: str, service: str, model: str) -> dict[str, int]:
+    """Vectors of the service's model for the symbols in ``folder`` that have none, or that have another text than when it was made; returns counts.
+
+    Symbols that are no longer there lose theirs; vectors of other models stay. Doing it again does what is left.
+    """
+    symbols, stored = PathTable(spark, f"{folder}/symbols").read(), PathTable(spark, f"{folder}/embeddings")
+    text = embedding_text(*[F.col(c) for c in ("path", "kind", "name", "signature", "doc", "body")])
+    wanted = symbols.select("id", "path", text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    known = stored.read()
+    if known is None:
+        known = spark.createDataFrame([], f"path string, text_hash bigint, {tables.EMBEDDINGS}")
+    mine = known.filter((F.col("model") == model) & (F.col("provider") == service))
+    missing = materialize(wanted.join(mine.select(F.col("symbol_id").alias("id"), "text_hash"), ["id", "text_hash"], "left_anti"), "missing")
+    gone = mine.join(wanted.select(F.col("id").alias("symbol_id"), "text_hash"), ["symbol_id", "text_hash"], "left_anti")
+    touched = materialize(missing.select("path").union(gone.select("path")).distinct().withColumn("change", F.lit("changed")), "touched")
+    counts = {"made": missing.count(), "dropped": gone.count()}
+    if any(counts.values()):
+        made = connectors.embed_texts(missing, service, model).join(missing.select(F.col("id").alias("symbol_id"), "path", "text_hash"), "symbol_id")
+        kept = known.join(gone.select("symbol_id", "text_hash", "provider", "model"), ["symbol_id", "text_hash", "provider", "model"], "left_anti").join(touched.select("path"), "path", "left_semi")
+        columns = ["path", "text_hash", *tables.column_names(tables.EMBEDDINGS)]
+        stored.replace(kept.select(*columns).unionByName(made.select(*columns)), touched)
+    return counts
+
+
 def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables that ``refresh`` keeps."""
-    found = {name: PathTable(spark, f"{folder}/{name}").read() for name in ("files", "symbols", "relations")}
+    """The tables that ``refresh`` and ``refresh_vectors`` keep; ``embeddings`` is None before the latter."""
+    found = {name: PathTable(spark, f"{folder}/{name}").read() for name in ("files", "symbols", "relations", "embeddings")}
     return found | {"relations": found["relations"].drop("path")}

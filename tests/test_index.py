@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from loomindex.plans import index
 from loomindex.plans.search import best_by_name, query
 from loomindex.plans.spec import QuerySpec
@@ -74,3 +76,42 @@ def test_status_and_watch_command(spark, tmp_path, capsys):
     told = {(x["section"], x["name"]): x.get("value") for x in lines}
     assert told[("totals", "files")] == "2" and told[("freshness", "changed")] == "1" and told[("freshness", "stale")] == "true"
     assert told[("extraction", "parsed")] == "2" and ("roots", "src/main.py") in told and told[("possible_orphans", "src/b.py")] == "b"
+
+
+def test_vectors_are_made_for_what_has_none(spark, tmp_path, capsys):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from loomindex import cli
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"embeddings": [[1.0, 0.0] if "alpha" in t else [0.0, 1.0] for t in asked["input"]]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    root, folder = tmp_path / "tree", str(tmp_path / "index")
+    write(root, src__a_DOT_py="def alpha():\n    return 1\n", src__b_DOT_py="def beta():\n    return 2\n")
+    index.refresh(spark, str(root), folder)
+    assert index.refresh_vectors(spark, folder, url, "m") == {"made": 2, "dropped": 0}
+    assert index.refresh_vectors(spark, folder, url, "m") == {"made": 0, "dropped": 0}
+    write(root, src__b_DOT_py="def beta():\n    return 3\n")
+    index.refresh(spark, str(root), folder)
+    assert index.refresh_vectors(spark, folder, url, "m") == {"made": 1, "dropped": 1}
+    vectors = index.read(spark, folder)["embeddings"]
+    assert rows(vectors.join(index.read(spark, folder)["symbols"].select("id", "name"), vectors.symbol_id == F.col("id")), "name", "embedding") == [("alpha", [1.0, 0.0]), ("beta", [0.0, 1.0])]
+    cli.main(["--index", folder, "--versions", "query", "zzz alpha", "--service", url, "--model", "m", "--compact"])
+    found = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert found[0]["name"] == "alpha" and "doc" not in found[0]
+    cli.main(["--index", folder, "--versions", "query", "alpha", "--groups"])
+    groups = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    server.shutdown()
+    assert groups[0]["path"] == "src/a.py" and groups[0]["names"] == ["alpha"]
