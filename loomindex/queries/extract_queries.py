@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomindex.plans.opened import open_index
 from loomindex.queries import sqltext as q
+from loomindex.queries.orphan_queries import canonical_sql
 from loomindex.sources import extract, relations, tables
 
 
@@ -75,11 +76,45 @@ def symbol_uses(spark, folder):
 
 _HEADS = f"WITH {q.FILES}, h AS (SELECT path, max(head) AS text FROM file_heads WHERE path IS NOT NULL GROUP BY path), t AS (SELECT path, language, coalesce(text, '') AS text FROM fil JOIN h USING (path)), l AS (SELECT path, language, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM t)"
 
+def _endings(base: str, endings: list[str]) -> str:
+    return f"list_transform({list(endings)}, lambda e: {base} || e)"
+
+
+_FOLDER = "regexp_replace(path, '/?[^/]*$', '')"
+
+
+def _python_base(x: str) -> str:
+    """A module as a path; leading dots go up from the importing file's folder."""
+    up, rest = f"length(regexp_extract({x}, '^(\\.*)', 1))", f"replace(regexp_replace({x}, '^\\.+', ''), '.', '/')"
+    inside = canonical_sql(f"({_FOLDER} || '/' || repeat('../', greatest({up} - 1, 0)::BIGINT) || '/' || {rest})")
+    return f"(CASE WHEN {up} > 0 THEN {inside} ELSE {rest} END)"
+
+
+_LOCAL = canonical_sql(f"({_FOLDER} || '/' || specifier)")
+_IMPORTS = f"""WITH {q.SYMBOLS}, {q.FILES}, t AS (SELECT path, language, body AS text FROM sym WHERE kind = 'import' AND path IS NOT NULL AND body IS NOT NULL),
+js AS (SELECT path, language, unnest(regexp_extract_all(text, '(?m)(?:^\\s*(?:import|export)\\b[^"'';]*?from\\s*|^\\s*import\\s*|\\brequire\\s*\\(\\s*|\\bimport\\s*\\(\\s*)["'']([^"''\\n]+)["'']', 1)) AS specifier FROM t WHERE language IN ('javascript', 'typescript')),
+rb AS (SELECT path, language, unnest(regexp_extract_all(text, '(?m)^\\s*require_relative\\s*\\(?\\s*["'']([^"''\\n]+)["'']', 1)) AS specifier FROM t WHERE language = 'ruby'),
+pl AS (SELECT path, language, unnest(string_split_regex(l, '\\s*,\\s*')) AS part FROM (SELECT path, language, unnest(regexp_extract_all(text, '(?m)^\\s*import\\s+([\\w. ,]+)$', 1)) AS l FROM t WHERE language = 'python')),
+fr AS (SELECT path, language, unnest(regexp_extract_all(text, '(?m)^\\s*(from\\s+[\\w.]+\\s+import\\s+\\(?[^\\n#()]+)', 1)) AS l FROM t WHERE language = 'python'),
+me AS (SELECT path, language, regexp_extract(l, '^from\\s+([\\w.]+)', 1) AS module, unnest(string_split_regex(regexp_extract(l, 'import\\s+\\(?(.*)$', 1), '\\s*,\\s*')) AS part FROM fr),
+mm AS (SELECT path, language, module, regexp_extract(part, '^([\\w*]+)', 1) AS member FROM me),
+sp AS (SELECT path, language, specifier, specifier AS label FROM js UNION SELECT path, language, specifier, specifier FROM rb
+  UNION SELECT path, language, regexp_extract(part, '^([\\w.]+)', 1) AS s, s FROM pl WHERE s <> ''
+  UNION SELECT path, language, module, CASE WHEN regexp_full_match(module, '\\.+') THEN module || member ELSE module || '.' || member END FROM mm WHERE member <> ''),
+ca AS (SELECT path, label, CASE
+    WHEN language IN ('javascript', 'typescript') THEN CASE WHEN NOT starts_with(specifier, '.') THEN NULL WHEN regexp_matches(specifier, '\\.[A-Za-z]+$') THEN [{_LOCAL}]
+      ELSE list_concat({_endings(_LOCAL, relations.SCRIPT_ENDINGS)}, {_endings(_LOCAL + " || '/index'", relations.SCRIPT_ENDINGS)}) END
+    WHEN language = 'ruby' THEN CASE WHEN ends_with(specifier, '.rb') THEN [{_LOCAL}] ELSE {_endings(_LOCAL, relations.RUBY_ENDINGS)} END
+    ELSE list_concat({_endings(_python_base('label'), relations.PYTHON_ENDINGS[:1])}, {_endings(_python_base('specifier'), relations.PYTHON_ENDINGS)}) END AS c FROM sp),
+ta AS (SELECT path, label, unnest(c) AS target, generate_subscripts(c, 1) AS priority FROM ca WHERE c IS NOT NULL),
+hit AS (SELECT path, label, arg_min(target, priority) AS target FROM ta WHERE target IN (SELECT path FROM fil) GROUP BY ALL)"""
+
 QUERIES = {
     f.__name__: f
     for f in (extracted_symbols, extraction_counts, document_headings, yaml_keys, css_selectors, page_titles, page_elements, fallback_rows, symbol_imports, symbol_constants, symbol_uses)
 }
 SQL = {
+    "symbol_imports": f"{_IMPORTS} SELECT DISTINCT path AS source_path, 'imports' AS relation_kind, hit.target AS target_path, label AS target_label FROM sp LEFT JOIN hit USING (path, label)",
     "document_headings": "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)"
     " SELECT doc_id, regexp_extract(line, '^#{1,6}[\\s\\x{00A0}]+(.*\\S)\\s*$', 1) AS name, n AS start_line FROM l WHERE regexp_matches(line, '^#{1,6}[\\s\\x{00A0}]+(.*\\S)\\s*$')",
     "yaml_keys": f"{_HEADS} SELECT path, regexp_extract(line, '^([A-Za-z0-9_.-]+)\\s*:', 1) AS name, n AS start_line FROM l WHERE language = 'yaml' AND regexp_matches(line, '^([A-Za-z0-9_.-]+)\\s*:(\\s|$)') AND NOT contains(regexp_extract(line, '^([A-Za-z0-9_.-]+)\\s*:', 1), '.')",

@@ -20,7 +20,7 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(_orphans(spark, folder))
 
 
-def _canonical_sql(column: str) -> str:
+def canonical_sql(column: str) -> str:
     """Same spelling rules in SQL: up to eight ``..`` steps are resolved, one per pass."""
     sql = f"'/' || regexp_replace(replace(trim({column}, chr(32) || chr(9) || chr(10) || chr(13)), '\\', '/'), '/+', '/', 'g') || '/'"
     for _ in range(3):
@@ -36,7 +36,7 @@ WITH rel AS (
   SELECT DISTINCT id AS relation_id, coalesce(strftime(indexed_at, '%Y-%m'), 'unknown') AS period,
          source_symbol_id, source_path, target_path FROM relations
 ), newest AS (
-  SELECT {_canonical_sql('path')} AS path, arg_max(change_kind, (seen_at, change_id)) AS kind FROM file_changes GROUP BY 1
+  SELECT {canonical_sql('path')} AS path, arg_max(change_kind, (seen_at, change_id)) AS kind FROM file_changes GROUP BY 1
 ), present AS (
   SELECT DISTINCT f.path FROM files f LEFT JOIN newest n USING (path) WHERE n.kind IS NULL OR n.kind <> 'deleted'
 ), refs AS (
@@ -47,7 +47,7 @@ WITH rel AS (
   WHERE source_symbol_id IS NOT NULL AND source_symbol_id NOT IN (SELECT id FROM symbols WHERE id IS NOT NULL)
   UNION
   SELECT relation_id, ref_field, period FROM refs
-  WHERE key IS NOT NULL AND trim(key) <> '' AND {_canonical_sql('key')} NOT IN (SELECT path FROM present WHERE path IS NOT NULL)
+  WHERE key IS NOT NULL AND trim(key) <> '' AND {canonical_sql('key')} NOT IN (SELECT path FROM present WHERE path IS NOT NULL)
 )
 """
 
