@@ -50,7 +50,8 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("status")
     c.add_argument("--root", help="compare the index with this source tree")
     c.add_argument("--scope", default="", help="paths to leave out, one a line")
-    sub.add_parser("report")
+    c = sub.add_parser("report")
+    c.add_argument("--flow", nargs="+", default=["view", "click", "purchase"], help="event types that form chains, where the events are not commands")
     c = sub.add_parser("index", help="bring the index tables up to date with a source tree")
     c.add_argument("root")
     c.add_argument("--scope", default="", help="paths to leave out, one a line")
@@ -74,7 +75,9 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         languages = plans.status(s, f).select(F.lit("language").alias("section"), F.col("language").alias("name"), F.to_json(F.struct("files", "symbols", "parsed", "recovered", "fallback")).alias("value"))
         return languages.unionByName(plans.overview(s, r, f, diff=diff))
     if args.command == "report":
-        return changes.transitions(tables.table(spark, args.index, "events"), ["view", "click", "purchase"])
+        events = tables.table(spark, args.index, "events")
+        # A log of commands gives the whole report, other events how they follow each other.
+        return changes.command_report(events) if "command" in events.columns else changes.transitions(events, args.flow)
     r = own["relations"] if own else tables.relations(spark, args.index)
     if args.command in ("query", "lookup"):
         spec = QuerySpec(

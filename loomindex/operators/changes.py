@@ -109,6 +109,46 @@ def impact(events: DataFrame, flow: list[str], aside: list[str], minutes: int =
     return inside.withColumn("one", F.lit(1)).join(beside.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+#: Fixed values. Commands that form chains, and the transitions that are counted: name, commands before, command now.
+FLOW_COMMANDS = ["lookup", "query", "show", "graph"]
+TRANSITIONS = [("lookup_to_show", ["lookup"], "show"), ("query_to_show", ["query"], "show"), ("lookup_to_graph", ["lookup"], "graph"), ("query_to_graph", ["query"], "graph")]
+
+
+def command_report(events: DataFrame, minutes: int = CHAIN_MINUTES) -> DataFrame:
+    """One row per project: commands, payload, seven transitions, workflow signals and the savings estimated from them.
+
+    ``events``: event_id, project, ts, command, payload_chars, result_quality, body_mode, selected_result, no_strong_match,
+    full_requested. Null projects, times and commands give no row; null facts count as not given. ``watch`` is
+    infrastructure and takes no part; other commands than those of the flow do not break a chain.
+    """
+    rows = events.filter("project is not null and ts is not null and command is not null")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    w = Window.partitionBy("project", "in_flow").orderBy("ts", "event_id")
+    before = lambda c: F.lag(c).over(w)
+    near = F.col("in_flow") & (F.col("ts") <= before("ts") + F.expr(f"interval {int(minutes)} minutes"))
+    rows = rows.withColumn("in_flow", F.col("command").isin(FLOW_COMMANDS)).withColumn("previous", F.when(near, before("command"))).withColumn("weak_before", F.when(near, before("no_strong_match")))
+    counted = F.col("command") != "watch"
+    marks = {
+        "recorded_commands": counted,
+        "infrastructure_commands": ~counted,
+        **{name: F.col("previous").isin(first) & (F.col("command") == now) for name, first, now in TRANSITIONS},
+        "full_bodies": counted & (F.col("body_mode") == "full"),
+        "bodies": counted & F.col("body_mode").isNotNull(),
+        "no_strong_match": counted & yes("no_strong_match"),
+        "one_shot_lookups": (F.col("command") == "lookup") & (F.col("result_quality") == "strong") & yes("selected_result"),
+        "good_queries": (F.col("command") == "query") & F.col("result_quality").isin("strong", "moderate"),
+    }
+    marks["lookup_to_full_show"] = marks["lookup_to_show"] & (F.coalesce(F.col("body_mode") == "full", F.lit(False)) | yes("full_requested"))
+    marks["lookup_to_full_graph"] = marks["lookup_to_graph"] & yes("full_requested")
+    marks["weak_result_retry"] = F.col("previous").isin("query", "lookup") & F.col("command").isin("query", "lookup") & yes("weak_before")
+    marks["graph_follow_ups"] = marks["lookup_to_graph"] | marks["query_to_graph"]
+    counts = [F.count(F.when(condition, 1)).alias(name) for name, condition in marks.items()]
+    payload = F.sum(F.when(counted, F.greatest(F.coalesce("payload_chars", F.lit(0)), F.lit(0))).otherwise(0)).alias("payload_chars")
+    saved = F.col("one_shot_lookups") + F.col("good_queries") + F.col("graph_follow_ups")
+    out = rows.groupBy("project").agg(payload, *counts).withColumn("avoided_search_loops", saved).withColumn("avoided_file_reads", F.col("bodies"))
+    return out.drop("good_queries", "bodies")
+
+
 def sessions(events: DataFrame, minutes: int = CHAIN_MINUTES) -> DataFrame:
     """(user_id, session_start, session_end, events, total): runs of events without a longer gap."""
     window = F.session_window("ts", f"{int(minutes)} minutes")

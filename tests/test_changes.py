@@ -95,3 +95,20 @@ def test_only_touched_partitions_are_rewritten(spark, tmp_path):
     after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
     assert len(before) == 8 and len(set(before.items()) & set(after.items())) == 7
     assert rows(table.read()) == sorted([(i, f"p{i}") for i in range(60) if i != 3] + [(99, "p3")])
+
+
+def test_command_report(spark):
+    at = lambda m: dt.datetime(2025, 1, 1, 10, 0) + dt.timedelta(minutes=m)
+    log = [
+        ("lookup", 0, "strong", None, True, False, None), ("show", 1, None, "full", None, None, None), ("query", 2, "weak", None, None, True, None), ("watch", 3, None, None, None, None, None), ("status", 4, None, None, None, None, None),
+        ("query", 5, "moderate", None, None, None, None), ("graph", 6, None, None, None, None, True), ("lookup", 7, "weak", None, None, True, None), ("graph", 8, None, None, None, None, True), ("show", 60, None, "summary", None, None, None),
+    ]
+    rows_ = [(i, "p", at(m), c, 10, q, b, s, n, f) for i, (c, m, q, b, s, n, f) in enumerate(log)] + [(99, None, at(0), "query", 5, None, None, None, None, None), (98, "q", at(0), "watch", None, None, None, None, None, None)]
+    e = spark.createDataFrame(rows_, "event_id bigint, project string, ts timestamp_ntz, command string, payload_chars bigint, result_quality string, body_mode string, selected_result boolean, no_strong_match boolean, full_requested boolean")
+    got = {r.project: r.asDict() for r in ch.command_report(e).collect()}
+    assert got["p"] == {
+        "project": "p", "payload_chars": 90, "recorded_commands": 9, "infrastructure_commands": 1, "lookup_to_show": 1, "query_to_show": 0, "lookup_to_graph": 1, "query_to_graph": 1, "full_bodies": 1, "no_strong_match": 2,
+        "one_shot_lookups": 1, "lookup_to_full_show": 1, "lookup_to_full_graph": 1, "weak_result_retry": 1, "graph_follow_ups": 2, "avoided_search_loops": 4, "avoided_file_reads": 2,
+    }
+    assert got["q"]["recorded_commands"] == 0 and got["q"]["infrastructure_commands"] == 1
+    assert ch.command_report(e.limit(0)).count() == 0
