@@ -41,7 +41,8 @@ _LINE_END = re.compile(r"\r\n?|[  \x85\x0b\x0c]")
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _FRONT = re.compile(r"\A\s*---\n(.*?)\n---[ \t]*(?:\n|\Z)", re.S)
 _FRONT_TITLE = re.compile(r"^(?:title|summary|description)\s*:(.*)$", re.I | re.M)
-_INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,200}>|\b(?:https?|ftp|file|mailto):\S+|\bwww\.\S+|\[[ xX]\]")
+#: What is no prose inside a line, each with a sign that is quick to look for.
+_INLINE = [(sign, re.compile(p)) for sign, p in (("`", r"`[^`\n]*`"), ("<", r"<[^<>\n]{1,200}>"), (":", r"\b(?:https?|ftp|file|mailto):\S+"), ("www.", r"\bwww\.\S+"), ("[", r"\[[ xX]\]"))]
 #: Quoted output or code in brackets.
 _ASIDE = re.compile(r"\([^()\n]*[`\"][^()\n]*\)")
 _INDENTED = re.compile(r"^(?: {4,}|\t)[^\n]*[;{}()=\[\]$<>|][^\n]*$", re.M)
@@ -66,6 +67,20 @@ def plain_letters(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
+class _Words(dict):
+    """Prose words as they are used: lower-case, empty for identifiers (names with an inner upper-case letter). Emptied when large."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 400_000:
+            self.clear()
+        plain = word.islower() or word[1:].islower() or word.isupper() or len(word) == 1 or "'" in word or "’" in word or "-" in word
+        self[word] = found = word.lower() if plain else ""
+        return found
+
+
+_WORDS = _Words()
+
+
 def paragraph_words(text: str) -> list[list[str]]:
     """The lower-case words of each paragraph's prose; paragraphs without words are left out."""
     text = _LINE_END.sub("\n", html.unescape(text) if "&" in text else text)
@@ -74,13 +89,18 @@ def paragraph_words(text: str) -> list[list[str]]:
     front = _FRONT.match(text)
     if front:
         text = "\n".join(_FRONT_TITLE.findall(front.group(1))) + "\n\n" + text[front.end() :]
-    text = _FENCE.sub("\n\n", text)
-    text = _INLINE.sub(" ", _ASIDE.sub(" ", text))
-    text = _INDENTED.sub("", text)
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n\n", text)
+    if "`" in text or '"' in text:
+        text = _ASIDE.sub(" ", text)
+    for sign, pattern in _INLINE:
+        if sign in text:
+            text = pattern.sub(" ", text)
+    if "    " in text or "\t" in text:
+        text = _INDENTED.sub("", text)
     out = []
     for paragraph in _BLANK.split(text):
-        # Names with an inner upper-case letter are identifiers.
-        words = [w.lower() for w in _PROSE.findall(paragraph) if w.islower() or w[1:].islower() or w.isupper() or len(w) == 1 or "'" in w or "’" in w or "-" in w]
+        words = [found for w in _PROSE.findall(paragraph) if (found := _WORDS[w])]
         if words:
             out.append(words)
     return out
