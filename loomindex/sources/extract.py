@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from loomindex.functions.classify import OVERSIZE_CHARS
 
+#: Fixed values. Characters of a fallback row, and the document of a Dockerfile's own row.
 FALLBACK_CHARS = 500
+DOCKERFILE_DOC = "Standalone Dockerfile record for file-level retrieval."
 #: Characters of bodies after which rows are handed on.
 BATCH_CHARS = 16_000_000
 SCHEMA = "path string, language string, kind string, name string, signature string, body string, doc string, fallback boolean, extraction string, start_line int, start_column int, end_line int, end_column int"
@@ -313,7 +315,7 @@ def symbols_of(text: str, language: str, path: str = "") -> list[Found]:
     lines = text.split("\n")
     out: list[Found] = []
     if language == "dockerfile":
-        whole = Found("file", path.rpartition("/")[2], path, text.strip(), "Standalone Dockerfile record for file-level retrieval.", 1, 1, len(lines), len(lines[-1]) + 1)
+        whole = Found("file", path.rpartition("/")[2], path, text.strip(), DOCKERFILE_DOC, 1, 1, len(lines), len(lines[-1]) + 1)
         out.append(whole)
     keys: list[tuple[int, str]] = []
     around: list[tuple[int, str]] = []  # last line and name of the classes and modules that a line is in
