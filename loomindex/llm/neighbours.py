@@ -13,9 +13,14 @@ fitted on a bounded sample (``sample`` rows a model); it is the only part of the
 and its size does not depend on the data. Level two splits a cell of more rows than fit into a unit; it
 is fitted per cell on a bounded sample inside Spark, and kept and joined as a table. Every row is put
 into its unit. A unit that is still too large, such as one that holds many copies of a vector, is split
-by hash of the id. Round one searches each query's own unit; its k-th distance there bounds which other
-units can matter, and only to these the query is sent (round two). A unit is sent once for every
-``load`` queries that really come to it, so what is copied of the index is bounded by the queries sent.
+by hash of the id. Round one searches each query's own unit and writes the unit as one row of packed
+columns; its k-th distance there bounds which other units can matter. Round two pairs units: each pair
+of a unit's queries with the rows of a unit that one of them can reach is read from that table and
+searched where it is read. Nothing is exchanged in round two but what it finds, so temporary files stay
+linear in the vectors, however many units a query reaches.
+
+Vectors move and are kept as they came, packed without loss (``packed``): two bytes a value where all
+are decimals of a few places, four where they are single precision, else eight.
 
 Cost: for a fixed floor of similarity a query verifies a fixed share of its model's rows, so all
 queries together grow with the square of a model's rows, by a small factor. No method whose index
@@ -27,6 +32,8 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomindex.session import materialize
+from loomindex.session import discard, materialize
 
 #: Rows of a leaf inside a unit, and queries that go through the leaves together.
 _LEAF, _BLOCK = 512, 32768
@@ -42,6 +49,9 @@ _LEAF, _BLOCK = 512, 32768
 TESTED, TESTED_P = 24, 0.99
 #: Bytes of vectors in a unit at most.
 UNIT_BYTES = 32 << 20
+#: Kinds of packed vectors: decimals of so many places, or floats. Units in a file of the units' table, each read as a whole.
+_PLACES, _SINGLE, _DOUBLE, _UNITS_A_FILE = range(7), 7, 8, 4
+
 
 def chi_square_quantile(p: float, m: int) -> float:
     """Psi_m^-1(p) for even m, by bisection on the closed form."""
@@ -66,11 +76,10 @@ def directions(dimensions: int, m: int) -> np.ndarray:
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
-    """(model, dimensions, id, vector): one unit vector per model and id.
+    """(model, dimensions, id, vectors): the different vectors of each model and id, packed; nearly always one (see ``_chosen``).
 
     Left out: null ids, models and vectors, lengths other than ``dimensions``, empty, all-zero and
-    non-finite vectors (null elements included). Rows delivered twice count once; of different
-    vectors of one id and model, the smallest in array order is taken.
+    non-finite vectors (null elements included). Rows delivered twice count once.
     """
     value = F.col("embedding")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -78,7 +87,15 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
         F.col("symbol_id").isNotNull() & F.col("model").isNotNull() & (F.size(value) == F.col("dimensions")) & (F.size(value) > 0) & finite & F.exists(value, lambda x: x != 0)
     )
     rows = vectors.filter(good).select("model", "dimensions", F.col("symbol_id").alias("id"), value.cast("array<double>").alias("vector"))
-    return rows.groupBy("model", "dimensions", "id").agg(F.min("vector").alias("vector"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, at in _same(batch, "dimensions"):
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in (*_MODEL, "id")), packed(_matrix(part["vector"]))], [*_MODEL, "id", "vector"])
+
+    narrow = rows.mapInArrow(pack, "model string, dimensions int, id bigint, vector binary")
+    return narrow.groupBy("model", "dimensions", "id").agg(F.collect_set("vector").alias("vectors"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -87,21 +104,100 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _packed(x: np.ndarray) -> pa.Array:
-    """Rows of a matrix as binary values."""
-    width = x.shape[1] * 8
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(x))])
+def _kinds(x: np.ndarray) -> np.ndarray:
+    """The smallest kind for each row of a matrix that gives back its very values."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        kinds = np.where((x.astype(np.float32) == x).all(axis=1), _SINGLE, _DOUBLE).astype(np.uint8)
+        rest = np.arange(len(x))
+        for places in _PLACES:
+            y = x[rest]
+            whole = np.rint(y * 10.0**places)
+            fits = ((whole / 10.0**places == y) & (np.abs(whole) < 1 << 15)).all(axis=1)
+            kinds[rest[fits]] = places
+            rest = rest[~fits]
+    return kinds
+
+
+def _width(kinds: np.ndarray | int, dimensions: int) -> np.ndarray | int:
+    """Bytes of a packed row without its kind."""
+    return dimensions * np.where(kinds == _DOUBLE, 8, np.where(kinds == _SINGLE, 4, 2))
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values, without loss: a byte for the kind, then the values; of decimals first all low bytes, then all high ones."""
+    kinds = _kinds(x)
+    ends = np.concatenate([[0], np.cumsum(1 + _width(kinds, x.shape[1]))]).astype(np.int64)
+    out = np.zeros(ends[-1], np.uint8)
+    out[ends[:-1]] = kinds
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        if kind in _PLACES:
+            whole = np.rint(x[at] * 10.0**kind).astype(np.int16)
+            # The sign in the lowest bit, so that small values have a high byte of zero.
+            signed = ((whole << 1) ^ (whole >> 15)).astype("<i2")
+            own = signed.view(np.uint8).reshape(len(at), -1, 2).transpose(0, 2, 1).reshape(len(at), -1)
+        else:
+            own = np.ascontiguousarray(x[at].astype("<f4" if kind == _SINGLE else "<f8")).view(np.uint8).reshape(len(at), -1)
+        out[(ends[at] + 1)[:, None] + np.arange(own.shape[1])] = own
+    return pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def _unpacked(data: np.ndarray, starts: np.ndarray, kinds: np.ndarray, dimensions: int) -> np.ndarray:
+    out = np.empty((len(kinds), dimensions))
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        for some in np.array_split(at, len(at) // 4096 + 1):
+            own = data[starts[some][:, None] + np.arange(_width(int(kind), dimensions))]
+            if kind in _PLACES:
+                signed = own[:, :dimensions].astype(np.uint16) | (own[:, dimensions:].astype(np.uint16) << 8)
+                out[some] = ((signed >> 1) ^ -(signed & 1)).view(np.int16) / 10.0**kind
+            else:
+                out[some] = own.view("<f4" if kind == _SINGLE else "<f8")
+    return out
 
 
-def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    parts = [np.frombuffer(c.buffers()[2], np.float64, (o[-1] - o[0]) // 8, o[0]) for c, o in _chunks(column)]
-    return np.concatenate(parts).reshape(len(column), -1) if parts else np.zeros((0, 1))
+def unpacked(column: pa.Array | pa.ChunkedArray, dimensions: int) -> np.ndarray:
+    """The matrix that ``packed`` was given."""
+    parts = [_unpacked(data, starts, data[starts - 1], dimensions) for data, starts, _ in _payloads(column)]
+    return np.concatenate(parts) if parts else np.zeros((0, dimensions))
 
 
-def _chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+def _payloads(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, start of each row's values, end of each row) of packed vectors."""
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if len(chunk):
-            yield chunk, np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            yield np.frombuffer(chunk.buffers()[2], np.uint8), ends[:-1] + 1, ends[1:]
+
+
+def _block(column: pa.Array | pa.ChunkedArray) -> tuple[bytes, bytes]:
+    """(kinds, values) of packed vectors, each as one value."""
+    kinds, values = [], []
+    for data, starts, ends in _payloads(column):
+        keep = np.zeros(len(data), bool)
+        keep[starts[0] - 1 : ends[-1]] = True
+        keep[starts - 1] = False
+        kinds.append(data[starts - 1].tobytes())
+        values.append(data[keep].tobytes())
+    return b"".join(kinds), b"".join(values)
+
+
+def _from_block(kinds: pa.Scalar, values: pa.Scalar, dimensions: int, rows: slice = slice(None)) -> np.ndarray:
+    kinds = np.frombuffer(kinds.as_buffer(), np.uint8)
+    widths = _width(kinds, dimensions)
+    return _unpacked(np.frombuffer(values.as_buffer(), np.uint8), (np.cumsum(widths) - widths)[rows], kinds[rows], dimensions)
+
+
+def _chosen(column: pa.Array, dimensions: int) -> pa.Array:
+    """One packed vector a row: of different ones of one id and model, the smallest in array order."""
+    lists, values = np.diff(column.offsets.to_numpy()), column.flatten()
+    if (lists == 1).all():
+        return values
+    starts = np.cumsum(lists) - lists
+    for i in np.flatnonzero(lists > 1):
+        some = unpacked(values.slice(starts[i], lists[i]), dimensions)
+        starts[i] += np.lexsort(some.T[::-1])[0]
+    return values.take(pa.array(starts))
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -285,11 +381,11 @@ def _best(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> np.n
 _FOUND = "model string, dimensions int, query_id bigint, id bigint, cosine double"
 
 
-def _found(model: str, dimensions: int, query_ids: np.ndarray, ids: np.ndarray, found: tuple, k: int) -> pa.Table:
+def _found(query_ids: np.ndarray, ids: np.ndarray, found: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, query id, id, cosine) of the k best of each query."""
     q, d, value = found
     take = _best(q, ids[d], value, k)
-    q, d, value = q[take], d[take], value[take]
-    return pa.table({"model": pa.array([model] * len(q), pa.string()), "dimensions": pa.array([dimensions] * len(q), pa.int32()), "query_id": query_ids[q].astype(np.int64), "id": ids[d].astype(np.int64), "cosine": value})
+    return q[take], query_ids[q[take]], ids[d[take]], value[take]
 
 
 def _same(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[tuple, np.ndarray]]:
@@ -303,6 +399,7 @@ def _same(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[tuple, np.ndarra
 
 _MODEL = ["model", "dimensions"]
 _UNIT = [*_MODEL, "cell", "sub", "part"]
+_ROWS = ["ids", "kinds", "vectors"]
 
 
 class Neighbours:
@@ -310,11 +407,12 @@ class Neighbours:
 
     ``vectors``: symbol_id, model, dimensions, embedding; other columns are ignored. An empty table
     gives no row; a model with one vector gives none either. ``floor``: least cosine that is wanted.
+    ``load``: queries of a unit that are dealt out together.
     """
 
     def __init__(self, vectors: DataFrame, k: int = 5, floor: float = -1.0, m: int = 8, p: float = 0.9, unit_size: int = 32768, sample: int = 20000, cells: int = 256, load: int = 32768):
         self.k, self.floor, self.m, self.limit, self.load = k, floor, m, chi_square_quantile(p, m), load
-        rows = materialize(usable_vectors(vectors), "vectors")
+        rows = materialize(usable_vectors(vectors), "vectors", tidy=True, compression="zstd")
         fitting = F.least(F.lit(unit_size), F.greatest(F.lit(256), F.lit(UNIT_BYTES // 8) / F.col("dimensions"))).cast("int")
         self._trees = rows.sparkSession.sparkContext.broadcast(self._level_one(rows, unit_size, sample, cells))
         trees = self._trees
@@ -323,20 +421,20 @@ class Neighbours:
             for batch in batches:
                 for key, at in _same(batch, *_MODEL):
                     part = batch.take(pa.array(at))
-                    x = _unit_rows(_matrix(part["vector"]))
-                    spot = x @ directions(key[1], TESTED)[:, :m]
-                    yield pa.RecordBatch.from_arrays(
-                        [part["model"], part["dimensions"], part["id"], _packed(x), pa.array(trees.value[key].assign(spot)), _packed(spot)], [*_MODEL, "id", "vector", "cell", "spot"]
-                    )
-
-        schema = "model string, dimensions int, id bigint, vector binary, cell bigint, spot binary"
-        placed = materialize(rows.select(*_MODEL, "id", "vector").mapInArrow(place, schema), "placed")
-        self._subtrees, index = self._level_two(placed, fitting, sample)
+                    vector = _chosen(part["vectors"], key[1])
+                    spot = _unit_rows(unpacked(vector, key[1])) @ directions(key[1], TESTED)[:, :m]
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in (*_MODEL, "id")), vector, pa.array(trees.value[key].assign(spot))], [*_MODEL, "id", "vector", "cell"])
+
+        placed = rows.mapInArrow(place, "model string, dimensions int, id bigint, vector binary, cell bigint")
+        held = materialize(placed.groupBy(*_MODEL, "cell").agg(F.count("*").alias("rows")), "cells", tidy=True)
+        self._subtrees, index = self._level_two(placed, held, fitting, sample)
+        if index is not None:
+            discard(rows)
         # Of a unit whose rows no cut separates, parts by hash.
-        sizes = index.groupBy(*_MODEL, "cell", "sub").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / fitting).cast("int"))
-        self._parts = materialize(sizes.select(*_MODEL, "cell", "sub", "parts"), "units")
-        split = self._parts.filter("parts > 1")
-        parts = F.coalesce("parts", F.lit(1))
+        sizes = held.withColumn("sub", F.lit(0).cast("bigint")) if index is None else index.groupBy(*_MODEL, "cell", "sub").agg(F.count("*").alias("rows"))
+        self._parts = materialize(sizes.withColumn("parts", F.ceil(F.col("rows") / fitting).cast("int")).select(*_MODEL, "cell", "sub", "parts"), "parts", tidy=True)
+        split, parts = self._parts.filter("parts > 1"), F.coalesce("parts", F.lit(1))
+        index = placed.withColumn("sub", F.lit(0).cast("bigint")) if index is None else index
         self._index = index.join(split, [*_MODEL, "cell", "sub"], "left").select(*_MODEL, "cell", "sub", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "vector")
 
     def _level_one(self, rows: DataFrame, unit_size: int, sample: int, cells: int) -> dict[tuple, Tree]:
@@ -346,108 +444,107 @@ class Neighbours:
         if not shares:
             return {}
         few = F.broadcast(rows.sparkSession.createDataFrame(shares, "model string, dimensions int, share int"))  # one row a model
-        taken = rows.join(few, _MODEL).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share")).select(*_MODEL, "vector").toArrow()
+        taken = rows.join(few, _MODEL).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share")).select(*_MODEL, "vectors").toArrow()
         points = {key: np.zeros((0, self.m)) for key in counts}
         for batch in taken.combine_chunks().to_batches():
             for key, at in _same(batch, *_MODEL):
-                points[key] = np.concatenate([points[key], _unit_rows(_matrix(batch["vector"].take(pa.array(at)))) @ directions(key[1], TESTED)[:, : self.m]])
+                x = unpacked(_chosen(batch["vectors"].take(pa.array(at)), key[1]), key[1])
+                points[key] = np.concatenate([points[key], _unit_rows(x) @ directions(key[1], TESTED)[:, : self.m]])
         return {key: Tree(points[key], min(cells, math.ceil(n / min(unit_size, max(256, UNIT_BYTES // 8 // key[1]))))) for key, n in counts.items()}
 
-    def _level_two(self, placed: DataFrame, fitting: Column, sample: int) -> tuple[DataFrame, DataFrame]:
-        """(model, dimensions, cell, tree) of cells that are split further, and the rows with their place ``sub`` in their cell."""
-        group = [*_MODEL, "cell"]
-        large = placed.groupBy(*group).agg(F.count("*").alias("rows")).withColumn("leaves", F.ceil(F.col("rows") / fitting).cast("int")).filter("leaves > 1")
+    def _level_two(self, placed: DataFrame, held: DataFrame, fitting: Column, sample: int) -> tuple[DataFrame, DataFrame | None]:
+        """(model, dimensions, cell, tree) of cells that are split further, and the rows with their place ``sub`` in their cell; no rows where no cell is."""
+        group, m = [*_MODEL, "cell"], self.m
+        large = held.withColumn("leaves", F.ceil(F.col("rows") / fitting).cast("int")).filter("leaves > 1")
+        kinds = "model string, dimensions int, cell bigint, tree binary"
+        if large.isEmpty():
+            return placed.sparkSession.createDataFrame([], kinds), None
+
+        def spots(column: pa.Array, dimensions: int) -> np.ndarray:
+            return _unit_rows(unpacked(column, dimensions)) @ directions(dimensions, TESTED)[:, :m]
 
         def fit(table: pa.Table) -> pa.Table:
-            tree = Tree(_unpacked(table["spot"]), table["leaves"][0].as_py())
+            tree = Tree(spots(table["vector"], table["dimensions"][0].as_py()), table["leaves"][0].as_py())
             return pa.table({"model": table["model"][:1], "dimensions": table["dimensions"][:1], "cell": table["cell"][:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
         share = F.pmod(F.xxhash64("id"), F.col("rows")) < F.lit(sample)
-        seen = placed.join(large, group).filter(share).select(*group, "spot", "leaves")
-        trees = materialize(seen.groupBy(*group).applyInArrow(fit, "model string, dimensions int, cell bigint, tree binary"), "subtrees")
+        seen = placed.join(large, group).filter(share).select(*group, "vector", "leaves")
+        trees = materialize(seen.groupBy(*group).applyInArrow(fit, kinds), "subtrees", tidy=True)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for (model, dimensions, cell), at in _same(batch, *group):
+                for (_, dimensions, _), at in _same(batch, *group):
                     part = batch.take(pa.array(at))
                     tree = part["tree"][0].as_py()
-                    sub = pickle.loads(tree).assign(_unpacked(part["spot"])) if tree else np.zeros(len(at), np.int64)
+                    sub = pickle.loads(tree).assign(spots(part["vector"], dimensions)) if tree else np.zeros(len(at), np.int64)
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in (*group, "id", "vector")), pa.array(sub)], [*group, "id", "vector", "sub"])
 
-        if trees.limit(1).isEmpty():
-            return trees, placed.select(*group, "id", "vector", F.lit(0).cast("bigint").alias("sub"))
-        within = placed.join(trees, group, "left").select(*group, "id", "vector", "spot", "tree")
-        return trees, materialize(within.mapInArrow(assign, "model string, dimensions int, cell bigint, id bigint, vector binary, sub bigint"), "assigned")
+        within = placed.join(trees, group, "left").select(*group, "id", "vector", "tree")
+        return trees, materialize(within.mapInArrow(assign, "model string, dimensions int, cell bigint, id bigint, vector binary, sub bigint"), "assigned", tidy=True, compression="zstd")
 
-    def _routed(self, asked: DataFrame) -> DataFrame:
-        """Each query once for every other unit that its stopping test does not rule out."""
-        limit, m, trees = self.limit, self.m, self._trees
-        own = ["own_cell", "own_sub", "own_part"]
-        sent = ["id", "vector", "kth", *own]
+    def _units(self, wanted: Column) -> DataFrame:
+        """Round one: a row for each unit with its rows, its queries with their k-th cosine there and the cells they can reach, and what they found.
 
-        def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for key, at in _same(batch, *_MODEL):
-                    part = batch.take(pa.array(at))
-                    spot = _unpacked(part["vector"]) @ directions(key[1], TESTED)[:, :m]
-                    q, cell = trees.value[key].within(spot, _reach(limit, part["kth"].to_numpy()))
-                    for x in range(0, len(q), 20000):
-                        rows = part.take(pa.array(q[x : x + 20000]))
-                        yield pa.RecordBatch.from_arrays([*(rows[c] for c in _MODEL), pa.array(cell[x : x + 20000]), *(rows[c] for c in sent)], [*_MODEL, "cell", *sent])
+        Where all rows are queries, ``asked_`` columns are null."""
+        k, floor, limit, m, trees = self.k, self.floor, self.limit, self.m, self._trees
+        pairs = pa.list_(pa.struct([("query_id", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64())]))
 
-        def to_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for (model, dimensions, cell), at in _same(batch, *_MODEL, "cell"):
-                    part = batch.take(pa.array(at))
-                    tree, q, sub = part["tree"][0].as_py(), np.arange(len(at)), np.zeros(len(at), np.int64)
-                    if tree:
-                        spot = _unpacked(part["vector"]) @ directions(dimensions, TESTED)[:, :m]
-                        q, sub = pickle.loads(tree).within(spot, _reach(limit, part["kth"].to_numpy()))
-                    for x in range(0, len(q), 20000):
-                        rows = part.take(pa.array(q[x : x + 20000]))
-                        yield pa.RecordBatch.from_arrays([*(rows[c] for c in (*_MODEL, "cell")), pa.array(sub[x : x + 20000]), *(rows[c] for c in sent)], [*_MODEL, "cell", "sub", *sent])
-
-        kinds = "id bigint, vector binary, kth double, own_cell bigint, own_sub bigint, own_part int"
-        mine = asked.select(*_MODEL, "id", "vector", "kth", *[F.col(c.removeprefix("own_")).alias(c) for c in own])
-        cells = mine.mapInArrow(to_cells, f"model string, dimensions int, cell bigint, {kinds}")
-        if self._subtrees.limit(1).isEmpty():
-            units = cells.withColumn("sub", F.lit(0).cast("bigint"))
-        else:
-            units = cells.join(self._subtrees, [*_MODEL, "cell"], "left").mapInArrow(to_units, f"model string, dimensions int, cell bigint, sub bigint, {kinds}")
-        split = self._parts.filter("parts > 1")
-        parts = units.join(split, [*_MODEL, "cell", "sub"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        return parts.filter("cell <> own_cell or sub <> own_sub or part <> own_part").select(*_UNIT, "id", "vector", "kth")
+        def own(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            key = (table["model"][0].as_py(), table["dimensions"][0].as_py())
+            x, ids = _unit_rows(unpacked(table["vector"], key[1])), table["id"].to_numpy()
+            asked = np.flatnonzero(table["asked"].to_numpy())
+            query, query_ids = x[asked], ids[asked]
+            q, *found = _found(query_ids, ids, search(query, query_ids, np.full(len(asked), floor), x, ids, k, limit, m), k)
+            kth = np.full(len(asked), np.inf)
+            np.minimum.at(kth, q, found[2])
+            kth = np.where(np.bincount(q, minlength=len(asked)) >= k, kth, floor)
+            spot = query @ directions(key[1], TESTED)[:, :m]
+            cells = np.unique(trees.value[key].within(spot, _reach(limit, kth))[1])
+            few = len(asked) < len(ids)
+            asked_rows = (query_ids.tobytes(), *_block(table["vector"].take(pa.array(asked)))) if few else (None,) * 3
+            found = pa.StructArray.from_arrays([pa.array(query_ids[q]), *map(pa.array, found[1:])], fields=list(pairs.value_type))
+            columns = {c: pa.array([v], pa.binary()) for c, v in zip([*_ROWS, *(f"asked_{c}" for c in _ROWS), "kth"], (ids.tobytes(), *_block(table["vector"]), *asked_rows, kth.tobytes()))}
+            return pa.table({c: table[c][:1] for c in _UNIT} | columns | {"queries": pa.array([len(asked)], pa.int32()), "cells": pa.array([cells.tolist()], pa.list_(pa.int64())), "found": pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)})
+
+        blobs = ", ".join(f"{c} binary" for c in [*_ROWS, *(f"asked_{c}" for c in _ROWS), "kth"])
+        schema = f"model string, dimensions int, cell bigint, sub bigint, part int, {blobs}, queries int, cells array<bigint>, found array<struct<query_id: bigint, id: bigint, cosine: double>>"
+        marked = self._index.withColumn("asked", F.coalesce(wanted, F.lit(False)))
+        return materialize(marked.groupBy(*_UNIT).applyInArrow(own, schema), "own-unit", tidy=True, compression="zstd", maxRecordsPerFile=_UNITS_A_FILE)
 
     def search(self, queries: Column | None = None) -> DataFrame:
         """(model, query_id, id, cosine, rank) of the k best, for all rows or those that ``queries`` (a Column on id) selects."""
-        k, floor, limit, m = self.k, self.floor, self.limit, self.m
-        wanted = queries if queries is not None else F.lit(True)
-        marked = self._index.withColumn("asked", F.coalesce(wanted, F.lit(False)))
-
-        def own(table: pa.Table) -> pa.Table:
-            x, ids = _unpacked(table["vector"]), table["id"].to_numpy()
-            asked = np.flatnonzero(table["asked"].to_numpy())
-            found = search(x[asked], ids[asked], np.full(len(asked), floor), x, ids, k, limit, m)
-            return _found(table["model"][0].as_py(), table["dimensions"][0].as_py(), ids[asked], ids, found, k)
-
-        first = materialize(marked.groupBy(*_UNIT).applyInArrow(own, _FOUND), "own-unit")
-        bound = first.groupBy(*_MODEL, "query_id").agg(F.count("*").alias("n"), F.min("cosine").alias("kth"))
-        bound = bound.select(*_MODEL, F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
-        asked = marked.filter("asked").join(bound, [*_MODEL, "id"], "left").withColumn("kth", F.coalesce("kth", F.lit(floor)))
-        routed = materialize(self._routed(asked), "routed")
-        loads = routed.groupBy(*_UNIT).agg(F.ceil(F.count("*") / F.lit(self.load)).cast("int").alias("loads"))
-        salted = routed.join(loads.filter("loads > 1"), _UNIT, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("loads", F.lit(1))).cast("int"))
-        sent = self._index.join(loads, _UNIT).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)))
-
-        def other(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not len(left) or not len(right):
-                return pa.table({f.name: pa.array([], f.type) for f in _found("", 0, np.zeros(0), np.zeros(0), (np.zeros(0, np.int64),) * 3, k).schema})
-            query_ids, ids = left["id"].to_numpy(), right["id"].to_numpy()
-            found = search(_unpacked(left["vector"]), query_ids, left["kth"].to_numpy(), _unpacked(right["vector"]), ids, k, limit, m)
-            return _found(left["model"][0].as_py(), left["dimensions"][0].as_py(), query_ids, ids, found, k)
-
-        groups = [*_UNIT, "salt"]
-        second = salted.select(*groups, "id", "vector", "kth").groupBy(*groups).cogroup(sent.select(*groups, "id", "vector").groupBy(*groups)).applyInArrow(other, _FOUND)
+        k, limit, m, load = self.k, self.limit, self.m, self.load
+        units = self._units(queries if queries is not None else F.lit(True))
+        first = units.select(*_MODEL, F.explode("found").alias("pair")).select(*_MODEL, "pair.query_id", "pair.id", "pair.cosine")
+        mine = [F.coalesce(f"asked_{c}", c).alias(f"own_{c}") for c in _ROWS]
+        asked = units.filter("queries > 0").select(*(F.col(c).alias(f"own_{c}") for c in _UNIT), *mine, "kth", "cells", F.explode(F.sequence(F.lit(0), F.ceil(F.col("queries") / F.lit(load)).cast("int") - 1)).alias("turn"))
+        same = lambda names: [F.col(f"own_{c}") == F.col(c) for c in names]
+        met = reduce(and_, [*same(_MODEL), F.array_contains("cells", F.col("cell")), ~reduce(and_, same(_UNIT[2:]))])
+        # Each pair of units is read where it is searched; an exchange would copy a unit once for every unit that reaches it.
+        pairs = asked.join(units.select(*_UNIT, *_ROWS).hint("shuffle_replicate_nl"), met)
+
+        def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, query, query_ids, kth = None, None, None, None
+            for batch in batches:
+                for i in range(len(batch)):
+                    at = lambda c: batch[c][i]  # noqa: B023, E731
+                    key = tuple(at(c).as_py() for c in (*(f"own_{c}" for c in _UNIT), "turn"))
+                    model, dimensions = key[:2]
+                    if key != last:
+                        turn = slice(key[-1] * load, (key[-1] + 1) * load)
+                        query_ids, kth = (np.frombuffer(at(c).as_buffer(), kind)[turn].copy() for c, kind in (("own_ids", np.int64), ("kth", np.float64)))
+                        query, last = _unit_rows(_from_block(at("own_kinds"), at("own_vectors"), dimensions, turn)), key
+                    x, ids = _unit_rows(_from_block(at("kinds"), at("vectors"), dimensions)), np.frombuffer(at("ids").as_buffer(), np.int64)
+                    # Queries that reach the unit at all.
+                    a = directions(dimensions, TESTED)[:, :m]
+                    spot = x @ a
+                    near = np.flatnonzero(box_distance(query @ a, spot.min(axis=0)[None], spot.max(axis=0)[None])[:, 0] <= _reach(limit, kth))
+                    _, *found = _found(query_ids[near], ids, search(query[near], query_ids[near], kth[near], x, ids, k, limit, m), k)
+                    n = len(found[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([model] * n, pa.string()), pa.array([dimensions] * n, pa.int32()), *map(pa.array, found)], [*_MODEL, "query_id", "id", "cosine"])
+
+        second = pairs.mapInArrow(other, _FOUND)
         order = Window.partitionBy(*_MODEL, "query_id").orderBy(F.desc("cosine"), "id")
         ranked = first.union(second).withColumn("rank", F.row_number().over(order))
         return ranked.filter(F.col("rank") <= k).select("model", "query_id", "id", "cosine", "rank")

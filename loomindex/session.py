@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folders: list[str] = []
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "loomindex", cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -46,19 +47,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_folders[0]}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back.
+def materialize(df: DataFrame, label: str, tidy: bool = False, **options: str | int) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back. ``options``: of the writer.
 
     Cuts the lineage for plans that use an expensive frame several times. A lost executor costs
-    nothing, since the files are in shared storage. The table is removed when the driver ends.
+    nothing, since the files are in shared storage. The table is removed when the driver ends. With
+    ``tidy`` the shuffle files of the write are removed after it, not when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomindex/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true" if tidy else before)
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     _remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    jvm, files = getattr(table.sparkSession, "_jvm", None), table.inputFiles()
+    if jvm is not None and files:
+        place = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _remove_at_end(spark: SparkSession, path: str) -> None:
     jvm = getattr(spark, "_jvm", None)
     if jvm is not None:  # a remote session has none; its folder is cleaned by whoever owns it

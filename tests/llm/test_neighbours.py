@@ -1,7 +1,11 @@
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomindex.llm.neighbours import Neighbours, Tree, box_distance, chi_square_quantile, local_leaves, usable_vectors
+from loomindex.llm.neighbours import Neighbours, Tree, box_distance, chi_square_quantile, local_leaves, packed, unpacked, usable_vectors
+from loomindex.session import shared_dir
 
 SCHEMA = "symbol_id bigint, model string, dimensions int, embedding array<double>, vector string"
 
@@ -81,3 +85,33 @@ def test_chi_square_and_tree():
     assert near <= set(zip(rows.tolist(), leaves.tolist()))
     assert sorted(np.concatenate(local_leaves(points)).tolist()) == list(range(2000))
     assert box_distance(np.array([[0.0, 3.0]]), np.array([[1.0, 1.0]]), np.array([[2.0, 2.0]]))[0, 0] == 2.0
+
+
+def test_temporary_tables_stay_linear_however_many_units_are_met(spark):
+    n, dims = 1500, 64
+    x = np.random.default_rng(3).standard_normal((n, dims))
+    df = spark.createDataFrame([(i, "m", dims, [float(v) for v in r], None) for i, r in enumerate(x)], SCHEMA)
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p for p in folder.rglob("*.parquet")}
+    found = Neighbours(df, 5, unit_size=256).search()
+    assert found.count() == 5 * n
+    written = sum(p.stat().st_size for p in folder.rglob("*.parquet") if p not in before)
+    assert written < 4 * x.nbytes
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "vectors" in line]
+
+
+def test_packed_vectors_come_back_as_they_were():
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(-999, 1000, 6) / 1000, rng.standard_normal(6), rng.standard_normal(6).astype(np.float32), [32.767, -32.767, 0.001, 0, 1, -1], [1e200, 1e-200, 1, 0, -1, 3], [32768, 0, 0, 1, 0, 0], [1e-7, 0, 0, 0, 0, 1]]
+    x = np.array(rows, np.float64)
+    column = packed(x)
+    assert [len(v.as_py()) for v in column] == [13, 49, 25, 13, 49, 25, 49]
+    assert (unpacked(column, 6) == x).all() and (unpacked(pa.chunked_array([column.slice(2, 3), column.slice(0, 0), column.slice(5)]), 6) == x[2:]).all()
+    assert unpacked(packed(np.zeros((0, 6))), 6).shape == (0, 6)
+
+
+def test_of_different_vectors_of_one_id_the_smallest_counts(spark):
+    rows = [(1, "m", 2, [1.0, 0.0]), (1, "m", 2, [0.5, 0.123456789]), (1, "m", 2, [0.5, 7.0]), (2, "m", 2, [1.0, 0.0]), (3, "m", 2, [0.5, 0.123456789])]
+    got = {(r.query_id, r.id, r.cosine) for r in Neighbours(spark.createDataFrame([(*r, None) for r in rows], SCHEMA), floor=0.999).search().collect()}
+    assert got == {(1, 3, 1.0), (3, 1, 1.0)}
